@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -23,6 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _own: str | None = None
 _shipped: set[str] = set()
+_released = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,9 +51,19 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, every: float = 4.0) -> None:
+    """Let Spark delete the shuffle files of steps that are done, which otherwise stay until the driver collects garbage."""
+    global _released
+    if time.monotonic() - _released >= every:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a scratch table that nothing reads any more."""
     spark = df.sparkSession

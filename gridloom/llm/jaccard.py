@@ -251,7 +251,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = 1 << top
     packed = d.mapInArrow(_postings(width, "doc_id", "text", num, den, bits, buckets, frequent), "bucket int, often boolean, tok binary, sid binary, n binary, pos binary, counts binary")
     index = scratch(packed.groupBy("bucket").applyInArrow(_lists, "tok long, sid long, n int, pos int, entries int"), "lists")
-    index = scratch(index.dropDuplicates(["tok", "sid"]).join(nodes.select("sid", "node"), "sid").select("tok", "node", "n", "pos", "entries"), "index")
+    lists = index
+    index = scratch(lists.join(nodes.select("sid", "node"), "sid").select("tok", "node", "n", "pos", "entries"), "index")
+    drop_scratch(lists)
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b), a < b, written: those at the threshold."""
@@ -281,7 +283,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # 5: block-skipping join of the lists that still hold several components
     here = _labelled(index, reached)
     several = here.groupBy("tok").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("tok")
-    left = here.join(several, "tok", "left_semi")
+    left = here.join(several, "tok", "left_semi").select("tok", "node", "component", "n", "pos", "entries").distinct()
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
     block = (
         left.withColumn("band", band).withColumn("zone", F.floor(F.log2(F.col("pos") + 1.0)))
@@ -318,8 +320,5 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     found = jaccard_components(docs, **how)
     gone = scratch(found.where("doc_id is not null and component_id != doc_id").select("doc_id").distinct(), "gone")
-    name = how.get("id_col", "doc_id")
-    key = F.col(name).cast("long")
-    n = gone.count()
-    side = gone.withColumnRenamed("doc_id", "_gone_id")
-    return docs.join(F.broadcast(side) if n * 32 <= 64 << 20 else side, key == F.col("_gone_id"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(how.get("id_col", "doc_id")).cast("long").alias("doc_id"))
+    return join_small(rows, gone, ["doc_id"], "left_anti", 32).select("row.*")
