@@ -98,8 +98,8 @@ def _size(marks: str, each: int):
     return F.coalesce(F.sum(F.size(marks) * each), F.lit(0))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its columns, the text without repeated chunks of lines, and (_chunks, _lines): how many were removed.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
+    """docs with its columns, the text without repeated chunks of lines; report: also (_chunks, _lines), how many went.
 
     Lines end at "\\n". Every row stays, also one of whose text nothing is left. Null texts stay null and empty texts
     empty. Rows that repeat id and text are one document: they lose the same chunks, and the first keeps its own.
@@ -126,4 +126,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     done = keyed.join(wide(cut, size), ["k1", "k2"], "left").select("row", "text", "marks")
     schema = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
     out = done.mapInArrow(_cut, f"row {schema}, text string, chunks long, lines long")
-    return out.select(*(F.col("text").alias(text_col) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns), F.col("chunks").alias("_chunks"), F.col("lines").alias("_lines"))
+    return out.select(*(F.col("text").alias(text_col) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns), *((F.col("chunks").alias("_chunks"), F.col("lines").alias("_lines")) if report else ()))

@@ -83,7 +83,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
-    d = dedup_lines(_table(spark, sf_dir, "documents"))
+    d = dedup_lines(_table(spark, sf_dir, "documents"), report=True)
     return d.select("doc_id", F.length("text").cast("long").alias("kept_chars"), F.md5(F.encode("text", "UTF-8")).alias("kept_md5"), F.col("_chunks").alias("removed_chunks"), F.col("_lines").alias("removed_lines"))
 
 
