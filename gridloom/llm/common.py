@@ -68,7 +68,7 @@ def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a scratch table that nothing reads any more."""
     spark = df.sparkSession
     files = df.inputFiles()
-    if files:
+    if files and "/gridloom/" in files[0]:
         path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

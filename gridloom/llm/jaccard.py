@@ -265,7 +265,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched(num, den), "a long, b long")
         near = scratch(near, f"{name}-near")
         full = near.join(whole.select(F.col("node").alias("a"), F.col("whole").alias("wa")), "a").join(whole.select(F.col("node").alias("b"), F.col("whole").alias("wb")), "b")
-        return scratch(full.select("a", "b", "wa", "wb").mapInArrow(_verified(num, den), "a long, b long"), name)
+        out = scratch(full.select("a", "b", "wa", "wb").mapInArrow(_verified(num, den), "a long, b long"), name)
+        for done in (wanted, whole, near, pairs):
+            drop_scratch(done)
+        return out
 
     # 4: the partner with most common lists, among each list's first (then last) set by a hash
     links = copies
