@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, blocks, join_small, mix, partitions, raw, scratch, ship, text_column
+from .common import binary_array, blocks, collect_longs, join_small, mix, partitions, raw, scratch, ship, text_column
 
 #: Distinct anchor grams up to which their hashes are broadcast (8 bytes each); beyond it they are joined.
 BROADCAST_GRAMS = 6_000_000
@@ -299,7 +299,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = d.select(F.coalesce("doc_id", F.lit(0)).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"), "text")
     dup = scratch(d.select("text").mapInArrow(_anchor_counts(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "grams")
     if dup.count() <= broadcast_grams:
-        known = spark.sparkContext.broadcast(np.sort(dup.toPandas().h.to_numpy(np.int64)))
+        known = spark.sparkContext.broadcast(np.sort(collect_longs(dup)[0]))
         source = keyed
     else:
         known = None
