@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, drop_scratch, join_small, mix, partitions, scratch, ship, text_column
+from .common import binary_array, collect_longs, drop_scratch, join_small, mix, partitions, scratch, ship, text_column
 from .components import components
 from .shingles import sets_of
 
@@ -244,8 +244,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = scratch(counts.groupBy("bucket").applyInArrow(_frequent(bits, top, FREQUENT), "h long, count long"), "frequent")
     if often.count() > ORDERED:
         often = often.orderBy(F.desc("count"), "h").limit(ORDERED)
-    got = often.toPandas().sort_values("h")
-    frequent = spark.sparkContext.broadcast((got.h.to_numpy(np.int64), np.minimum(got["count"].to_numpy(np.int64), 2**31 - 1).astype(np.int32)))
+    h, many = collect_longs(often)
+    order = np.argsort(h)
+    frequent = spark.sparkContext.broadcast((h[order], np.minimum(many[order], 2**31 - 1).astype(np.int32)))
 
     # 3
     buckets = 1 << top
