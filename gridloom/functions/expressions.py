@@ -1,7 +1,8 @@
 """Cell expressions: nodata is NULL, and NULL on either side gives NULL, also in logic.
 
-Comparisons follow IEEE rules (Spark calls NaN equal to itself and the largest), division and logarithm give
-infinities and NaN instead of errors, and a NaN result counts as nodata where the output's nodata is NaN.
+Comparisons with NaN are false (Spark calls NaN equal to itself and the largest, so it is replaced by -infinity on
+the greater side), division and logarithm give infinities and NaN instead of errors, and a NaN result counts as nodata
+where the output's nodata is NaN.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def lit(v) -> Column:
 
 def real(v: Column) -> Column:
     """NaN as nodata."""
-    return F.when(~F.isnan(v), v)
+    return F.nanvl(v, F.lit(None).cast("double"))
 
 
 def single(v: Column) -> Column:
@@ -27,27 +28,20 @@ def single(v: Column) -> Column:
 
 
 def true(v: Column) -> Column:
-    return F.isnan(v) | (F.abs(v) > EPSILON)
+    """Not zero. Spark orders NaN above all numbers, so that NaN is true; NULL stays NULL."""
+    return F.abs(v) > EPSILON
 
 
-def flag(test: Column, *inputs: Column) -> Column:
-    ok = inputs[0].isNotNull()
-    for x in inputs[1:]:
-        ok = ok & x.isNotNull()
-    return F.when(ok, F.when(test, 1.0).otherwise(0.0))
+def flag(test: Column) -> Column:
+    """1 or 0; NULL where the test is NULL. Inputs occur once, so that nested formulas grow by their length only."""
+    return test.cast("double")
 
 
-def _ordered(a: Column, b: Column, test: Column) -> Column:
-    return flag(test & ~F.isnan(a) & ~F.isnan(b), a, b)
+_LEAST = float("-inf")
 
 
 def divide(a: Column, b: Column) -> Column:
-    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / F.when(b != 0, b))
-
-
-def near(a: Column, b: Column) -> Column:
-    d = a - b
-    return ~F.isnan(d) & (F.abs(d) <= EPSILON)
+    return F.coalesce(F.try_divide(a, b), a * F.lit(float("inf")) + b * 0)
 
 
 def log(v: Column, base: float | None = None) -> Column:
@@ -71,15 +65,15 @@ BINARY = {
     "rdiv": (lambda a, b: real(single(divide(b, a))), "float"),
     "pow": (lambda a, b: real(single(F.pow(a, b))), "float"),
     "rpow": (lambda a, b: real(single(F.pow(b, a))), "float"),
-    "and": (lambda a, b: flag(true(a) & true(b), a, b), "byte"),
-    "or": (lambda a, b: flag(true(a) | true(b), a, b), "byte"),
-    "xor": (lambda a, b: flag(true(a) != true(b), a, b), "byte"),
-    "eq": (lambda a, b: flag(near(a, b), a, b), "byte"),
-    "ne": (lambda a, b: flag(~near(a, b), a, b), "byte"),
-    "gt": (lambda a, b: _ordered(a, b, a > b), "byte"),
-    "ge": (lambda a, b: _ordered(a, b, a >= b), "byte"),
-    "lt": (lambda a, b: _ordered(a, b, a < b), "byte"),
-    "le": (lambda a, b: _ordered(a, b, a <= b), "byte"),
+    "and": (lambda a, b: flag(true(a)) * flag(true(b)), "byte"),
+    "or": (lambda a, b: flag(flag(true(a)) + flag(true(b)) > 0), "byte"),
+    "xor": (lambda a, b: flag(true(a) != true(b)), "byte"),
+    "eq": (lambda a, b: flag(F.abs(a - b) <= EPSILON), "byte"),
+    "ne": (lambda a, b: flag(F.abs(a - b) > EPSILON), "byte"),
+    "gt": (lambda a, b: flag(F.nanvl(a, F.lit(_LEAST)) > b), "byte"),
+    "ge": (lambda a, b: flag(F.nanvl(a, F.lit(_LEAST)) >= b), "byte"),
+    "lt": (lambda a, b: flag(a < F.nanvl(b, F.lit(_LEAST))), "byte"),
+    "le": (lambda a, b: flag(a <= F.nanvl(b, F.lit(_LEAST))), "byte"),
     "bitand": (lambda a, b: single(long(a).bitwiseAND(long(b)).cast("double")), "float"),
     "bitor": (lambda a, b: single(long(a).bitwiseOR(long(b)).cast("double")), "float"),
     "bitxor": (lambda a, b: single(long(a).bitwiseXOR(long(b)).cast("double")), "float"),
@@ -90,7 +84,7 @@ UNARY = {
     "abs": (F.abs, None),
     "uminus": (lambda a: -a, None),
     "bitnot": (lambda a: F.bitwise_not(long(a)).cast("double"), None),
-    "not": (lambda a: flag(~true(a), a), "byte"),
+    "not": (lambda a: flag(~true(a)), "byte"),
     "sin": (lambda a: real(single(F.sin(a))), "float"),
     "cos": (lambda a: real(single(F.cos(a))), "float"),
     "tan": (lambda a: real(single(F.tan(a))), "float"),
