@@ -9,9 +9,6 @@ from ..sources.catalog import Catalog
 from .parser import Assign, Call, Literal, Name, Node, ParseError, Resource, parse
 from .registry import lookup
 
-#: Operators that know all tiles of their bounds: a crop of theirs is not moved below them.
-_LOCAL = {"add", "minus", "mult", "div", "+", "-", "*", "/", "**", "pow", "&&", "||", "and", "or", "xor", "==", "!=", "<>", ">", ">=", "<", "<=", "eq", "ne", "gt", "ge", "lt", "le", "&", "|", "^", "!", "~", "abs", "uminus", "sin", "cos", "tan", "log", "con", "mosaic"}
-
 
 class Engine:
     """Resources come from a catalog, or from rasters and feature frames given by name."""
@@ -48,6 +45,8 @@ class Engine:
                 elif x.name in ("statistics", "stats"):
                     out = lookup(x.name)(args[0], *self._matching(args[1:]))
                 elif x.name == "zoom":
+                    if not isinstance(x.args[0], Resource) or self.catalog is None:
+                        raise ParseError("zoom reads another level of a stored raster")
                     out = self.catalog.raster(x.args[0].name, int(args[1]))
                 else:
                     out = lookup(x.name)(*args)

@@ -119,7 +119,13 @@ _D = ", w AS (SELECT gx, gy, ((z1 + 2 * z2 + z3) - (z7 + 2 * z6 + z5)) / 8 AS x,
 _add("raster_slope", lambda s, d: _cells(focal.slope(raster_a(s, d) * 100000, "deg"), 3), _Z + _D + f"SELECT gx, gy, round(CAST(acos(least(1, {_M} / sqrt(x * x + y * y + {_M} * {_M}))) * 57.2957795 AS FLOAT)::DOUBLE, 3) AS v FROM w")
 _add("raster_aspect", lambda s, d: _cells(focal.aspect(raster_a(s, d) * 100000, "rad"), 3), _Z + _D + "SELECT gx, gy, round(CAST(CASE WHEN x = 0 AND y <= 0 THEN -1 ELSE 2 * pi() - (atan2(-y, -x) + 1.5 * pi()) + CASE WHEN atan2(-y, -x) + 1.5 * pi() >= 2 * pi() THEN 2 * pi() ELSE 0 END END AS FLOAT)::DOUBLE, 3) AS v FROM w")
 _add("raster_slope8", lambda s, d: _cells(focal.slope8(raster_a(s, d) * 100000, "rad"), 3), _Z + " UNION ALL ".join(f"SELECT gx, gy, {k}::BIGINT AS band, round(CAST(atan2(z{k} - e, {_M} * {'sqrt(2)' if x and y else '1'}) AS FLOAT)::DOUBLE, 3) AS v FROM z" for k, (y, x, _) in enumerate(cost.STEPS)))
-_add("raster_kernel_gaussian", lambda s, d: _cells(focal.kernel("gaussian", raster_a(s, d), 400_000), 2))
+_S = "(400000 / (2.8125 * 2 * pi() * 6378137.0 / 360))"
+_add(
+    "raster_kernel_gaussian",
+    lambda s, d: _cells(focal.kernel("gaussian", raster_a(s, d), 400_000), 2),
+    f", m AS (SELECT sum(exp(-0.5 * pow(k / {_S}, 2))) AS m FROM range(-4, 5) t(k)) SELECT c.gx, c.gy, round(CAST(sum(n.v * exp(-0.5 * pow((n.gx - c.gx) / {_S}, 2)) * exp(-0.5 * pow((n.gy - c.gy) / {_S}, 2))) / pow(any_value(m.m), 2) AS FLOAT)::DOUBLE, 2) AS v "
+    + _NEAR.format(n="a", l=4, r=4) + " CROSS JOIN m GROUP BY 1, 2",
+)
 _add("raster_kernel_laplacian", lambda s, d: _cells(focal.kernel("laplacian", raster_a(s, d), 400_000), 2))
 
 _P = ", p AS (SELECT gx // 2 AS gx, gy // 2 AS gy, v, (gy % 2) * 2 + gx % 2 AS k FROM a)\n"

@@ -80,6 +80,9 @@ def _builtin() -> None:
     mapop("ingest")(images.ingest)
     mapop("export")(images.export)
 
+    mapop("zoom")(_of_scans("zoom"))
+    mapop("save")(_of_scans("save"))
+
     def bounded(f):
         """(V, how, size, [column], [width], [w, s, e, n or raster])"""
 
@@ -113,6 +116,15 @@ def _builtin() -> None:
     mapop("leastcostpath", "lcp")(cost.least_cost_path)
 
 
+def _of_scans(name: str):
+    """Known by name; the engine runs these itself, as they need its catalog."""
+
+    def op(*_):
+        raise ValueError(f"{name} is for scripts with a catalog")
+
+    return op
+
+
 def _plain(name: str, *a):
     """Constants among themselves are folded."""
     import math

@@ -266,7 +266,7 @@ def test_every_name_is_registered():
     want = """add + minus - rminus mult * div / rdiv pow ** rpow && and || or xor == eq != <> ne > gt >= ge gte < lt <= le lte & | ^ abs uminus ~ ! sin cos tan log isnodata isnull
     isnodatabounds isnullbounds con bandcombine bc bandextract extract be convert changeclassification normalize crop cropexact fill fillbounds mosaic focalstat tpi kernel slope aspect slope8
     directionalslope dirslope statistics stats quantiles buildpyramid bp rasterizevector rasterize rasterizevectorexact rasterizeexact rasterizepoints rasterizepointsexact costdistance cd
-    leastcostpath lcp inlinecsv csv ingest export"""
+    leastcostpath lcp inlinecsv csv ingest export zoom save"""
     assert not [n for n in want.split() if lookup(n) is None]
 
 
@@ -280,6 +280,9 @@ def test_catalog_cli_and_serving(spark, tmp_path):
     same(values(c.raster("a")), a)
     m = c.meta("a")[3].stats[0]
     assert m[0] == np.nanmin(a) and m[3] == (~np.isnan(a)).sum()
+    same(values(Engine(spark, c).run("zoom([a], 2)"), (12, 12)), aggregators.reduce(a, "MAX"))
+    with pytest.raises(ParseError):
+        Engine(spark, c).run("zoom([a] + 1, 2)")
     part = c.raster("a", 3, Bounds(-180, 45, -136, 90))
     assert part.tiles().count() == 1 and "PushedFilters: [IsNotNull(tx)" in part.sources[0]._jdf.queryExecution().toString()
     main(["mapalgebra", c.path, "b", "-e", "x = [a] + 1; save(x, 'saved') * 2"], spark)
