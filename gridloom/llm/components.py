@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_scratch, scratch
 
+#: Edges of a task at most; few edges need few tasks and files a round.
+PART = 100_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(id, component): every id with an edge, and the smallest id that it reaches.
@@ -26,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low.select("hi", F.col("m").alias("lo")))
-        new = scratch(small.distinct(), "edges")
+        new = scratch(small.distinct().coalesce(-(-before[0] // PART)), "edges")
         now = _sum(new)
         drop_scratch(e)
         e = new
