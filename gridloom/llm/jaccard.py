@@ -29,7 +29,7 @@ from .shingles import sets_of
 
 #: Documents with a shingle from which on it is frequent; most frequent shingles in the broadcast order (the others
 #: take part as rare ones, in longer lists); entries of a block; bits of a sketch; rounds of step 4.
-FREQUENT, ORDERED, BLOCK, SKETCH, ROUNDS = 32, 2_000_000, 128, 1024, 2
+FREQUENT, ORDERED, BLOCK, SKETCH, ROUNDS = 32, 2_000_000, 128, 1024, 1
 _FLUSH = 2_000_000
 
 
@@ -253,8 +253,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     packed = d.mapInArrow(_postings(width, "doc_id", "text", num, den, bits, buckets, frequent), "bucket int, often boolean, tok binary, sid binary, n binary, pos binary, counts binary")
     index = scratch(packed.groupBy("bucket").applyInArrow(_lists, "tok long, sid long, n int, pos int, entries int"), "lists")
     lists = index
-    index = scratch(lists.join(nodes.select("sid", "node"), "sid").select("tok", "node", "n", "pos", "entries"), "index")
+    plain = scratch(lists.join(nodes.select("sid", "node"), "sid").select("tok", "node", "n", "pos", "entries"), "plain")
     drop_scratch(lists)
+    # a set in many lists has few shingles of its own: of a group of near copies, the one that was changed least
+    index = scratch(plain.join(plain.groupBy("node").agg(F.count(F.lit(1)).alias("shared")), "node").select("tok", "node", "n", "pos", "entries", "shared"), "index")
+    drop_scratch(plain)
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b), a < b, written: those at the threshold."""
@@ -271,12 +274,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             drop_scratch(done)
         return out
 
-    # 4: the partner with most common lists, among each list's first (then last) set by a hash
+    # 4: the partner with most common lists, among each list's most typical set, then among its first by a hash
     links = copies
     reached = None
     for k in range(ROUNDS):
         here = _labelled(index, reached)
-        score = F.xxhash64("node", F.lit(k))
+        score = F.struct(-F.col("shared") / F.col("n"), F.xxhash64("node", F.lit(k))) if k == 0 else F.struct(F.xxhash64("node", F.lit(k)))
         mid = here.groupBy("tok").agg(F.min_by("node", score).alias("partner"), F.min_by("n", score).alias("m"), F.min_by("component", score).alias("other"))
         tried = here.join(mid, "tok").where((F.col("component") != F.col("other")) & (100 * F.least("n", "m") * den >= 100 * num * F.greatest("n", "m")))
         best = tried.groupBy("node", "partner").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("partner", F.struct("c", "partner")).alias("partner"))
