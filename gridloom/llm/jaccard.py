@@ -11,7 +11,7 @@ Plan, none of whose steps holds an unbounded group in one task:
    verified partner reaches holds for the set also, so that groups of near copies collapse to components.
 5. Only lists that still hold several components are joined. They are cut into blocks by size and position, with
    bounds: pairs of blocks whose sizes or positions can't reach the threshold are skipped unread. Entries of
-   surviving pairs meet the same bounds, then a parity sketch, then whole sets.
+   surviving pairs meet the same bounds, then sketches that bound the difference from below, then whole sets.
 
 Links inside one component need no further proof, links across components are all verified: the components are exact.
 """
@@ -28,8 +28,9 @@ from .components import components
 from .shingles import sets_of
 
 #: Documents with a shingle from which on it is frequent; most frequent shingles in the broadcast order (the others
-#: take part as rare ones, in longer lists); entries of a block; bits of a sketch; rounds of step 4.
-FREQUENT, ORDERED, BLOCK, SKETCH, ROUNDS = 32, 2_000_000, 128, 1024, 1
+#: take part as rare ones, in longer lists); entries of a block; least and most slots of a sketch, as powers of two;
+#: rounds of step 4.
+FREQUENT, ORDERED, BLOCK, SKETCH, ROUNDS = 32, 2_000_000, 128, (6, 12), 1
 _FLUSH = 2_000_000
 
 
@@ -174,32 +175,46 @@ def _lists(key, table):
 
 
 def _sets(width: int, text_col: str):
-    """Whole sets and parity sketches; bit k of a sketch: an odd number of shingles falls on it."""
+    def go(batches):
+        for b in batches:
+            whole = [x.tobytes() for x in sets_of(text_column(b, text_col), width)]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), binary_array(whole)], ["node", "whole"])
+
+    return go
+
+
+def _sketches(width: int, text_col: str):
+    """Counts of shingles by slot, as many slots as a set has shingles or up to twice as many, at most 255 a slot."""
 
     def go(batches):
         for b in batches:
-            whole, sketch = [], []
+            size, out = [], []
             for x in sets_of(text_column(b, text_col), width):
-                whole.append(x.tobytes())
-                bit = np.bincount((mix(x) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-                sketch.append(np.packbits(bit.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), binary_array(whole), binary_array(sketch)], ["node", "whole", "sketch"])
+                slots = 1 << min(max((len(x) - 1).bit_length(), SKETCH[0]), SKETCH[1])
+                count = np.bincount((mix(x) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+                size.append(len(x))
+                out.append(np.minimum(count, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), pa.array(size, pa.int64()), binary_array(out)], ["node", "size", "sketch"])
 
     return go
 
 
+def least_difference(x: bytes, y: bytes) -> int:
+    """Shingles in which two sets differ at least: the larger sketch folds to the slots of the smaller one."""
+    u, v = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.abs(u.astype(np.int64) - np.minimum(v.reshape(-1, len(u)).sum(0, dtype=np.int64), 255)).sum())
+
+
 def _sketched(num: int, den: int):
-    """Pairs whose sketches differ in no more bits than sets at the threshold may differ in shingles."""
+    """Pairs whose sketches differ by no more than sets at the threshold may differ in shingles."""
 
     def go(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH // 8) for k in (4, 5))
-            nx, ny = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            differ = np.bitwise_count(x ^ y).sum(1)
-            # |x ^ y| = nx + ny - 2 o, and den * o >= num * (nx + ny - o)
-            least = -(-num * (nx + ny) // (num + den))
-            keep = differ <= nx + ny - 2 * least
-            yield b.filter(pa.array(keep)).select([0, 1])
+            keep = []
+            for nx, ny, x, y in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                # |x ^ y| = nx + ny - 2 o, and den * o >= num * (nx + ny - o)
+                keep.append(least_difference(x, y) <= nx + ny - 2 * -(-num * (nx + ny) // (num + den)))
+            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     return go
 
@@ -261,16 +276,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b), a < b, written: those at the threshold."""
-        wanted = scratch(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}-ids")
-        texts = join_small(d.withColumnRenamed("doc_id", "node"), wanted, ["node"], "inner", 32)
-        whole = texts.mapInArrow(_sets(width, "text"), "node long, whole binary, sketch binary").dropDuplicates(["node", "whole"])
-        whole = scratch(whole.join(nodes.select("node", "n"), "node").where("length(whole) = 8 * n"), f"{name}-sets")
-        side = lambda k: whole.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+        ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
+        renamed = d.withColumnRenamed("doc_id", "node")
+        wanted = scratch(ends(pairs), f"{name}-ids")
+        sketch = join_small(renamed, wanted, ["node"], "inner", 32).mapInArrow(_sketches(width, "text"), "node long, size long, sketch binary").dropDuplicates()
+        sketch = scratch(sketch.join(nodes.select("node", "n"), "node").where("size = n").select("node", "n", "sketch"), f"{name}-sketches")
+        side = lambda k: sketch.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched(num, den), "a long, b long")
-        near = scratch(near, f"{name}-near")
+        near = scratch(near.distinct(), f"{name}-near")
+        drop_scratch(sketch)
+        close = scratch(ends(near), f"{name}-near-ids")
+        whole = join_small(renamed, close, ["node"], "inner", 32).mapInArrow(_sets(width, "text"), "node long, whole binary").dropDuplicates()
+        whole = scratch(whole.join(nodes.select("node", "n"), "node").where("length(whole) = 8 * n").select("node", "whole"), f"{name}-sets")
         full = near.join(whole.select(F.col("node").alias("a"), F.col("whole").alias("wa")), "a").join(whole.select(F.col("node").alias("b"), F.col("whole").alias("wb")), "b")
         out = scratch(full.select("a", "b", "wa", "wb").mapInArrow(_verified(num, den), "a long, b long"), name)
-        for done in (wanted, whole, near, pairs):
+        for done in (wanted, close, whole, near, pairs):
             drop_scratch(done)
         return out
 
