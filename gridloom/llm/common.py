@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a side is broadcast; beyond it both sides are shuffled.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a batch of rows that goes to Python, where the session doesn't say otherwise: very long texts come few at a time.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: `[^\x20\x09-\x0D]+`, the words that all operators count and compare.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,7 +76,9 @@ def drop_scratch(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once an application."""
+    """Give the executors this package, once an application, and bound the batches that they get."""
+    if spark.sparkContext.getConf().get(BATCH_KEY) is None:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

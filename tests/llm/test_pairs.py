@@ -72,6 +72,22 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, frequent):
     assert sorted(((r.n_shingles, r.component_id) for r in got if r.doc_id is None), key=str) == [(0, None), (1, None)]
 
 
+def test_sketches_never_overstate_a_difference():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    text = lambda n, vocabulary: " ".join(str(rng.randrange(vocabulary)) for _ in range(n))
+    texts = ["", "a", "z " * 3000, *(text(n, v) for n in (5, 70, 300, 1500, 9000) for v in (3, 50, 10**6))]
+    texts += [t + " " + text(20, 10**6) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["node", "text"])
+    (got,) = jaccard._sketches(5, "text")([batch])
+    sketch, sets = got.column(2).to_pylist(), [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        assert jaccard.least_difference(sketch[i], sketch[i]) == 0
+        for j in range(i):
+            assert jaccard.least_difference(sketch[i], sketch[j]) <= len(sets[i] ^ sets[j])
+
+
 def test_keep_one_and_empty(spark):
     df = spark.createDataFrame([(2, "a b c d e f", "p"), (1, "a b c d e f", "q"), (3, None, "r"), (None, "a", "s")], "doc_id long, text string, component string")
     assert sorted(r.component for r in jaccard.keep_one(df).collect()) == ["q", "r", "s"]
