@@ -42,10 +42,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(0, Window.unboundedFollowing)
     w = w.withColumn("budget", share * F.sum("source_size").over(whole)).withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("open", F.sum("weight").over(after))
-    # the level if this source and all after it are open; the first for which it is within its cap is the level
+    # the level if this source and all after it are open; the first for which it is within its cap is the level, and
+    # the greatest, as levels only fall from there on
     w = w.withColumn("level", (F.col("budget") - F.col("full")) / F.col("open"))
     w = w.withColumn("settled", F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")))
-    w = w.withColumn("level", F.min("settled").over(whole))
+    w = w.withColumn("level", F.max("settled").over(whole))
     return w.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 

@@ -134,6 +134,20 @@ def test_mixing(spark, monkeypatch, few):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n", [3, 6, 20])
+def test_mixing_many_sources_under_their_caps(spark, n):
+    rows = [(k, "w " * 10, f"s{k % n:02}") for k in range(10 * n)]
+    _, total, target = mix_oracle(rows)
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    have = {rows[r.doc_id][2]: r.target for r in got}
+    assert have == pytest.approx(target) and sum(have.values()) == pytest.approx(1.5 * sum(total.values()))
+    taken = collections.Counter()
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[rows[r.doc_id][2]] += r.taken
+    assert all(abs(taken[s] - t) <= 5 for s, t in target.items())
+
+
 def test_quality_learns_and_survives_edges(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
