@@ -68,3 +68,39 @@ def test_pipeline_stages(spark, tmp_path):
     before = [(r.doc_id, r.text) for r in seen[2].collect()]
     assert sorted(r.doc_id for r in seen[3].collect()) == [i for i, _, c in expected(before) if i == c]
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(r.doc_id for r in seen[5].collect())
+
+
+def test_pipeline_mixes_and_encodes_as_brute_force(spark):
+    import collections
+    import hashlib
+    import math
+
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+    from test_texts import mix_oracle
+
+    from gridloom.llm import bpe
+
+    stages = dict(corpus_pipeline.STAGES)
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()]
+    size, total, target = mix_oracle(rows)
+    at = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16)
+    want, upto = collections.Counter(), collections.Counter()
+    for (i, _, s), n in sorted(zip(rows, size), key=lambda x: at(x[0][0])):
+        copies = math.floor(target[s] / total[s]) if total[s] else 0
+        left = target[s] - copies * total[s] - upto[s]
+        want[i] = 1 if not n else copies + (left >= 0 and 2 * left >= n)
+        upto[s] += n
+    out = stages["mixing sources to target weights"](spark, docs, sf)
+    got = out.select("doc_id", "text").collect()
+    assert collections.Counter(r.doc_id for r in got) == +want
+    words = dict(zip((i for i, _, _ in rows), size))
+    assert sum(words[r.doc_id] for r in got) == pytest.approx(1.5 * sum(size), rel=0.02)
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.default_path()), special_tokens={})
+    ids = {i: enc.encode_ordinary(t or "") for i, t, _ in rows}
+    coded = stages["byte-level BPE encoding and decoding"](spark, out, sf).collect()
+    assert sorted((r.doc_id, r.ids) for r in coded) == sorted((r.doc_id, ids[r.doc_id]) for r in got)
