@@ -1,9 +1,10 @@
 """Embedding near-duplicates by spherical-cap filters with structured random product codes.
 
 A seeded rotation turns every unit vector; its coordinates are cut into blocks, and each block has a code of random
-unit vectors. A filter direction is one codeword from each block; a vector takes all filters whose inner product with
-it exceeds a threshold, which list decoding finds block by block without walking through the product. Vectors of a
-filter are compared exactly. Filters are many and narrow enough that near vectors share several, by the tables below.
+unit vectors. A filter direction is one codeword from each block; a vector takes the filters with the greatest inner
+products with it, equally many for each vector, which list decoding finds block by block without walking through the
+product. Vectors of a filter are compared exactly. How many filters a vector takes is chosen by the share of random
+pairs at the least cosine that have a common one, measured for the code at hand.
 """
 
 from __future__ import annotations
@@ -18,67 +19,84 @@ from pyspark.sql import functions as F
 from .common import binary_array, scratch, ship
 from .components import components
 
-#: Filters of a vector on average; vectors of a filter on average that the code's size aims at; members of a filter
-#: that meet in one piece (larger ones are cut into pairs of pieces); rows of one task.
-FILTERS, AIM, PIECE, TASK = 16, 48, 1024, 40_000
+#: Filters of a vector, the first number that reaches RECALL (else the last); vectors of a filter on average that the
+#: code's size aims at; members of a filter that meet in one piece (larger ones are cut into pairs of pieces); rows of
+#: one task.
+FILTERS, AIM, PIECE, TASK = (16, 24, 32, 48, 64), 128, 1024, 40_000
+#: Share of pairs at the least cosine that must have a common filter, and the random pairs on which it is measured.
+RECALL, PAIRS = 0.995, 2000
+
+
+def pairs_at(dim: int, cosine: float, n: int = PAIRS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors at a cosine."""
+    rng = np.random.default_rng(seed)
+    x, u = rng.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * u
+
+
+def _best(v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the m greatest values of each row, and the values."""
+    at = np.argpartition(-v, m - 1, axis=1)[:, :m] if m < v.shape[1] else np.broadcast_to(np.arange(v.shape[1]), v.shape)
+    return at, np.take_along_axis(v, at, 1)
 
 
 class Code:
     """Product code for vectors of `dim` components, so fine that a filter gets about AIM of n vectors."""
 
-    def __init__(self, dim: int, n: int) -> None:
+    def __init__(self, dim: int, n: int, filters: int) -> None:
         rng = np.random.default_rng(20_240 + dim)
-        share = min(1 / 256, AIM / max(1, n))
-        total = FILTERS / share
-        self.parts = 1 if dim < 4 else 2 if total <= 1 << 16 or dim < 12 else 3
-        self.size = max(2, math.ceil(total ** (1 / self.parts)))
+        self.filters, self.parts = filters, 1 if dim < 4 else 2
+        self.size = math.ceil(max(filters, filters * n / AIM) ** (1 / self.parts))
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cut = [round(dim * k / self.parts) for k in range(self.parts + 1)]
         self.words = []
         for a, z in zip(self.cut, self.cut[1:]):
             w = rng.standard_normal((self.size, z - a))
-            self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / math.sqrt(self.parts))
-        # the threshold that random directions exceed with probability `share`, from a fixed sample of them
-        x = rng.standard_normal((4096, dim))
-        x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ self.turn
-        pick = [s[:, rng.integers(self.size, size=512)] for s in self._scores(x)]
-        self.least = float(np.quantile(sum(pick), 1 - share))
-
-    def _scores(self, turned: np.ndarray) -> list[np.ndarray]:
-        return [turned[:, a:z] @ w.T for a, z, w in zip(self.cut, self.cut[1:], self.words)]
+            self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True))
+
+    def _some(self, x: np.ndarray) -> np.ndarray:
+        turned = x @ self.turn
+        ids, sums = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+        for a, z, w in zip(self.cut, self.cut[1:], self.words):
+            # the best sums are made of the best of each block
+            word, v = _best(turned[:, a:z] @ w.T, self.filters)
+            every = (ids[:, :, None] * self.size + word[:, None, :]).reshape(len(x), -1)
+            at, sums = _best((sums[:, :, None] + v[:, None, :]).reshape(len(x), -1), self.filters)
+            ids = np.take_along_axis(every, at, 1)
+        return np.sort(ids, axis=1)
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """Filters of each unit vector, ascending; the best one if none exceeds the threshold."""
-        scores = self._scores(x @ self.turn)
-        best = [s.max(1) for s in scores]
-        out = []
-        for i in range(len(x)):
-            ids, sums = np.zeros(1, np.int64), np.zeros(1)
-            for k, s in enumerate(scores):
-                rest = sum(b[i] for b in best[k + 1 :])
-                word = np.flatnonzero(s[i] + sums.max() + rest > self.least)
-                t = sums[:, None] + s[i, word][None, :]
-                a, b = np.nonzero(t + rest > self.least)
-                ids, sums = ids[a] * self.size + word[b], t[a, b]
-                if not len(ids):
-                    break
-            if not len(ids):
-                ids = np.array([int(np.ravel_multi_index([int(s[i].argmax()) for s in scores], [self.size] * self.parts))], np.int64)
-            out.append(np.sort(ids))
-        return out
+        """The best filters of each unit vector, ascending."""
+        step = max(1, (1 << 21) // max(self.size, self.filters**2))
+        return [row for k in range(0, len(x), step) for row in self._some(x[k : k + step])]
+
+    def recall(self, cosine: float) -> float:
+        """Share of random pairs at a cosine that have a common filter."""
+        x, y = (np.array(self.decode(v)) for v in pairs_at(len(self.turn), cosine))
+        return float(np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(x, y)]))
 
 
 _codes: dict = {}
 
 
-def _code(dim: int, n: int) -> Code:
+def _code(dim: int, n: int, least: float = 0.95, filters: int = 0) -> Code:
+    """The code for n vectors; without a number of filters, with the fewest that reach RECALL at cosine `least`."""
     n = 1 << max(8, n - 1).bit_length()
-    if (dim, n) not in _codes:
-        _codes[dim, n] = Code(dim, n)
-    return _codes[dim, n]
-
-
-def _decode(n: int):
+    if not filters:
+        for filters in FILTERS:
+            code = Code(dim, n, filters)
+            if code.recall(least) >= RECALL:
+                break
+        _codes[dim, n, filters] = code
+    if (dim, n, filters) not in _codes:
+        _codes[dim, n, filters] = Code(dim, n, filters)
+    return _codes[dim, n, filters]
+
+
+def _decode(n: int, filters: dict[int, int]):
     def go(batches):
         for b in batches:
             vec, mult = b.column(0), b.column(1)
@@ -87,7 +105,7 @@ def _decode(n: int):
             for dim in np.unique(dims) if len(rows) else []:
                 at = np.flatnonzero(dims == dim)
                 x = np.frombuffer(b"".join(rows[i] for i in at), np.float64).reshape(-1, dim)
-                got = _code(int(dim), n).decode(x)
+                got = _code(int(dim), n, filters=filters[int(dim)]).decode(x)
                 each = np.repeat(at, [len(g) for g in got])
                 take = pa.array(each)
                 lists = [g.tobytes() for g in got]
@@ -192,7 +210,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     different lengths or those with a null id (whose component is null). Equal directions are one class with a count.
     Rows that repeat an id with other vectors share its component; n_links is each row's own and counts rows, as
     long as an id's vectors are equal. Every link found is verified; a link is missed where two vectors share no
-    filter. No rows: no rows. Other columns are left alone.
+    filter, at most about 1 - RECALL of random ones at cosine `least` and fewer above it. No rows: no rows. Other columns are left alone.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -202,11 +220,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     rows = unit.select("vec_id", "k")
     classes = scratch(unit.where("k is not null").groupBy("k").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("mult"), F.first("x").alias("x")), "classes")
     n = classes.count()
-    parts = scratch(classes.select("node", "mult", "x").mapInArrow(_decode(n), "filter long, dim int, node long, mult long, x binary, own binary"), "filters")
+    # chosen here, so that all executors take the same
+    dims = [r.d for r in classes.select((F.length("x") / 8).cast("int").alias("d")).distinct().collect()]
+    filters = {d: _code(d, n, least).filters for d in dims}
+    parts = scratch(classes.select("node", "mult", "x").mapInArrow(_decode(n, filters), "filter long, dim int, node long, mult long, x binary, own binary"), "filters")
     full = parts.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("pieces", F.ceil(F.col("m") / PIECE).cast("int"))
     cut = parts.join(full, ["dim", "filter"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cut = cut.select("filter", "dim", "node", "mult", "x", "own", "piece", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"))
-    tasks = max(8, -(-n * FILTERS // TASK))
+    tasks = max(8, -(-n * max(filters.values(), default=0) // TASK))
     done = scratch(cut.withColumn("task", F.pmod(F.xxhash64("dim", "filter", "p", "q"), F.lit(tasks))).groupBy("task").applyInArrow(_verify(least), "a long, b long, n long"), "verified")
     links = done.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     copies = rows.where("k is not null").join(classes.select("k", "node"), "k").where("vec_id != node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))

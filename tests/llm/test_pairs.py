@@ -134,3 +134,16 @@ def test_caps_recall_and_precision(spark, monkeypatch, piece):
         if i not in want:
             assert (r.n_links, r.component_id) == (0, i)
     assert caps.near_duplicates(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("dim,n", [(64, 1 << 10), (64, 1 << 16), (64, 1 << 17), (64, (1 << 17) + 1), (64, 1 << 20), (16, 1 << 20)])
+def test_caps_borderline_pairs_share_filters_at_every_size(dim, n):
+    rng = np.random.default_rng(8)
+    x, u = rng.standard_normal((2, 600, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u -= (u * x).sum(1, keepdims=True) * x
+    y = 0.951 * x + (1 - 0.951**2) ** 0.5 * u / np.linalg.norm(u, axis=1, keepdims=True)
+    code = caps._code(dim, n)
+    a, b = code.decode(x), code.decode(y)
+    assert np.mean([len(np.intersect1d(i, j)) > 0 for i, j in zip(a, b)]) >= 0.98
+    assert min(map(len, a)) >= 8
