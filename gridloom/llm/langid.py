@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, text_column
+from .common import join_small, scratch, ship, text_column
 from .quality import held_out
 
 #: Training texts of a language, those with the smallest hashes of their ids; words and n-grams of a language that the
@@ -95,7 +95,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """From (doc_id, text, lang): texts with a language whose crc32(id) mod 4 isn't 2, at most `sample` of a language.
 
     Sampled by the smallest hashes of ids, in two steps so that no language's texts meet in one task: a threshold on
-    the hash from counts by its leading bits, then those below it. A model holds 1000 languages at most.
+    the hash from counts by its leading bits, then those below it. A model holds every language, and for each word and n-gram a number a language.
     """
     ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 40))
     hist = ok.groupBy("lang", F.shiftright("h", 12).alias("b")).count()
@@ -103,8 +103,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     from pyspark.sql import Window
 
     run = langs.withColumn("before", F.sum("count").over(Window.partitionBy("lang").orderBy("b")) - F.col("count"))
-    limits = run.where(F.col("before") < sample).groupBy("lang").agg(F.max("b").alias("b"))
-    some = ok.join(F.broadcast(limits.orderBy("lang").limit(1000)).withColumnRenamed("b", "_b"), "lang").where(F.shiftright("h", 12) <= F.col("_b"))
+    limits = scratch(run.where(F.col("before") < sample).groupBy("lang").agg(F.max("b").alias("_b")), "limits")
+    some = join_small(ok, limits.withColumn("_l", F.encode("lang", "UTF-8")), ["lang"], "inner", 48, "_l").where(F.shiftright("h", 12) <= F.col("_b"))
     counts = some.select("lang", "text").mapInArrow(_count, "lang string, kind int, gram string, n long")
     total = counts.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram"))

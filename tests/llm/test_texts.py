@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 
@@ -192,3 +193,13 @@ def test_language_id(spark):
     assert len(got) == len(rows) and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
     assert [got[k].lang_pred for k in (1000, 1001, 1002)] == ["und"] * 3 and got[1003].lang_pred == "aa"
     assert langid.identify(df.limit(0)).collect() == []
+
+
+def test_language_id_learns_more_than_a_thousand_languages(spark):
+    word = lambda k: "".join("abcdefghijk"[k // 11**p % 11] for p in range(3))
+    n = 1050
+    rows = [(10 * k + i, word(k), f"l{k:04}") for k in range(n) for i in range(4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    trained = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(trained) > 1000 and model.langs == sorted(trained)
+    assert all(model.predict(word(int(x[1:])))[0] == x for x in (min(trained), max(trained)))
