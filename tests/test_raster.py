@@ -399,3 +399,25 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert len(e.queries()) > 90 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_geohashes_equal_bisection(spark):
+    def bisected(lat, lon, length):
+        lo, hi, out = [-180.0, -90.0], [180.0, 90.0], ""
+        for c in range(length):
+            v = 0
+            for k in range(5):
+                a = (5 * c + k) % 2
+                mid = (lo[a] + hi[a]) / 2
+                up = (lon, lat)[a] >= mid
+                (lo if up else hi)[a] = mid
+                v = 2 * v + up
+            out += "0123456789bcdefghjkmnpqrstuvwxyz"[v]
+        return out
+
+    at = [(57.64911, 10.40744), (42.6, -5.6), (-90.0, -180.0), (90.0, 180.0), (0.0, 0.0), (-0.1, 179.99)] + [((u * 17) % 180 - 90.0, (e * 37) % 360 - 180.0) for u, e in ((k * 7 % 101, k) for k in range(300))]
+    df = spark.createDataFrame(at, "lat double, lon double")
+    for length in (1, 5, 8, 11):
+        got = df.select("lat", "lon", geometry.geohash(F.col("lat"), F.col("lon"), length).alias("g")).collect()
+        assert [r.g for r in got] == [bisected(r.lat, r.lon, length) for r in got]
+    assert bisected(57.64911, 10.40744, 11) == "u4pruydqqvj"
