@@ -133,9 +133,10 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
     ('0x' || substring(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([3.0, 1.0, 2.0])[(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
-l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW o AS (ORDER BY cap / weight, encode(source) NULLS LAST)),
-t AS (SELECT source, source_size, coalesce(least(cap, min(CASE WHEN level * weight <= cap THEN level END) OVER () * weight), cap) AS target FROM l),
+-- a source is full where filling all to its own level, min(cap, weight * cap_i / weight_i), takes no more than the budget
+f AS (SELECT i.source, any_value(i.source_size) AS source_size, any_value(i.weight) AS weight, any_value(i.cap) AS cap,
+    sum(least(j.cap * i.weight, j.weight * i.cap)) <= 1.5 * sum(j.source_size) * any_value(i.weight) AS is_full FROM w i, w j GROUP BY i.source),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * ((1.5 * sum(source_size) OVER () - coalesce(sum(cap) FILTER (is_full) OVER (), 0)) / sum(weight) FILTER (NOT is_full) OVER ()) END AS target FROM f),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t),
 r AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.copies, b.target - b.copies * b.source_size AS budget,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source)

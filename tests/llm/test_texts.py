@@ -113,9 +113,9 @@ def mix_oracle(rows):
     return size, total, target
 
 
-@pytest.mark.parametrize("few", [100_000, 0])
+@pytest.mark.parametrize("few", [1 << 20, 0])
 def test_mixing(spark, monkeypatch, few):
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    monkeypatch.setattr(mixing, "BROADCAST", few)
     rng = random.Random(4)
     rows = [(k, " ".join("w" for _ in range(rng.randint(0, 30))), rng.choice(["a", "a", "a", "B", "é", None, "z"])) for k in range(600)] + [(600, None, "a"), (601, "", "empty"), (602, "one", "one"), (None, "a b", "B")]
     df = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, source string, size int, times string")
@@ -149,6 +149,18 @@ def test_mixing_many_sources_under_their_caps(spark, n):
     assert all(abs(taken[s] - t) <= 5 for s, t in target.items())
 
 
+def test_mixture_takes_an_id_by_its_source(spark):
+    rows = [(k // 2, "w " * 10, "ab"[k % 2], 5) for k in range(200)] + [(7, "w " * 10, "a", 5), (900, "", "a", 5), (901, None, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, times int")
+    planned = mixing.mix(df).collect()
+    taken = collections.Counter((r.doc_id, r.target) for r in planned for _ in range(r.taken // 10 if r.size else 1))
+    _, _, target = mix_oracle([(i, t, s) for i, t, s, _ in rows])
+    assert target["a"] != target["b"] and {r.target for r in planned} == set(target.values())
+    out = mixing.apply_mix(df)
+    assert collections.Counter((r.doc_id, target[r.source]) for r in out.collect()) == taken
+    assert out.columns == df.columns and mixing.apply_mix(df.limit(0)).collect() == []
+
+
 def test_quality_learns_and_survives_edges(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
