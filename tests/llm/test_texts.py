@@ -26,19 +26,63 @@ def spans(texts, size=200):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"broadcast_grams": 0}, {"hot": 1}])
-def test_repeats_equal_brute_force(spark, how):
+def repeated(df, **how):
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeated_spans(df, **how).collect()), key=str)
+
+
+def expected_spans(rows):
+    return sorted(((r[0], *w) for r, w in zip(rows, spans([(r[1] or "").encode() for r in rows]))), key=str)
+
+
+@pytest.mark.parametrize("bucket", [40_000, 4])
+@pytest.mark.parametrize("how", [{}, {"broadcast_grams": 0}])
+def test_repeats_equal_brute_force(spark, monkeypatch, how, bucket):
+    monkeypatch.setattr(repeats, "BUCKET", bucket)
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 7)))
     shared = [" ".join(word() for _ in range(60)) for _ in range(4)]
     texts = EDGES + [" ".join(word() for _ in range(80)) + shared[k % 4][k % 50 :] + " ".join(word() for _ in range(40)) for k in range(40)] + [shared[0], shared[0]]
-    rows = [(k, t, 1, 2) for k, t in enumerate(texts)] + [(3, texts[3], 1, 2)]
+    # a common line of 150 bytes amid different text, some of it alike on one side
+    line = (" ".join(word() for _ in range(60)))[:150]
+    texts += [(shared[k % 3][:40] if k % 2 else "") + word() + line + word() + (shared[k % 4][:60] if k % 5 else word()) for k in range(60)]
+    rows = [(k, t, 1, 2) for k, t in enumerate(texts)] + [(3, texts[3], 1, 2), (None, texts[-1], 1, 2), (None, texts[-1], 1, 2), (None, None, 1, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int, k1 int")
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeated_spans(df, **how).collect())
-    assert got == sorted((r[0], *w) for r, w in zip(rows, spans([(r[1] or "").encode() for r in rows])))
+    assert repeated(df, **how) == expected_spans(rows)
     assert repeats.repeated_spans(df.limit(0), **how).collect() == []
 
 
+def test_repeats_in_rows_of_several_pieces(spark):
+    """Rows over 4 MB are cut into pieces: passages across the cuts, twice in one row and in another row."""
+    rng = random.Random(12)
+    noise = lambda n: rng.randbytes(n // 2).hex()
+    passage, own = noise(900), noise(400)
+    cut = 4 << 20
+    long = noise(cut - 500) + passage + noise(700_000) + own + noise(30_000) + own + noise(100)
+    rows = [(1, long), (2, noise(300) + passage + noise(200)), (3, noise(250))]
+    got = {r.doc_id: r for r in repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        want = []
+        for x in (passage, own):
+            at = t.find(x)
+            while at >= 0:
+                want.append([at, at + len(x)])
+                at = t.find(x, at + 1)
+        want.sort()
+        # a byte beside a passage may happen to repeat too
+        assert len(got[i].spans) == len(want) and all(abs(a - c) <= 8 and abs(b - e) <= 8 and a <= c and b >= e for (a, b), (c, e) in zip(got[i].spans, want))
+        assert got[i].n_bytes == len(t) and got[i].n_removed == sum(b - a for a, b in got[i].spans)
+
+
+def test_multikey_quicksort_sorts():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (3000, 24)).astype(np.uint8)
+    x[::3] = x[1]
+    assert [r.tobytes() for r in x[repeats.multikey_quicksort(x)]] == sorted(r.tobytes() for r in x)
+    assert len(repeats.multikey_quicksort(x[:0])) == 0
+
+
 def test_bpe_equals_tiktoken(spark):
     import public_tokenizers
     import tiktoken
