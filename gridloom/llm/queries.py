@@ -163,11 +163,19 @@ _OP9 = r"""
 WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM a),
 h AS (SELECT *, ('0x' || substring(md5(line), 1, 15))::BIGINT % 1000003 AS h FROM l),
-b AS (SELECT *, ((31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) + h) % 1000003) % 2 = 0 AS ends FROM h),
-c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM b),
+r AS (SELECT *, (31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) % 1000003 + h % 1000003) % 1000003 AS r FROM h),
+b AS (SELECT *, i > 0 AND coalesce(lag(r) OVER o > r AND r <= lead(r) OVER o, false) AS ends FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM b),
+c AS (SELECT *, part * 100000 + (i - min(i) OVER (PARTITION BY doc_id, part)) // 16 AS chunk FROM m),
 g AS (SELECT doc_id, chunk, min(i) AS p, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY 1, 2),
-f AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, p) > 1 AS gone FROM g),
-k AS (SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY p) FILTER (NOT gone), '') AS kept, count(*) FILTER (gone) AS removed_chunks, coalesce(sum(n) FILTER (gone), 0) AS removed_lines FROM f GROUP BY 1)
+f AS (SELECT *, n > 1 AND row_number() OVER w > 1 AS gone, first_value(doc_id) OVER w AS doc0, first_value(p) OVER w AS p0 FROM g WINDOW w AS (PARTITION BY body ORDER BY doc_id, p)),
+e AS (SELECT *, CASE WHEN lag(gone) OVER o THEN 0 ELSE coalesce(lag(n) OVER o, 0) END AS most_b, CASE WHEN lead(gone) OVER o THEN 0 ELSE coalesce(lead(n) OVER o, 0) END AS most_a FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+u AS (SELECT doc_id, p, n, doc0, p0, unnest(range(1, most_b + 1)) AS k, p - k AS i, p0 - k AS i0, most_b AS most, -1 AS side FROM e WHERE gone
+  UNION ALL SELECT doc_id, p, n, doc0, p0, unnest(range(1, most_a + 1)) AS k, p + n - 1 + k, p0 + n - 1 + k, most_a, 1 FROM e WHERE gone),
+v AS (SELECT u.*, coalesce(min(CASE WHEN y.line = x.line THEN NULL ELSE k END) OVER (PARTITION BY u.doc_id, u.p, side), most + 1) AS stop FROM u JOIN l x ON x.doc_id = u.doc_id AND x.i = u.i LEFT JOIN l y ON y.doc_id = u.doc0 AND y.i = u.i0),
+z AS (SELECT doc_id, i FROM v WHERE k < stop UNION SELECT c.doc_id, c.i FROM c JOIN f ON f.doc_id = c.doc_id AND f.chunk = c.chunk WHERE f.gone),
+k AS (SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (z.i IS NULL), '') AS kept, count(z.i) AS removed_lines, any_value(s.removed_chunks) AS removed_chunks
+  FROM l LEFT JOIN z ON z.doc_id = l.doc_id AND z.i = l.i LEFT JOIN (SELECT doc_id, count(*) AS removed_chunks FROM f WHERE gone GROUP BY 1) s ON s.doc_id = l.doc_id GROUP BY 1)
 SELECT d.doc_id, length(kept)::BIGINT AS kept_chars, md5(kept) AS kept_md5, coalesce(removed_chunks, 0)::BIGINT AS removed_chunks, coalesce(removed_lines, 0)::BIGINT AS removed_lines
 FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
 """

@@ -108,26 +108,61 @@ def test_rank_queue_pops_least_rank_then_leftmost():
     assert [q.pop() for _ in items] == sorted(items) and q.pop() is None
 
 
+def line_chunks(lines):
+    """(first, number) of chunks, a line at a time."""
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) % 1_000_003 for x in lines]
+    r = [(31 * (h[k - 1] if k else 0) + h[k]) % 1_000_003 for k in range(len(h))]
+    out, at = [], 0
+    for k in range(len(lines)):
+        low = 0 < k < len(lines) - 1 and r[k - 1] > r[k] and r[k + 1] >= r[k]
+        if low or k == len(lines) - 1:
+            while k + 1 - at > 16:
+                out.append((at, 16))
+                at += 16
+            out.append((at, k + 1 - at))
+            at = k + 1
+    return out
+
+
 def line_oracle(rows):
-    seen, out = {}, []
+    """Whole texts in the order of ids; rows are taken as they come where ids are equal."""
+    split = {i: t.split("\n") for i, t in rows if t is not None}
+    first, gone = {}, collections.defaultdict(dict)
+    for i in sorted(split):
+        for a, n in line_chunks(split[i]):
+            body = tuple(split[i][a : a + n])
+            if n > 1 and first.setdefault(body, (i, a)) != (i, a):
+                gone[i][a] = (n, *first[body])
+    out = []
     for i, t in sorted(rows, key=lambda r: r[0]):
         if t is None:
             out.append((i, None))
             continue
-        kept = []
-        for at, x in lines.chunks(t):
-            body = "\n".join(x)
-            if len(x) > 1 and seen.setdefault(body, (i, at)) != (i, at):
+        x, drop, parts = split[i], set(), line_chunks(split[i])
+        for j, (a, n) in enumerate(parts):
+            if a not in gone[i]:
                 continue
-            kept += x
-        out.append((i, "\n".join(kept)))
+            drop.update(range(a, a + n))
+            _, i0, a0 = gone[i][a]
+            y = split[i0]
+            if j and parts[j - 1][0] not in gone[i]:
+                for k in range(1, parts[j - 1][1] + 1):
+                    if a0 - k < 0 or y[a0 - k] != x[a - k]:
+                        break
+                    drop.add(a - k)
+            if j + 1 < len(parts) and parts[j + 1][0] not in gone[i]:
+                for k in range(parts[j + 1][1]):
+                    if a0 + n + k >= len(y) or y[a0 + n + k] != x[a + n + k]:
+                        break
+                    drop.add(a + n + k)
+        out.append((i, "\n".join(v for k, v in enumerate(x) if k not in drop)))
     return out
 
 
 def test_line_dedup(spark):
     rng = random.Random(2)
     pool = [f"line {k} of some text" for k in range(30)]
-    rows = list(enumerate([*EDGES, *("\n".join(pool[s : s + rng.randint(2, 25)]) for s in (rng.randrange(20) for _ in range(40)))]))
+    rows = list(enumerate([*EDGES, "same\n" * 1000, "\n".join(pool) + "\nsame" * 40, *("\n".join(pool[s : s + rng.randint(2, 25)]) for s in (rng.randrange(20) for _ in range(40)))]))
     df = spark.createDataFrame([(t, i, 1, "m") for i, t in rows], "text string, doc_id long, row int, marks string")
     got = lines.dedup_lines(df)
     assert got.columns == df.columns
@@ -135,6 +170,30 @@ def test_line_dedup(spark):
     twice = lines.dedup_lines(df.union(df)).collect()
     assert sorted(((r.doc_id, r.text) for r in twice), key=str) == sorted([*line_oracle(rows)] * 2, key=str)
     assert lines.dedup_lines(df.limit(0)).collect() == []
+    none = spark.createDataFrame([(None, t) for t in ["a\nb\nc\nd", "x\ny", None]] + [(1, "a\nb\nc\nd"), (2, "x\ny")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in lines.dedup_lines(none).collect()), key=str)
+    assert [r for r in got if r[0] is None] == sorted([(None, "a\nb\nc\nd"), (None, "x\ny"), (None, None)], key=str) and (2, "") in got
+
+
+@pytest.mark.parametrize("n,share", [(8, 0.5), (12, 0.8), (20, 0.95), (50, 0.99)])
+def test_line_dedup_removes_planted_passages(spark, n, share):
+    """Passages of n lines that two documents share amid lines of their own: the second loses most, and nothing else."""
+    rng = random.Random(n)
+    line = lambda: " ".join(str(rng.randrange(1000)) for _ in range(12))
+    rows, own = [], {}
+    for k in range(200):
+        passage = [line() for _ in range(n)]
+        for side in range(2):
+            a, z = [line() for _ in range(rng.randint(1, 9))], [line() for _ in range(rng.randint(1, 9))]
+            rows.append((2 * k + side, "\n".join(a + passage + z)))
+            own[2 * k + side] = a + z
+    got = {r.doc_id: (r.text or "").split("\n") for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = 0
+    for i, t in rows:
+        left = collections.Counter(got[i])
+        assert not collections.Counter(own[i]) - left and (i % 2 or "\n".join(got[i]) == t)
+        gone += len(t.split("\n")) - len(got[i])
+    assert gone >= share * 200 * n
 
 
 def mix_oracle(rows):
