@@ -46,6 +46,80 @@ def test_rollup_is_idempotent(spark):
         r.apply("a/b", first)
 
 
+def test_rollup_counts_once_wherever_a_compaction_stops(spark, monkeypatch):
+    """compact() is stopped before each of its steps in the file system, begun anew and run again."""
+    row = lambda n: spark.createDataFrame([("insert", "a", "en", "t", None, n)], "op string, source string, lang string, tokenizer string, old_tokens long, new_tokens long")
+
+    class Stop(Exception):
+        pass
+
+    for stop in range(1, 9):
+        path = scratch_path(spark, f"test-rollup-{stop}")
+        r = rollup.Rollup(spark, path)
+        total = 0
+        for k in range(2):
+            for j in range(2):
+                assert r.apply(f"{k}{j}", row(10 * k + j + 1))
+                total += 10 * k + j + 1
+            left = [stop]
+
+            class Files:
+                def __init__(self, fs):
+                    self.fs = fs
+
+                def __getattr__(self, name):
+                    def call(*a):
+                        if name in ("rename", "delete", "create"):
+                            left[0] -= 1
+                            if left[0] < 0:
+                                raise Stop
+                        return getattr(self.fs, name)(*a)
+
+                    return call
+
+            broken = rollup.Rollup(spark, path)
+            broken._fs = Files(broken._fs)
+            try:
+                broken.compact()
+            except Stop:
+                pass
+            again = rollup.Rollup(spark, path)
+            assert [(x.documents, x.tokens) for x in again.totals().collect()] == [(2 * k + 2, total)]
+            again.compact()
+            assert [(x.documents, x.tokens) for x in again.totals().collect()] == [(2 * k + 2, total)]
+            assert not again.apply(f"{k}0", row(5)) and not again.compact()
+
+
+def test_rollup_says_who_committed(spark):
+    """Of two writers of one batch, and of two compactions, one is told that it committed."""
+    path = scratch_path(spark, "test-rollup-two")
+    a, b = rollup.Rollup(spark, path), rollup.Rollup(spark, path)
+    delta = spark.createDataFrame([("a", "en", "t", 1, 5)], rollup.SCHEMA)
+    for name in ("batch=1", "batch=2", "fold=000000000001"):
+        folded = {"folders": ["batch=1", "batch=2"], "batches": ["1", "2"]} if "fold" in name else None
+        x, y = a._prepare(delta, folded), b._prepare(delta, folded)
+        seen: list = []
+        assert a._commit(x, name)
+
+        class Late:
+            """A file system whose first answer is from before the other's rename."""
+
+            def __init__(self, fs):
+                self.fs = fs
+
+            def exists(self, at):
+                seen.append(at)
+                return False if len(seen) == 1 else self.fs.exists(at)
+
+            def __getattr__(self, n):
+                return getattr(self.fs, n)
+
+        late = rollup.Rollup(spark, path)
+        late._fs = Late(late._fs)
+        assert not late._commit(y, name)
+    assert [(r.documents, r.tokens) for r in a.totals().collect()] == [(1, 5)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
