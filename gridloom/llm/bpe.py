@@ -16,19 +16,22 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_column
+from .common import BROADCAST_BYTES, ship, text_column
 
 _LOW = 8  # bits of a lower bitmap's index
 
 
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """A rank file's content: a base64 token and its rank on each line."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
-    """A rank file: a base64 token and its rank on each line."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return read_ranks(f.read())
 
 
 def default_path() -> str:
@@ -37,6 +40,12 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def default_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 class RankQueue:
     """Positions by rank, least rank first and leftmost first."""
 
@@ -111,7 +120,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Memory(dict):
     """Ids by piece of text; a young and an old generation, so that it stays bounded and common pieces stay in it."""
 
-    MOST, LONGEST = 300_000, 64
+    MOST, LONGEST = 100_000, 48
 
     def __init__(self, make) -> None:
         self.make, self.old = make, {}
@@ -141,7 +150,7 @@ class Codec:
         self.words = _Memory(lambda w: tuple(merge(w.encode(), ranks)))
         # between two blanks without other white space beside them the pattern can't reach across the first blank
         self.pieces = _Memory(lambda p: None if not p or p[0].isspace() or p[-1].isspace() else self._ids(" " + p))
-        self.by_blank = pattern == _PATTERN
+        self.by_blank = pattern == _BY_BLANK
 
     def _ids(self, text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.words.__getitem__, self.find(text))))
@@ -163,23 +172,24 @@ class Codec:
         return hashlib.sha256(b",".join(map(self.number.__getitem__, ids))).hexdigest()
 
 
-#: The pattern that the public rank files are made for, as given with them (fixed value).
-_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The one pattern known to part texts at single blanks, so that what stands between them can be remembered whole
+#: (fixed value); any other pattern is matched against whole texts.
+_BY_BLANK = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def _codec(name: str, pattern: str) -> Codec:
-    """One for each Python worker; the rank file comes with Spark's files."""
-    key = (name, pattern)
+def _codec(digest: str, shared, pattern: str) -> Codec:
+    """One for each Python worker, rank file (by its content) and pattern."""
+    key = (digest, pattern)
     if key not in _codecs:
-        _codecs[key] = Codec(load_ranks(SparkFiles.get(name)), pattern)
+        _codecs[key] = Codec(read_ranks(shared.value), pattern)
     return _codecs[key]
 
 
-def _encode(name: str, pattern: str, id_col: str, with_ids: bool):
+def _encode(digest: str, shared, pattern: str, id_col: str, with_ids: bool):
     def go(batches):
-        codec = _codec(name, pattern)
+        codec = _codec(digest, shared, pattern)
         for b in batches:
             n, a, z, ids = [], [], [], []
             kept = 0
@@ -193,7 +203,7 @@ def _encode(name: str, pattern: str, id_col: str, with_ids: bool):
                 if with_ids:
                     ids.append(np.array(x, np.int32))
                     kept += len(x)
-                if kept > 4_000_000 or k == len(texts) - 1:
+                if kept > 1_000_000 or k == len(texts) - 1:
                     cols = [b.column(0).slice(from_, k + 1 - from_), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(z, pa.string())]
                     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                     if with_ids:
@@ -206,18 +216,21 @@ def _encode(name: str, pattern: str, id_col: str, with_ids: bool):
     return go
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = _PATTERN, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for every row of docs, in one pass without a shuffle.
 
     ids_sha256 is of the decimal ids joined by commas, decoded_sha256 of the bytes that the ids decode to, both in
-    lower-case hex. path: a rank file on the driver, which Spark sends to the executors; its vocabulary is assumed to
-    hold all 256 bytes. Null and empty texts: no tokens, the digests of no bytes. Null and repeated ids and repeated
-    rows are kept row by row; other columns are left alone. No rows: no rows.
+    lower-case hex. path: a rank file on the driver, which Spark sends to the executors (64 MB at most, else an
+    error); its vocabulary is assumed to hold all 256 bytes. path and pattern default to those of the public
+    tokenizer. Null and empty texts: no tokens, the digests of no bytes. Null and repeated ids and repeated rows are
+    kept row by row; other columns are left alone. No rows: no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    path = path or default_path()
-    spark.sparkContext.addFile(path)
-    name = path.rsplit("/", 1)[-1]
+    with open(path or default_path(), "rb") as f:
+        data = f.read(BROADCAST_BYTES + 1)
+    if len(data) > BROADCAST_BYTES:
+        raise ValueError(f"a rank file of more than {BROADCAST_BYTES} bytes")
+    go = _encode(hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data), pattern or default_pattern(), "doc_id", with_ids)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encode(name, pattern, "doc_id", with_ids), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(go, schema)
