@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, text_column
+from .common import ship, text_column
 
 STATS = [
     "log_chars", "log_words", "word_length", "word_length_sd", "distinct_words", "top_word", "top_three_words", "repeat_next",
@@ -192,16 +192,20 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return Model(float(b - (raw * mean).sum()), tuple(rules[k] for k in keep), tuple(float(raw[k]) for k in keep))
 
 
-def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on rows of stats (doc_id, stats) whose id isn't held out and has a label of 0 or 1.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+    """Fit on texts of docs whose id isn't held out and has a label of 0 or 1.
 
-    Of more than `sample` such rows those with the smallest hashes of their ids are used. An id with several labels
-    takes the smallest.
+    Of more than `sample` such ids those with the smallest hashes are used, and of rows that repeat them as many; only
+    their texts get statistics. An id with several labels takes the smallest.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label_col).cast("double").alias("y"))
     known = known.where(~held_out(F.col("doc_id"), 5, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas().sort_values("doc_id")
-    return fit(np.array(got.stats.tolist(), float).reshape(-1, len(STATS)), got.y.to_numpy(float))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # at most `sample` rows of 16 bytes are broadcast
+    rows = rows.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
+    got = sorted((r.doc_id, r.y, *r.stats) for r in rows.mapInArrow(_collect, "doc_id long, y double, stats array<double>").collect())
+    x = np.array([r[1:] for r in got], float).reshape(-1, 1 + len(STATS))
+    return fit(x[:, 1:], x[:, 0])
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -218,17 +222,19 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, held_out, score, predicted) for every row of docs; the model is fitted on labels.
 
     Null and empty texts have statistics of 0 and a score. Repeated rows each get theirs; null ids are returned.
-    Without usable labels every score is 0.5. Other columns are left alone. No rows: no rows.
+    Without usable labels every score is 0.5. Other columns are left alone. No rows: no rows. One pass over all texts,
+    and one before it over those that the fit uses.
     """
-    stats = scratch(with_statistics(docs, id_col, text_col), "statistics")
-    model = train(stats, labels)
-    score = model.score(F.col("stats"))
-    return stats.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    ship(docs.sparkSession)
+    model = train(docs, labels, id_col, text_col)
+    scored = with_statistics(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), model.score(F.col("stats")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with their columns. Texts are not shuffled."""
-    model = train(scratch(with_statistics(docs, id_col, text_col), "statistics"), labels)
+    ship(docs.sparkSession)
+    model = train(docs, labels, id_col, text_col)
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     scored = rows.mapInArrow(_collect, f"row {kind}, stats array<double>")
