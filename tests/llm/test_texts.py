@@ -89,7 +89,7 @@ def test_bpe_equals_tiktoken(spark):
 
     ranks = bpe.load_ranks(bpe.default_path())
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    assert bpe._PATTERN == public_tokenizers.PATTERN
+    assert bpe._BY_BLANK == bpe.default_pattern() == public_tokenizers.PATTERN
     texts = [*EDGES, "<|endoftext|> x", "Ungkeit  und\t\tder. 'sie' 漢字 🙂🙂", "a" * 20000, "́" * 300, " lead", "trail ", "x\n y", "١٢٣ ²½"]
     df = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)], "doc_id long, text string, ids string")
     for r in bpe.encode_documents(df).collect():
@@ -100,6 +100,27 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.encode_documents(df.limit(0)).collect() == []
 
 
+def test_bpe_of_null_and_repeated_ids_and_two_files_of_one_name(spark, tmp_path):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    df = spark.createDataFrame([(None, "aab aab"), (None, None), (5, "aab aab"), (5, "aab aab"), (5, "other")], "doc_id long, text string")
+    for k, extra in enumerate([{}, {b"aa": 256, b"aab": 257}]):
+        ranks = {bytes([b]): b for b in range(256)} | extra
+        path = tmp_path / str(k) / "own.tiktoken"
+        path.parent.mkdir()
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+        enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for pattern in (None, r"\S+|\s+"):
+            if pattern:
+                enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            got = bpe.encode_documents(df, path=str(path), pattern=pattern).collect()
+            want = [(r.doc_id, enc.encode_ordinary(r.text or "")) for r in df.collect()]
+            assert sorted(((r.doc_id, r.ids) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_rank_queue_pops_least_rank_then_leftmost():
     q = bpe.RankQueue()
     items = [(random.Random(k).randrange(70000), k * 7 % 101) for k in range(500)]
@@ -285,6 +306,33 @@ def test_quality_learns_and_survives_edges(spark):
     assert {r.score for r in quality.classify(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_scores_equal_rules_by_hand(spark):
+    """Every score against statistics and rules evaluated a text at a time; the fit uses the labelled texts alone."""
+    import math
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    rows = [(k, " ".join(word().upper() if k % 3 else word() for _ in range(rng.randint(1, 60))) + "." * (k % 4)) for k in range(400)] + [(9, "a repeated id"), (None, "x")]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(0, 300)], "doc_id long, quality int")
+    model = quality.train(df, labels)
+    assert model.rules
+
+    def score(text):
+        x, z = quality.statistics(text), model.intercept
+        for rule, w in zip(model.rules, model.weights):
+            z += w * all((x[k] > t) if above else (x[k] <= t) for k, above, t in rule.parts)
+        return 1 / (1 + math.exp(-z))
+
+    want = sorted(((i, round(score(t), 9)) for i, t in rows), key=str)
+    assert sorted(((r.doc_id, round(r.score, 9)) for r in quality.classify(df, labels).collect()), key=str) == want
+    held = {zlib.crc32(str(i).encode()) % 5 == 0: 1 for i, _ in rows if i is not None}
+    x = [(i, t) for i, t in rows if i is not None and i < 300 and zlib.crc32(str(i).encode()) % 5]
+    import numpy as np
+
+    again = quality.fit(np.array([quality.statistics(t) for _, t in sorted(x)]), np.array([float(i % 3 > 0) for i, _ in sorted(x)]))
+    assert len(held) == 2 and np.allclose(sorted(again.weights), sorted(model.weights), atol=1e-3)
+
+
 def test_compiled_rules_equal_numpy(spark):
     import numpy as np
 
@@ -318,3 +366,56 @@ def test_language_id_learns_more_than_a_thousand_languages(spark):
     trained = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
     assert len(trained) > 1000 and model.langs == sorted(trained)
     assert all(model.predict(word(int(x[1:])))[0] == x for x in (min(trained), max(trained)))
+
+
+def test_language_id_equals_brute_force(spark, monkeypatch):
+    """Every prediction and score against a plain model over all training texts; few and many languages alike."""
+    import math
+
+    rng = random.Random(16)
+    parts = {"aa": ["ba", "lo", "ki"], "bb": ["sch", "ung", "ei"], "cc": ["ba", "eau", "ung"]}
+    text = lambda x: " ".join("".join(rng.choice(parts[x]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(2, 9)))
+    rows = [(k, text(x), x) for k in range(90) for x in [rng.choice(list(parts))]] + [(200, "balo Unseenword 5 ²", None), (201, None, "aa"), (202, "!", "bb"), (None, text("cc"), "cc")]
+    rows += [rows[0], rows[0]]
+    find = re.compile(r"[^\W\d_]+").findall
+    trained = {r for r in rows if r[1] is not None and r[2] is not None and not (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2)}
+    langs = sorted({r[2] for r in trained})
+    words = {x: collections.Counter(w for _, t, y in trained if y == x for w in find(t.lower())) for x in langs}
+    cut = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    tables = [words] + [{x: collections.Counter(g for w, m in words[x].items() for g in cut(w, n) for _ in range(m)) for x in langs} for n in (5, 4, 3, 2, 1)]
+
+    def number(table, key):
+        keys = set().union(*table.values())
+        if key not in keys:
+            return None
+        v = [math.log((table[x][key] + 0.5) / (sum(table[x].values()) + 0.5 * len(keys))) for x in langs]
+        return [min(6, max(-6, a - sum(v) / len(v))) for a in v]
+
+    def score(w):
+        if got := number(tables[0], w):
+            return got
+        for n, table in zip((5, 4, 3, 2, 1), tables[1:]):
+            hit = [x for x in (number(table, g) for g in cut(w, n)) if x]
+            if hit:
+                return [sum(x) / len(hit) for x in zip(*hit)]
+        return [0.0] * len(langs)
+
+    def predict(t):
+        found = find((t or "").lower())
+        if not any(c.isalpha() for w in found for c in w):
+            return "und", 0.0
+        z = [sum(x) / len(found) * min(len(found), 50) for x in zip(*map(score, found))]
+        e = [math.exp(a - max(z)) for a in z]
+        return langs[z.index(max(z))], round(max(e) / sum(e), 6)
+
+    want = sorted(((i, *predict(t)) for i, t, _ in rows), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for dense in (32, 1):
+        monkeypatch.setattr(langid, "DENSE", dense)
+        assert sorted(((r.doc_id, r.lang_pred, round(r.score, 6)) for r in langid.identify(df).collect()), key=str) == want
+
+
+def test_language_id_draws_as_many_texts_as_it_says(spark):
+    rows = [(k, f"text {k}", "a" if k % 3 else "b") for k in range(3000)] + [(1, "text 1", "a")] * 1500 + [(k, "short", "c") for k in range(5)]
+    got = collections.Counter(r.lang for r in langid.drawn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100).collect())
+    assert got == {"a": 100, "b": 100, "c": sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(5))}
