@@ -2,18 +2,23 @@
 
 Plan, none of whose steps holds an unbounded group in one task:
 
-1. Every document becomes a set of hashed shingles. Documents with equal sets are one node, the smallest id.
-2. Shingle counts over all documents, kept as sorted deltas of short hashes (about a byte each), name the frequent
-   shingles. Rare shingles come first in the order of every set, so shared passages stay out of prefixes.
-3. A set puts the prefix that any partner must meet into index lists. A rare shingle's list is short by its count and
-   is made in one task; a frequent shingle's entries stay rows, spread evenly.
-4. Answers of similar sets: each set is verified against the partner with which it shares most lists. What the
-   verified partner reaches holds for the set also, so that groups of near copies collapse to components.
-5. Only lists that still hold several components are joined. They are cut into blocks by size and position, with
-   bounds: pairs of blocks whose sizes or positions can't reach the threshold are skipped unread. Entries of
-   surviving pairs meet the same bounds, then sketches that bound the difference from below, then whole sets.
-
-Links inside one component need no further proof, links across components are all verified: the components are exact.
+1. One pass over all texts makes a set of hashed shingles of each, and writes its size, digest and a sketch (counts by
+   slot, about a byte a shingle), and the counts of all shingles as sorted deltas of short hashes (about a byte each).
+   Documents with equal sets are one node, the smallest id. Sets themselves, eight bytes a shingle, would take more room
+   than the texts, so they are hashed again where they are needed, and never written but for pairs to be verified.
+2. Counts name the frequent shingles. Rare shingles come first in the order of every set, so shared passages stay out
+   of prefixes. A set puts the prefix that any partner must meet into index lists. A rare shingle's list is short by its
+   count and is made in one task; a frequent shingle's entries stay rows, spread evenly.
+3. Leaders: of some lists each set finds its most typical companion (a set with few shingles of its own), the one with
+   which it shares most of them. The overlap with it is computed. Sets that it links join one component.
+4. Only lists that still hold several components are joined. They are cut into blocks by size and position, with
+   bounds. Bounds alone are joined, by shingle and band of sizes; the entries of pairs of blocks whose sizes or positions
+   can't reach the threshold are never read.
+5. Answers of a set follow from its leader's: for pairs of entries that are left, the overlap of their leaders is
+   bounded by sketches, then computed once for all followers. With what a follower lacks and has besides its leader, it
+   gives a least and a greatest overlap of the followers: most pairs are settled by these, only the rest are verified.
+
+Links inside one component need no further proof, links across components are all settled: the components are exact.
 """
 
 from __future__ import annotations
@@ -27,11 +32,11 @@ from .common import binary_array, collect_longs, drop_scratch, join_small, mix,
 from .components import components
 from .shingles import sets_of
 
-#: Documents with a shingle from which on it is frequent; most frequent shingles in the broadcast order (the others
-#: take part as rare ones, in longer lists); entries of a block; least and most slots of a sketch, as powers of two;
-#: rounds of step 4.
-FREQUENT, ORDERED, BLOCK, SKETCH, ROUNDS = 32, 2_000_000, 128, (6, 12), 1
-_FLUSH = 2_000_000
+#: Documents with a shingle from which on it is frequent; most frequent shingles in the broadcast order, 12 bytes each
+#: (any other has at most a 2,000,000th of all entries and goes into a list like a rare one); entries of a block; least
+#: and most slots of a sketch, as powers of two; lists by which a set looks for its leader; shingles of a bucket.
+FREQUENT, ORDERED, BLOCK, SKETCH, VOTES, BUCKET = 32, 2_000_000, 128, (6, 12), 8, 4_000_000
+_FLUSH = 1_000_000
 
 
 def _deltas(x: np.ndarray) -> bytes:
@@ -49,40 +54,49 @@ def _undelta(b: bytes) -> np.ndarray:
     return np.cumsum(x.astype(np.int64))[x != 255]
 
 
-def _summaries(width: int, id_col: str, text_col: str):
-    def go(batches):
-        for b in batches:
-            n, s1, s2 = [], [], []
-            for x in sets_of(text_column(b, text_col), width):
-                n.append(len(x))
-                s1.append(int(mix(x).sum().astype(np.int64)) if len(x) else 0)
-                s2.append(int(mix(x * np.uint64(0xD1342543DE82EF95)).sum().astype(np.int64)) if len(x) else 0)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(id_col)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], ["doc_id", "n", "s1", "s2"])
+def sketch_of(x: np.ndarray) -> bytes:
+    """Counts of shingles by slot, as many slots as a set has shingles or up to twice as many, at most 255 a slot."""
+    slots = 1 << min(max((len(x) - 1).bit_length(), SKETCH[0]), SKETCH[1])
+    return np.minimum(np.bincount((mix(x) & np.uint64(slots - 1)).astype(np.int64), minlength=slots), 255).astype(np.uint8).tobytes()
 
-    return go
 
+def _digest(x: np.ndarray) -> int:
+    return int(mix(x).sum().astype(np.int64)) if len(x) else 0
 
-def _counts(width: int, text_col: str, bits: int, top: int):
-    """Short hashes of all shingles, by bucket of their leading bits."""
+
+_FIRST = "doc_id long, n long, s1 long, s2 long, sketch binary, bucket int, blob binary"
+
+
+def _first(width: int, id_col: str, text_col: str, bits: int, top: int):
+    """A row for each text, and short hashes of the shingles of a task's different sets by bucket of their leading bits."""
 
     def go(batches):
-        held, n = [], 0
+        held, size, seen = [], 0, set()
 
         def flush():
             x = np.sort(np.concatenate(held))
             cut = np.searchsorted(x, np.arange(1, (1 << top)) << (bits - top))
             parts = [(k, p) for k, p in enumerate(np.split(x, cut)) if len(p)]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), binary_array([_deltas(p - (k << (bits - top))) for k, p in parts])], ["bucket", "blob"])
+            none = pa.nulls(len(parts), pa.int64())
+            return pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(len(parts), pa.binary()), pa.array([k for k, _ in parts], pa.int32()), binary_array([_deltas(p - (k << (bits - top))) for k, p in parts])], names)
 
+        names = ["doc_id", "n", "s1", "s2", "sketch", "bucket", "blob"]
         for b in batches:
+            n, s1, s2, sketch = [], [], [], []
             for x in sets_of(text_column(b, text_col), width):
-                if len(x):
+                n.append(len(x))
+                s1.append(_digest(x))
+                s2.append(_digest(x * np.uint64(0xD1342543DE82EF95)))
+                sketch.append(sketch_of(x) if len(x) else None)
+                if len(x) and (s1[-1], s2[-1]) not in seen:
+                    seen.add((s1[-1], s2[-1]))
                     held.append((x >> np.uint64(64 - bits)).astype(np.int64))
-                    n += len(x)
-                if n > _FLUSH:
+                    size += len(x)
+                if size > max(_FLUSH, 16 << top):
                     yield flush()
-                    held, n = [], 0
-        if n:
+                    held, size = [], 0
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(id_col)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+        if size:
             yield flush()
 
     return go
@@ -100,18 +114,19 @@ def _frequent(bits: int, top: int, least: int):
 
 
 def _postings(width: int, id_col: str, text_col: str, num: int, den: int, bits: int, buckets: int, frequent):
-    """Prefix entries: rare ones packed by bucket of their hash; frequent ones packed too, but dealt out evenly."""
+    """Prefix entries of a task's different sets: rare ones packed by bucket of their hash; frequent ones packed too, but
+    dealt out evenly. typical: the share of frequent shingles among a set's, of 255."""
 
     def go(batches):
         fh, fc = frequent.value
         held: list = []
-        size, turn = 0, 0
+        size, turn, seen = 0, 0, set()
 
         def flush():
             nonlocal turn
             tok, often = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             many = np.array([len(h[0]) for h in held])
-            sid, n = np.repeat(np.array([h[2] for h in held], np.int64), many), np.repeat(np.array([h[3] for h in held], np.int32), many)
+            sid, n, typical = (np.repeat(np.array([h[k] for h in held], t), many) for k, t in ((2, np.int64), (3, np.int32), (4, np.uint8)))
             pos = np.concatenate([np.arange(m, dtype=np.int32) for m in many])
             out = []
             bucket = (mix(tok) % np.uint64(buckets)).astype(np.int64)
@@ -121,9 +136,9 @@ def _postings(width: int, id_col: str, text_col: str, num: int, den: int, bits:
             cut = np.flatnonzero(np.diff(bucket[order] * 2 + (often[order] > 0))) + 1
             for part in np.split(order, cut):
                 k = often[part[0]] > 0
-                out.append((int(bucket[part[0]]), bool(k), tok[part].tobytes(), sid[part].tobytes(), n[part].tobytes(), pos[part].tobytes(), often[part].tobytes() if k else b""))
+                out.append((int(bucket[part[0]]), bool(k), tok[part].tobytes(), sid[part].tobytes(), n[part].tobytes(), pos[part].tobytes(), typical[part].tobytes(), often[part].tobytes() if k else b""))
             cols = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), *(binary_array(list(c)) for c in cols[2:])], ["bucket", "often", "tok", "sid", "n", "pos", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), *(binary_array(list(c)) for c in cols[2:])], ["bucket", "often", "tok", "sid", "n", "pos", "typical", "counts"])
 
         for b in batches:
             ids = b.column(b.schema.get_field_index(id_col))
@@ -131,15 +146,18 @@ def _postings(width: int, id_col: str, text_col: str, num: int, den: int, bits:
                 if not len(x) or not ids[k].is_valid:
                     continue
                 n = len(x)
+                sid = _sid(x)
+                if sid in seen:
+                    continue
+                seen.add(sid)
                 short = (x >> np.uint64(64 - bits)).astype(np.int64)
                 count = np.zeros(n, np.int32)
                 if len(fh):
                     at = np.minimum(np.searchsorted(fh, short), len(fh) - 1)
                     hit = fh[at] == short
                     count[hit] = fc[at[hit]]
-                order = np.lexsort((x, count))[: n - -(-num * n // den) + 1]
-                sid = int((mix(x).sum() ^ np.uint64(n)).astype(np.int64))
-                held.append((x[order], count[order], sid, n))
+                order = np.lexsort((x, count))[: _prefix(n, num, den)]
+                held.append((x[order], count[order], sid, n, int((count > 0).sum()) * 255 // n))
                 size += len(order)
                 if size > _FLUSH // 2:
                     yield flush()
@@ -150,51 +168,54 @@ def _postings(width: int, id_col: str, text_col: str, num: int, den: int, bits:
     return go
 
 
-def _lists(key, table):
-    """Rows of all lists that hold more than one set; a frequent shingle's rows pass as they are."""
-    out = []
-    rare = []
-    for r in table.to_pylist():
-        got = (np.frombuffer(r["tok"], np.uint64), np.frombuffer(r["sid"], np.int64), np.frombuffer(r["n"], np.int32), np.frombuffer(r["pos"], np.int32))
-        if r["often"]:
-            out.append((*got, np.frombuffer(r["counts"], np.int32)))
-        else:
-            rare.append(got)
-    if rare:
-        tok, sid, n, pos = (np.concatenate([r[k] for r in rare]) for k in range(4))
-        order = np.lexsort((sid, tok))
-        tok, sid, n, pos = tok[order], sid[order], n[order], pos[order]
-        new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])])
-        tok, sid, n, pos = tok[new], sid[new], n[new], pos[new]
-        at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-        count = np.repeat(np.diff(np.append(at, len(tok))), np.diff(np.append(at, len(tok))))
-        keep = count > 1
-        out.append((tok[keep], sid[keep], n[keep], pos[keep], count[keep].astype(np.int32)))
-    cols = [np.concatenate([o[k] for o in out]) for k in range(5)]
-    return pa.table({"tok": cols[0].view(np.int64), "sid": cols[1], "n": cols[2], "pos": cols[3], "entries": cols[4]})
+def _prefix(n, num: int, den: int):
+    """Entries of a set of n shingles, one of which any partner has too."""
+    return n - -(-num * n // den) + 1
 
 
-def _sets(width: int, text_col: str):
-    def go(batches):
-        for b in batches:
-            whole = [x.tobytes() for x in sets_of(text_column(b, text_col), width)]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), binary_array(whole)], ["node", "whole"])
+def _sid(x: np.ndarray) -> int:
+    return int(np.int64(_digest(x)) ^ np.int64(len(x)))
 
-    return go
 
+def _lists(num: int, den: int):
+    """Rows of all lists that hold more than one set; a frequent shingle's rows pass as they are. vote: whether the list
+    is one of the few by which the set looks for its leader; rank: typical sets first, else by hash."""
+
+    def go(key, table):
+        out = []
+        rare = []
+        kinds = {"tok": np.uint64, "sid": np.int64, "n": np.int32, "pos": np.int32, "typical": np.uint8}
+        for r in table.to_pylist():
+            got = [np.frombuffer(r[k], t) for k, t in kinds.items()]
+            if r["often"]:
+                out.append((*got, np.frombuffer(r["counts"], np.int32)))
+            else:
+                rare.append(got)
+        if rare:
+            cols = [np.concatenate([r[k] for r in rare]) for k in range(len(kinds))]
+            order = np.lexsort((cols[1], cols[0]))
+            cols = [c[order] for c in cols]
+            tok, sid = cols[:2]
+            new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])])
+            cols = [c[new] for c in cols]
+            tok = cols[0]
+            at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+            many = np.diff(np.append(at, len(tok)))
+            count = np.repeat(many, many)
+            out.append((*(c[count > 1] for c in cols), count[count > 1].astype(np.int32)))
+        tok, sid, n, pos, typical, entries = (np.concatenate([o[k] for o in out]) for k in range(6))
+        vote = mix(tok * np.uint64(0x9E3779B97F4A7C15)) % (1 + _prefix(n.astype(np.int64), num, den) // VOTES).astype(np.uint64) == 0
+        rank = (typical.astype(np.int64) << 54) | (mix(sid.view(np.uint64)) >> np.uint64(10)).astype(np.int64)
+        return pa.table({"tok": tok.view(np.int64), "sid": sid, "n": n, "pos": pos, "entries": entries, "vote": vote, "rank": rank})
+
+    return go
 
-def _sketches(width: int, text_col: str):
-    """Counts of shingles by slot, as many slots as a set has shingles or up to twice as many, at most 255 a slot."""
 
+def _sets(width: int, text_col: str):
     def go(batches):
         for b in batches:
-            size, out = [], []
-            for x in sets_of(text_column(b, text_col), width):
-                slots = 1 << min(max((len(x) - 1).bit_length(), SKETCH[0]), SKETCH[1])
-                count = np.bincount((mix(x) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
-                size.append(len(x))
-                out.append(np.minimum(count, 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), pa.array(size, pa.int64()), binary_array(out)], ["node", "size", "sketch"])
+            whole = [x.tobytes() for x in sets_of(text_column(b, text_col), width)]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), binary_array(whole)], ["node", "whole"])
 
     return go
 
@@ -205,33 +226,60 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.abs(u.astype(np.int64) - np.minimum(v.reshape(-1, len(u)).sum(0, dtype=np.int64), 255)).sum())
 
 
-def _sketched(num: int, den: int):
-    """Pairs whose sketches differ by no more than sets at the threshold may differ in shingles."""
+def _bounded(batches):
+    """Greatest overlap that sketches allow: (a, b, na, nb, o)."""
+    for b in batches:
+        na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+        differ = np.array([least_difference(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array((na + nb - differ) // 2, pa.int64())], ["a", "b", "na", "nb", "o"])
 
-    def go(batches):
-        for b in batches:
-            keep = []
-            for nx, ny, x, y in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                # |x ^ y| = nx + ny - 2 o, and den * o >= num * (nx + ny - o)
-                keep.append(least_difference(x, y) <= nx + ny - 2 * -(-num * (nx + ny) // (num + den)))
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return go
+def _overlaps(batches):
+    """Overlap of two whole sets: (a, b, na, nb, o)."""
+    for b in batches:
+        na, nb, o = [], [], []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            z = np.concatenate([x, y])
+            z.sort(kind="stable")
+            na.append(len(x))
+            nb.append(len(y))
+            o.append(int((z[1:] == z[:-1]).sum()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(o, pa.int64())], ["a", "b", "na", "nb", "o"])
 
 
-def _verified(num: int, den: int):
-    def go(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                z = np.concatenate([x, y])
-                z.sort(kind="stable")
-                o = int((z[1:] == z[:-1]).sum())
-                keep.append(den * o >= num * (len(x) + len(y) - o))
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
+_PAIR = "a long, b long, na long, nb long, o long"
 
-    return go
+
+class _Sets:
+    """Overlaps of pairs of nodes, from the sketches of the first pass or from whole sets."""
+
+    def __init__(self, d: DataFrame, first: DataFrame, width: int, num: int, den: int) -> None:
+        self.texts, self.width, self.num, self.den = d.withColumnRenamed("doc_id", "node"), width, num, den
+        self.sketches = first.where("sketch is not null").select(F.col("doc_id").alias("node"), "n", "sketch")
+
+    def _ends(self, pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def linked(self, o: str = "o", na: str = "na", nb: str = "nb"):
+        return F.expr(f"({self.num + self.den}) * ({o}) >= {self.num} * ({na} + {nb})")
+
+    def bound(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, na, nb, o), written: o is the greatest overlap that sketches allow. pairs must be written."""
+        own = scratch(join_small(self.sketches, self._ends(pairs), ["node"], "inner", 32).dropDuplicates(), f"{name}-sketches")
+        side = lambda k: own.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+        out = scratch(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bounded, _PAIR), f"{name}-bounds")
+        drop_scratch(own)
+        return out
+
+    def overlap(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, na, nb, o), written: o is the overlap. pairs must be written; only the texts of their ends are hashed."""
+        own = join_small(self.texts, self._ends(pairs), ["node"], "inner", 32).mapInArrow(_sets(self.width, "text"), "node long, whole binary").dropDuplicates()
+        own = scratch(own.where("length(whole) > 0"), f"{name}-sets")
+        side = lambda k: own.select(F.col("node").alias(k), F.col("whole").alias(f"w{k}"))
+        out = scratch(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(_overlaps, _PAIR), f"{name}-overlaps")
+        drop_scratch(own)
+        return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -245,101 +293,95 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    summary = scratch(d.mapInArrow(_summaries(width, "doc_id", "text"), "doc_id long, n long, s1 long, s2 long"), "sets")
-    total = summary.agg(F.sum("n")).first()[0] or 0
-    node = summary.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
-    nodes = scratch(node.select("node", "n", "s1", F.col("s1").bitwiseXOR(F.col("n")).alias("sid")), "nodes")
-    copies = summary.where("n > 0 and doc_id is not null").join(node, ["s1", "s2", "n"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    copies = scratch(copies, "copies")
-
-    # 2: short hashes with about half a shingle a slot; buckets of a few million shingles, at least one a task
-    bits = max(20, int(total).bit_length() + 1)
-    top = max(4, min(bits - 8, (4 * partitions(spark) - 1).bit_length(), 20))
-    counts = d.mapInArrow(_counts(width, "text", bits, top), "bucket int, blob binary")
-    often = scratch(counts.groupBy("bucket").applyInArrow(_frequent(bits, top, FREQUENT), "h long, count long"), "frequent")
+
+    # 1: short hashes with about half a shingle a slot; buckets of at most a few million shingles, a few for each task
+    size = (d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5
+    bits = max(20, size.bit_length() + 1)
+    top = max(4, min(bits - 8, max((4 * partitions(spark) - 1).bit_length(), (size // BUCKET).bit_length()), 22))
+    first = scratch(d.mapInArrow(_first(width, "doc_id", "text", bits, top), _FIRST), "first")
+    summary = first.where("n is not null").select("doc_id", "n", "s1", "s2")
+    known = summary.where("n > 0 and doc_id is not null")
+    nodes = scratch(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")).withColumn("sid", F.col("s1").bitwiseXOR(F.col("n"))), "nodes")
+    copies = scratch(known.join(nodes, ["s1", "s2", "n"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "copies")
+
+    # 2
+    often = scratch(first.where("blob is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_frequent(bits, top, FREQUENT), "h long, count long"), "frequent")
     if often.count() > ORDERED:
         often = often.orderBy(F.desc("count"), "h").limit(ORDERED)
     h, many = collect_longs(often)
     order = np.argsort(h)
     frequent = spark.sparkContext.broadcast((h[order], np.minimum(many[order], 2**31 - 1).astype(np.int32)))
+    packed = d.mapInArrow(_postings(width, "doc_id", "text", num, den, bits, 1 << top, frequent), "bucket int, often boolean, tok binary, sid binary, n binary, pos binary, typical binary, counts binary")
+    index = scratch(packed.groupBy("bucket").applyInArrow(_lists(num, den), "tok long, sid long, n int, pos int, entries int, vote boolean, rank long"), "lists")
 
     # 3
-    buckets = 1 << top
-    packed = d.mapInArrow(_postings(width, "doc_id", "text", num, den, bits, buckets, frequent), "bucket int, often boolean, tok binary, sid binary, n binary, pos binary, counts binary")
-    index = scratch(packed.groupBy("bucket").applyInArrow(_lists, "tok long, sid long, n int, pos int, entries int"), "lists")
-    lists = index
-    plain = scratch(lists.join(nodes.select("sid", "node"), "sid").select("tok", "node", "n", "pos", "entries"), "plain")
-    drop_scratch(lists)
-    # a set in many lists has few shingles of its own: of a group of near copies, the one that was changed least
-    index = scratch(plain.join(plain.groupBy("node").agg(F.count(F.lit(1)).alias("shared")), "node").select("tok", "node", "n", "pos", "entries", "shared"), "index")
-    drop_scratch(plain)
-
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs (a, b), a < b, written: those at the threshold."""
-        ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
-        renamed = d.withColumnRenamed("doc_id", "node")
-        wanted = scratch(ends(pairs), f"{name}-ids")
-        sketch = join_small(renamed, wanted, ["node"], "inner", 32).mapInArrow(_sketches(width, "text"), "node long, size long, sketch binary").dropDuplicates()
-        sketch = scratch(sketch.join(nodes.select("node", "n"), "node").where("size = n").select("node", "n", "sketch"), f"{name}-sketches")
-        side = lambda k: sketch.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched(num, den), "a long, b long")
-        near = scratch(near.distinct(), f"{name}-near")
-        drop_scratch(sketch)
-        close = scratch(ends(near), f"{name}-near-ids")
-        whole = join_small(renamed, close, ["node"], "inner", 32).mapInArrow(_sets(width, "text"), "node long, whole binary").dropDuplicates()
-        whole = scratch(whole.join(nodes.select("node", "n"), "node").where("length(whole) = 8 * n").select("node", "whole"), f"{name}-sets")
-        full = near.join(whole.select(F.col("node").alias("a"), F.col("whole").alias("wa")), "a").join(whole.select(F.col("node").alias("b"), F.col("whole").alias("wb")), "b")
-        out = scratch(full.select("a", "b", "wa", "wb").mapInArrow(_verified(num, den), "a long, b long"), name)
-        for done in (wanted, close, whole, near, pairs):
-            drop_scratch(done)
-        return out
-
-    # 4: the partner with most common lists, among each list's most typical set, then among its first by a hash
-    links = copies
-    reached = None
-    for k in range(ROUNDS):
-        here = _labelled(index, reached)
-        score = F.struct(-F.col("shared") / F.col("n"), F.xxhash64("node", F.lit(k))) if k == 0 else F.struct(F.xxhash64("node", F.lit(k)))
-        mid = here.groupBy("tok").agg(F.min_by("node", score).alias("partner"), F.min_by("n", score).alias("m"), F.min_by("component", score).alias("other"))
-        tried = here.join(mid, "tok").where((F.col("component") != F.col("other")) & (100 * F.least("n", "m") * den >= 100 * num * F.greatest("n", "m")))
-        best = tried.groupBy("node", "partner").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("partner", F.struct("c", "partner")).alias("partner"))
-        pairs = scratch(best.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct(), f"near{k}")
-        links = links.unionByName(verify(pairs, f"links{k}"))
-        reached = scratch(components(links), f"reached{k}")
-
-    # 5: block-skipping join of the lists that still hold several components
-    here = _labelled(index, reached)
-    several = here.groupBy("tok").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("tok")
-    left = here.join(several, "tok", "left_semi").select("tok", "node", "component", "n", "pos", "entries").distinct()
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
-    block = (
-        left.withColumn("band", band).withColumn("zone", F.floor(F.log2(F.col("pos") + 1.0)))
-        .withColumn("salt", F.pmod(F.xxhash64("node", F.lit("block")), F.greatest(F.lit(1), F.ceil(F.col("entries") / BLOCK))))
-        .groupBy("tok", "band", "zone", "salt")
-        .agg(F.collect_list(F.struct("node", "component", "n", "pos")).alias("rows"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(F.col("n") - F.col("pos")).alias("t0"), F.max(F.col("n") - F.col("pos")).alias("t1"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    )
+    sets = _Sets(d, first, width, num, den)
+    votes = index.where("vote").select("tok", "sid", F.col("n").cast("long").alias("n"), "rank")
+    mid = scratch(votes.groupBy("tok").agg(F.max_by("sid", "rank").alias("partner"), F.max_by("n", "rank").alias("m"), F.min("rank").alias("r0"), F.max("rank").alias("r1")).where("r0 != r1").select("tok", "partner", "m"), "typical")
+    tried = join_small(votes, mid, ["tok"], "inner", 40).where((F.col("sid") != F.col("partner")) & (F.least("n", "m") * den >= num * F.greatest("n", "m")))
+    count = tried.groupBy("sid", "partner").agg(F.count(F.lit(1)).alias("c"))
+    best = count.groupBy("sid").agg(F.max_by("partner", F.shiftleft("c", 48) + F.shiftrightunsigned(F.xxhash64("partner"), 17)).alias("partner"))
+    name = lambda sid, node: nodes.select(F.col("sid").alias(sid), F.col("node").alias(node))
+    pairs = scratch(best.join(name("sid", "a"), "sid").join(name("partner", "b"), "partner").where("a != b").select("a", "b").distinct(), "leaders")
+    near = scratch(sets.bound(pairs, "leaders").where(sets.linked()).select("a", "b").distinct(), "near-leaders")
+    answers = sets.overlap(near, "leaders").where(sets.linked())
+    links = copies.unionByName(answers.select("a", "b"))
+    reached = scratch(components(links), "reached")
+    # a node that stands for several sets, as rows repeat its id, leads but is not led
+    twice = scratch(nodes.groupBy("node").count().where("count > 1").select("node"), "twice")
+    leaders = join_small(answers, twice.withColumnRenamed("node", "a"), ["a"], "left_anti", 16)
+    leaders = leaders.select(F.col("a").alias("node"), F.struct((F.col("na") - F.col("o")).alias("x"), (F.col("nb") - F.col("o")).alias("y"), F.col("b").alias("leader")).alias("l"))
+    leaders = scratch(leaders.groupBy("node").agg(F.min("l").alias("l")).select("node", "l.leader", "l.x", "l.y"), "led")
+
+    # 4
+    label = nodes.join(reached.withColumnRenamed("id", "node"), "node", "left").select("sid", "node", F.coalesce("component", "node").alias("component"))
+    here = scratch(index.select("tok", "sid", "n", "pos", "entries").join(label, "sid").drop("sid"), "labelled")
+    drop_scratch(index)
+    several = scratch(here.groupBy("tok").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("tok"), "several")
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("int")
+    zone = F.floor(F.log2(F.col("pos") + 1.0)).cast("int")
+    salt = F.pmod(F.xxhash64("node", F.lit("block")), F.greatest(F.lit(1), F.ceil(F.col("entries") / BLOCK)))
+    left = join_small(here, several, ["tok"], "inner", 16).select("tok", band.alias("band"), F.xxhash64("tok", band, zone, salt).alias("block"), "node", "component", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("pos")).cast("long").alias("rest"))
+    entries = scratch(left, "entries")
+    drop_scratch(here)
+    block = entries.groupBy("tok", "band", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("rest").alias("t1"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     block = scratch(block, "blocks")
-    x, y = (block.select("tok", *(F.col(c).alias(f"{c}_{k}") for c in ("rows", "n0", "n1", "t1", "c0", "c1", "band"))) for k in "xy")
-    near = (
-        (F.abs(F.col("band_x") - F.col("band_y")) <= 1) & (F.col("n1_x") * den >= F.col("n0_y") * num) & (F.col("n1_y") * den >= F.col("n0_x") * num)
+    side = lambda k: block.select("tok", *(F.col(c).alias(f"{c}_{k}") for c in ("band", "block", "n0", "n1", "t1", "c0", "c1")))
+    x = side("x").withColumn("band", F.explode(F.array("band_x", F.col("band_x") + 1)))
+    y = side("y").withColumn("band", F.col("band_y"))
+    close = (
+        ((F.col("band_x") != F.col("band_y")) | (F.col("block_x") <= F.col("block_y"))) & (F.col("n1_x") * den >= F.col("n0_y") * num) & (F.col("n1_y") * den >= F.col("n0_x") * num)
         & (F.least("t1_x", "t1_y") * (num + den) >= (F.col("n0_x") + F.col("n0_y")) * num)
         & ~((F.col("c0_x") == F.col("c1_x")) & (F.col("c0_y") == F.col("c1_y")) & (F.col("c0_x") == F.col("c0_y")))
     )
-    met = x.join(y, "tok").where(near).select(F.explode("rows_x").alias("x"), "rows_y").select("x", F.explode("rows_y").alias("y"))
-    met = met.where("x.node < y.node and x.component != y.component").where((F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) * (num + den) >= F.expr("x.n + y.n") * num))
-    pairs = scratch(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "across")
-    links = links.unionByName(verify(pairs, "links"))
-    final = scratch(components(links), "reached")
-    named = summary.select("doc_id", "n").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    met = x.join(y, ["tok", "band"]).where(close).select("tok", "block_x", "block_y")
+    row = lambda k: entries.select("tok", F.col("block").alias(f"block_{k}"), F.struct("node", "component", "n", "rest").alias(k))
+    met = met.join(row("x"), ["tok", "block_x"]).join(row("y"), ["tok", "block_y"])
+    met = met.where("x.node != y.node and x.component != y.component").where((F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (F.least("x.rest", "y.rest") * (num + den) >= F.expr("x.n + y.n") * num))
+    lower = F.col("x.node") < F.col("y.node")
+    met = met.select(*(F.when(lower, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(a) for c, a in (("node", "u"), ("n", "nu"))), *(F.when(lower, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(a) for c, a in (("node", "v"), ("n", "nv"))))
+
+    # 5
+    led = lambda k: leaders.select(F.col("node").alias(k), F.col("leader").alias(f"l{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    across = met.distinct().join(led("u"), "u", "left").join(led("v"), "v", "left")
+    across = across.select("u", "v", "nu", "nv", F.coalesce("lu", "u").alias("lu"), F.coalesce("lv", "v").alias("lv"), (F.coalesce("xu", F.lit(0)) + F.coalesce("xv", F.lit(0))).alias("more"), (F.coalesce("yu", F.lit(0)) + F.coalesce("yv", F.lit(0))).alias("less"))
+    across = scratch(across.withColumn("a", F.least("lu", "lv")).withColumn("b", F.greatest("lu", "lv")).drop("lu", "lv"), "across")
+    if not across.isEmpty():
+        bound = sets.bound(scratch(across.select("a", "b").distinct(), "led-pairs"), "led")
+        most = bound.groupBy("a", "b").agg(F.max("o").alias("o"))
+        left = scratch(across.join(most, ["a", "b"]).where(sets.linked("o + more", "nu", "nv")).drop("o"), "open")
+        known = sets.overlap(scratch(left.select("a", "b").distinct(), "open-pairs"), "open").groupBy("a", "b").agg(F.max("o").alias("o"), F.min("o").alias("p"))
+        done = scratch(left.join(known, ["a", "b"]).where(sets.linked("o + more", "nu", "nv")).withColumn("sure", sets.linked("p - less", "nu", "nv")), "derived")
+        rest = scratch(done.where("not sure").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "rest")
+        links = links.unionByName(done.where("sure").select(F.col("u").alias("a"), F.col("v").alias("b")))
+        if not rest.isEmpty():
+            again = scratch(sets.bound(rest, "rest").where(sets.linked()).select("a", "b").distinct(), "near-rest")
+            links = links.unionByName(sets.overlap(again, "rest").where(sets.linked()).select("a", "b"))
+        reached = scratch(components(links), "reached")
+    named = summary.select("doc_id", "n").join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _labelled(index: DataFrame, reached: DataFrame | None) -> DataFrame:
-    if reached is None:
-        return index.withColumn("component", F.col("node"))
-    return index.join(reached.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One document of each component, the one with the smallest id, with all columns of docs.
 

@@ -56,7 +56,7 @@ def sets_of(texts: pa.Array, width: int = 5):
     A text of fewer words gives the hash of its whole sequence, one without words an empty array.
     """
     data, offsets = raw(texts)
-    for i, j in blocks(offsets):
+    for i, j in blocks(offsets, 1 << 20):
         off = offsets[i : j + 1] - offsets[i]
         h, row = word_hashes(data[offsets[i] : offsets[j]], off)
         count = np.bincount(row, minlength=j - i) if len(row) else np.zeros(j - i, np.int64)

@@ -62,9 +62,10 @@ def test_sets_match_python():
     assert [len(x) for x in got] == [len(shingles(t)) for t in texts]
 
 
-@pytest.mark.parametrize("frequent", [32, 2])
-def test_jaccard_equals_brute_force(spark, monkeypatch, frequent):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+@pytest.mark.parametrize("frequent,votes,block", [(32, 8, 128), (2, 8, 4), (32, 0.2, 128), (2, 0.01, 2)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, frequent, votes, block):
+    for name, value in (("FREQUENT", frequent), ("VOTES", votes), ("BLOCK", block)):
+        monkeypatch.setattr(jaccard, name, value)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x", 1, 2, "y") for i, t in rows], SCHEMA)
     got = jaccard.jaccard_components(df).collect()
@@ -79,9 +80,7 @@ def test_sketches_never_overstate_a_difference():
     text = lambda n, vocabulary: " ".join(str(rng.randrange(vocabulary)) for _ in range(n))
     texts = ["", "a", "z " * 3000, *(text(n, v) for n in (5, 70, 300, 1500, 9000) for v in (3, 50, 10**6))]
     texts += [t + " " + text(20, 10**6) for t in texts]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["node", "text"])
-    (got,) = jaccard._sketches(5, "text")([batch])
-    sketch, sets = got.column(2).to_pylist(), [shingles(t) for t in texts]
+    sketch, sets = [jaccard.sketch_of(x) for x in sets_of(pa.array(texts, pa.large_string()))], [shingles(t) for t in texts]
     for i in range(len(texts)):
         assert jaccard.least_difference(sketch[i], sketch[i]) == 0
         for j in range(i):
