@@ -3,12 +3,17 @@
 A seeded rotation turns every unit vector; its coordinates are cut into blocks, and each block has a code of random
 unit vectors. A filter direction is one codeword from each block; a vector takes the filters with the greatest inner
 products with it, equally many for each vector, which list decoding finds block by block without walking through the
-product. Vectors of a filter are compared exactly. How many filters a vector takes is chosen by the share of random
-pairs at the least cosine that have a common one, measured for the code at hand.
+product. How many filters a vector takes is chosen by the share of random pairs at the least cosine that have a common
+one, measured for the code at hand.
+
+Vectors join on filters tile by tile: codewords of a block are put into cells of neighbours, a tile is a cell of each
+block, and a vector goes once to each of the tiles that its filters lie in, not once to each filter. In a tile the
+members of each filter are compared exactly, and a pair counts in its first common filter.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -16,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, scratch, ship
-from .components import components
+from .common import BROADCAST_BYTES, binary_array, scratch, ship
+from .components import components, forest
 
 #: Filters of a vector, the first number that reaches RECALL (else the last); vectors of a filter on average that the
-#: code's size aims at; members of a filter that meet in one piece (larger ones are cut into pairs of pieces); rows of
-#: one task.
-FILTERS, AIM, PIECE, TASK = (16, 24, 32, 48, 64), 128, 1024, 40_000
+#: code's size aims at; vectors of a tile at most (larger ones are cut into pairs of pieces); rows compared at a time.
+FILTERS, AIM, TILE, ROWS = (8, 12, 16, 24, 32, 48, 64), 1024, 50_000, 512
 #: Share of pairs at the least cosine that must have a common filter, and the random pairs on which it is measured.
-RECALL, PAIRS = 0.995, 2000
+RECALL, PAIRS = 0.99, 2000
 
 
 def pairs_at(dim: int, cosine: float, n: int = PAIRS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +47,23 @@ def _best(v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.take_along_axis(v, at, 1)
 
 
+def cells(words: np.ndarray, levels: int) -> np.ndarray:
+    """For each codeword one of 2 ** levels cells, of neighbours and equally large: halves along the widest direction."""
+    out = np.zeros(len(words), np.int64)
+    todo = [(np.arange(len(words)), levels)]
+    while todo:
+        at, level = todo.pop()
+        if not level:
+            continue
+        part = words[at] - words[at].mean(0)
+        axis = np.linalg.svd(part, full_matrices=False)[2][0] if len(at) > 1 else part[0]
+        order = at[np.argsort(part @ axis, kind="stable")]
+        low, high = order[: len(at) // 2], order[len(at) // 2 :]
+        out[high] += 1 << (level - 1)
+        todo += [(low, level - 1), (high, level - 1)] if len(low) else [(high, level - 1)]
+    return out
+
+
 class Code:
     """Product code for vectors of `dim` components, so fine that a filter gets about AIM of n vectors."""
 
@@ -56,6 +77,21 @@ class Code:
         for a, z in zip(self.cut, self.cut[1:]):
             w = rng.standard_normal((self.size, z - a))
             self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True))
+        # finer until a tile gets at most TILE of n vectors
+        x, self.levels = pairs_at(dim, 1.0, 500, 2)[0], 0
+        while True:
+            self.cells = [cells(w, self.levels) for w in self.words]
+            if 2**self.levels >= self.size or n * np.mean([len(np.unique(t)) for t in self.tiles(np.array(self.decode(x)))]) <= TILE << (self.levels * self.parts):
+                break
+            self.levels += 1
+
+    def tiles(self, ids: np.ndarray) -> np.ndarray:
+        """The tile of each filter."""
+        out = np.zeros_like(ids)
+        for k, cell in enumerate(self.cells):
+            word = ids // self.size ** (self.parts - 1 - k) % self.size
+            out = (out << self.levels) | cell[word]
+        return out
 
     def _some(self, x: np.ndarray) -> np.ndarray:
         turned = x @ self.turn
@@ -82,127 +118,176 @@ class Code:
 _codes: dict = {}
 
 
-def _code(dim: int, n: int, least: float = 0.95, filters: int = 0) -> Code:
-    """The code for n vectors; without a number of filters, with the fewest that reach RECALL at cosine `least`."""
+def _code(dim: int, n: int, least: float = 0.95) -> Code:
+    """The code for n vectors, with the fewest filters that reach RECALL at cosine `least`."""
     n = 1 << max(8, n - 1).bit_length()
-    if not filters:
+    key = (dim, n, least, AIM, TILE, FILTERS)
+    if key not in _codes:
         for filters in FILTERS:
-            code = Code(dim, n, filters)
-            if code.recall(least) >= RECALL:
+            _codes[key] = Code(dim, n, filters)
+            if _codes[key].recall(least) >= RECALL:
                 break
-        _codes[dim, n, filters] = code
-    if (dim, n, filters) not in _codes:
-        _codes[dim, n, filters] = Code(dim, n, filters)
-    return _codes[dim, n, filters]
+    return _codes[key]
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    x = rows.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _keys(kind: str):
+    """(vec_id, dim, k1, k2, x): the digest of a vector's direction and its components as they are; null if it has none."""
+
+    def go(batches):
+        for b in batches:
+            v = b.column(1)
+            lists = v.to_pylist()
+            good = [x is not None and len(x) > 0 and all(e is not None for e in x) for x in lists]
+            dims, digest, out = [], [], []
+            for x, ok in zip(lists, good, strict=True):
+                y = np.array(x, kind) if ok else None
+                if ok and np.isfinite(y).all() and y.any():
+                    dims.append(len(y))
+                    digest.append(_unit(y[None])[0])
+                    out.append(y.tobytes())
+                else:
+                    dims.append(None)
+                    out.append(None)
+            h = iter([np.frombuffer(hashlib.md5(u.tobytes()).digest(), np.int64).tolist() for u in digest])
+            ks = [next(h) if o is not None else (None, None) for o in out]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dims, pa.int32()), pa.array([k[0] for k in ks], pa.int64()), pa.array([k[1] for k in ks], pa.int64()), pa.array(out, pa.binary())], ["vec_id", "dim", "k1", "k2", "x"])
+
+    return go
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
 
 
-def _decode(n: int, filters: dict[int, int]):
+def _decode(codes, kind: str):
+    """The same rows with the filters of each vector, ascending."""
+
     def go(batches):
         for b in batches:
-            vec, mult = b.column(0), b.column(1)
-            rows = b.column(2).to_pylist()
-            dims = np.array([len(r) // 8 for r in rows])
-            for dim in np.unique(dims) if len(rows) else []:
+            dims = b.column(b.schema.get_field_index("dim")).to_numpy()
+            x = b.column(b.schema.get_field_index("x"))
+            own: list = [b""] * len(dims)
+            for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                x = np.frombuffer(b"".join(rows[i] for i in at), np.float64).reshape(-1, dim)
-                got = _code(int(dim), n, filters=filters[int(dim)]).decode(x)
-                each = np.repeat(at, [len(g) for g in got])
-                take = pa.array(each)
-                lists = [g.tobytes() for g in got]
-                back = np.repeat(np.arange(len(at)), [len(g) for g in got])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.full(len(each), dim, np.int32)), vec.take(take), mult.take(take), binary_array([rows[i] for i in each]), binary_array([lists[i] for i in back])], ["filter", "dim", "node", "mult", "x", "own"])
+                for k, ids in zip(at.tolist(), codes.value[int(dim)].decode(_unit(_matrix(x.take(pa.array(at)), int(dim), kind))), strict=True):
+                    own[k] = ids.astype(np.int64).tobytes()
+            yield pa.RecordBatch.from_arrays([*b.columns, binary_array(own)], [*b.schema.names, "own"])
+
+    return go
+
+
+def _of_tiles(b, codes):
+    """(rows, tiles): each row once for every tile of its filters."""
+    dims, own = b.column(b.schema.get_field_index("dim")).to_numpy(), b.column(b.schema.get_field_index("own")).to_pylist()
+    for dim in np.unique(dims):
+        at, code = np.flatnonzero(dims == dim), codes.value[int(dim)]
+        t = np.sort(code.tiles(np.frombuffer(b"".join(own[k] for k in at.tolist()), np.int64).reshape(len(at), -1)), axis=1)
+        new = np.concatenate([np.ones((len(t), 1), bool), t[:, 1:] != t[:, :-1]], 1)
+        yield int(dim), at[np.nonzero(new)[0]], t[new]
+
+
+def _tile_counts(codes):
+    def go(batches):
+        for b in batches:
+            for dim, _, t in _of_tiles(b, codes):
+                tile, n = np.unique(t, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tile), dim, np.int32)), pa.array(tile), pa.array(n.astype(np.int64))], ["dim", "tile", "n"])
+
+    return go
+
+
+def _to_tiles(codes, cut):
+    """A row for each tile of a vector; in a tile of several pieces one for each pair of pieces that its own is in."""
+
+    def go(batches):
+        for b in batches:
+            node = b.column(b.schema.get_field_index("node")).to_numpy()
+            for dim, rows, tile in _of_tiles(b, codes):
+                pieces = np.array([cut.value.get((dim, t), 1) for t in tile.tolist()], np.int64)
+                own = (node[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % pieces
+                each = np.repeat(np.arange(len(rows)), pieces)
+                other = np.arange(len(each)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                for a in range(0, len(each), 20_000):
+                    k, o = each[a : a + 20_000], other[a : a + 20_000]
+                    take = pa.array(rows[k])
+                    col = lambda name: b.column(b.schema.get_field_index(name)).take(take)
+                    p, q = np.minimum(own[k], o), np.maximum(own[k], o)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), dim, np.int32)), pa.array(tile[k]), pa.array(p), pa.array(q), pa.array(own[k]), col("node"), col("mult"), col("x"), col("own")], ["dim", "tile", "p", "q", "piece", "node", "mult", "x", "own"])
 
     return go
 
 
 def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least filter that rows of two padded filter matrices share; -1 and -2 pad, so that they never match."""
+    """Least filter that rows of two filter matrices share."""
     out = np.empty(len(a), np.int64)
-    for i in range(0, len(a), 4096):
-        x, y = a[i : i + 4096], b[i : i + 4096]
+    for i in range(0, len(a), 8192):
+        x, y = a[i : i + 8192], b[i : i + 8192]
         hit = (x[:, :, None] == y[:, None, :]).any(2)
-        out[i : i + 4096] = np.where(hit, x, np.iinfo(np.int64).max).min(1)
+        out[i : i + 8192] = np.where(hit, x, np.iinfo(np.int64).max).min(1)
     return out
 
 
-def _verify(least: float):
+def _joined(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few edges that join what a matrix of links joins; where it is dense, by least labels of rows and columns."""
+    i, j = np.nonzero(hit)
+    if len(i) <= 4 * sum(hit.shape):
+        return left[i], right[j]
+    most = np.iinfo(np.int64).max
+    a, b = left.copy(), right.copy()
+    while True:
+        a2 = np.minimum(a, np.where(hit, b, most).min(1))
+        b2 = np.minimum(b, np.where(hit, a2[:, None], most).min(0))
+        if (a2 == a).all() and (b2 == b).all():
+            return np.concatenate([left, right]), np.concatenate([a, b])
+        a, b = a2, b2
+
+
+def _verify(least: float, codes, kind: str):
+    """Of a tile, or of a pair of its pieces: links of each vector, and edges that join what links join."""
+
     def go(key, table):
-        links: dict = {}
-        edges = []
-        f = table.column("filter").to_numpy()
-        p, q, own = (table.column(k).to_numpy() for k in ("p", "q", "piece"))
-        dim, node, mult = table.column("dim").to_numpy(), table.column("node").to_numpy(), table.column("mult").to_numpy()
-        xs, lists = table.column("x").to_pylist(), table.column("own").to_pylist()
-        order = np.lexsort((own, q, p, f, dim))
-        name = np.stack([dim[order], f[order], p[order], q[order]], 1)
-        cut = np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1
-        for part in np.split(order, cut):
+        dim, tile, p, q = (k.as_py() for k in key)
+        code = codes.value[dim]
+        x = _unit(_matrix(table.column("x"), dim, kind))
+        node, mult, piece = (table.column(k).to_numpy() for k in ("node", "mult", "piece"))
+        own = _matrix(table.column("own"), code.filters, "int64")
+        links = np.zeros(len(node), np.int64)
+        edges = [(node[:0], node[:0])]
+        row, col = np.nonzero(code.tiles(own) == tile)
+        f = own[row, col]
+        order = np.argsort(f, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(f[order])) + 1):
             if len(part) < 2:
                 continue
-            d, this, pi, qi = int(dim[part[0]]), int(f[part[0]]), int(p[part[0]]), int(q[part[0]])
-            left = part[own[part] == pi]
-            right = part[own[part] == qi]
-            x = np.frombuffer(b"".join(xs[i] for i in left), np.float64).reshape(-1, d)
-            y = x if pi == qi else np.frombuffer(b"".join(xs[i] for i in right), np.float64).reshape(-1, d)
-            if not len(x) or not len(y):
-                continue
-            i, j = np.nonzero((np.triu(x @ y.T, 1) if pi == qi else x @ y.T) >= least)
-            if not len(i):
-                continue
-            i, j = left[i], right[j]
-            used = np.unique(np.concatenate([i, j]))
-            own_lists = [np.frombuffer(lists[u], np.int64) for u in used]
-            wide = max(map(len, own_lists))
-            m1 = np.full((len(used), wide), -1, np.int64)
-            for k, row in enumerate(own_lists):
-                m1[k, : len(row)] = row
-            m2 = np.where(m1 == -1, -2, m1)
-            i0, j0 = np.searchsorted(used, i), np.searchsorted(used, j)
-            new = _first_common(m1[i0], m2[j0]) == this  # a pair counts in its first common filter
-            ni, nj = node[i[new]], node[j[new]]
-            for a, w in ((ni, mult[j[new]]), (nj, mult[i[new]])):
-                ids, at = np.unique(a, return_inverse=True)
-                for v, c in zip(ids.tolist(), np.bincount(at, w, len(ids)).tolist(), strict=True):
-                    links[v] = links.get(v, 0) + int(c)
-            edges.extend(_forest(ni, nj))
-        v = list(links)
-        n = len(v)
-        return pa.table({"a": pa.array(v + [e[0] for e in edges], pa.int64()), "b": pa.array([None] * n + [e[1] for e in edges], pa.int64()), "n": pa.array([links[k] for k in v] + [None] * len(edges), pa.int64())})
+            this, at = f[part[0]], row[part]
+            left, right = (at, at) if p == q else (at[piece[at] == p], at[piece[at] == q])
+            y = x[right].T
+            for a in range(0, len(left), ROWS):
+                some = left[a : a + ROWS]
+                # of each pair of rows of one piece the later one meets the earlier one
+                hit = (x[some] @ y >= least) & ((right[None, :] < some[:, None]) if p == q else True)
+                i, j = np.nonzero(hit)
+                if not len(i):
+                    continue
+                edges.append(_joined(hit, node[some], node[right]))
+                i, j = some[i], right[j]
+                new = _first_common(own[i], own[j]) == this  # a pair counts in its first common filter
+                i, j = i[new], j[new]
+                links += np.bincount(i, mult[j], len(node)).astype(np.int64) + np.bincount(j, mult[i], len(node)).astype(np.int64)
+        a, b = forest(*(np.concatenate(e) for e in zip(*edges, strict=True)))
+        some = np.flatnonzero(links)
+        n, m = len(some), len(a)
+        return pa.table({"a": np.concatenate([node[some], a]), "b": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(b)]), "n": pa.concat_arrays([pa.array(links[some]), pa.nulls(m, pa.int64())])})
 
     return go
 
 
-def _forest(a: np.ndarray, b: np.ndarray):
-    """Edges that join what the pairs join, fewer than there are vectors."""
-    up: dict = {}
-
-    def root(x):
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        r, s = root(x), root(y)
-        if r != s:
-            up[max(r, s)] = min(r, s)
-            yield r, s
-
-
-def _unit(batches):
-    for b in batches:
-        out = []
-        for x in b.column(1).to_pylist():
-            v = None
-            if x is not None and len(x) and all(e is not None for e in x):
-                y = np.array(x, np.float64)
-                if np.isfinite(y).all() and (most := np.abs(y).max()) > 0:
-                    y = y / most
-                    v = (y / math.sqrt(float(y @ y))).tobytes()
-            out.append(v)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["vec_id", "x"])
-
-
 def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: links at cosine >= least, counted in double precision.
 
@@ -214,25 +299,29 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     """
     spark = vectors.sparkSession
     ship(spark)
-    d = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    unit = d.mapInArrow(_unit, "vec_id long, x binary").withColumn("k", F.when(F.col("x").isNotNull() & F.col("vec_id").isNotNull(), F.md5("x")))
-    unit = scratch(unit, "unit")
-    rows = unit.select("vec_id", "k")
-    classes = scratch(unit.where("k is not null").groupBy("k").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("mult"), F.first("x").alias("x")), "classes")
-    n = classes.count()
-    # chosen here, so that all executors take the same
-    dims = [r.d for r in classes.select((F.length("x") / 8).cast("int").alias("d")).distinct().collect()]
-    filters = {d: _code(d, n, least).filters for d in dims}
-    parts = scratch(classes.select("node", "mult", "x").mapInArrow(_decode(n, filters), "filter long, dim int, node long, mult long, x binary, own binary"), "filters")
-    full = parts.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("pieces", F.ceil(F.col("m") / PIECE).cast("int"))
-    cut = parts.join(full, ["dim", "filter"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    cut = cut.select("filter", "dim", "node", "mult", "x", "own", "piece", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"))
-    tasks = max(8, -(-n * max(filters.values(), default=0) // TASK))
-    done = scratch(cut.withColumn("task", F.pmod(F.xxhash64("dim", "filter", "p", "q"), F.lit(tasks))).groupBy("task").applyInArrow(_verify(least), "a long, b long, n long"), "verified")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "float32" if single else "float64"
+    d = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
+    keyed = d.mapInArrow(_keys(kind), "vec_id long, dim int, k1 long, k2 long, x binary")
+    rows = scratch(keyed.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("dim")).alias("dim"), "k1", "k2"), "directions")
+    # chosen here, so that all executors take the same; the codes grow as the root of the rows
+    made = {r.dim: _code(r.dim, r["count"], least) for r in rows.where("dim is not null").groupBy("dim").count().collect()}
+    if sum(w.nbytes for c in made.values() for w in c.words) > BROADCAST_BYTES:
+        raise ValueError("codes of more than 64 MB; set AIM higher")
+    codes = spark.sparkContext.broadcast(made)
+    classes = keyed.where("dim is not null and vec_id is not null").groupBy("dim", "k1", "k2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("mult"), F.first("x").alias("x"))
+    kinds = "dim int, k1 long, k2 long, node long, mult long, x binary, own binary"
+    classes = scratch(classes.mapInArrow(_decode(codes, kind), kinds), "classes")
+    # a row for each TILE vectors at most
+    large = classes.select("dim", "own").mapInArrow(_tile_counts(codes), "dim int, tile long, n long").groupBy("dim", "tile").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * TILE)
+    cut = spark.sparkContext.broadcast({(r.dim, r.tile): -(-r.n // TILE) for r in large.collect()})
+    tiles = classes.select("dim", "node", "mult", "x", "own").mapInArrow(_to_tiles(codes, cut), "dim int, tile long, p long, q long, piece long, node long, mult long, x binary, own binary")
+    done = scratch(tiles.groupBy("dim", "tile", "p", "q").applyInArrow(_verify(least, codes, kind), "a long, b long, n long"), "verified")
     links = done.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    copies = rows.where("k is not null").join(classes.select("k", "node"), "k").where("vec_id != node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
+    key = ["dim", "k1", "k2"]
+    named = scratch(classes.select(*key, "node", (F.col("mult") - 1).alias("same")).join(links, "node", "left").select(*key, "node", (F.col("same") + F.coalesce("n", F.lit(0))).alias("n")), "links")
+    copies = rows.where("dim is not null").join(named.select(*key, "node"), key).where("vec_id != node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
     reached = scratch(components(done.where("b is not null").select("a", "b").unionByName(copies)), "reached")
-    found = classes.select("k", (F.col("mult") - 1).alias("same"), "node").join(links, "node", "left").select("k", (F.col("same") + F.coalesce("n", F.lit(0))).alias("n"))
-    out = rows.join(found, "k", "left").join(reached.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    out = rows.join(named.select(*key, "n"), key, "left").join(reached.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -113,9 +113,10 @@ def vectors():
     return rows + [(n, same), (n + 1, [2 * x for x in same]), (n + 2, None), (n + 3, [0.0] * 16), (n + 4, [float("nan")] * 16), (n + 5, [None] * 16), (n + 6, []), (n + 7, [1.0, 2.0]), (n + 8, [float("inf")] * 16), (n + 9, [1e300] * 16), (None, same)]
 
 
-@pytest.mark.parametrize("piece", [1024, 8])
-def test_caps_recall_and_precision(spark, monkeypatch, piece):
-    monkeypatch.setattr(caps, "PIECE", piece)
+@pytest.mark.parametrize("tile,rows_at_once", [(50_000, 512), (60, 512), (20, 7)])
+def test_caps_recall_and_precision(spark, monkeypatch, tile, rows_at_once):
+    monkeypatch.setattr(caps, "TILE", tile)
+    monkeypatch.setattr(caps, "ROWS", rows_at_once)
     rows = vectors()
     df = spark.createDataFrame([(i, v, 1, "a") for i, v in rows], "vec_id long, embedding array<double>, node int, filter string")
     got = {r.vec_id: r for r in caps.near_duplicates(df).collect() if r.vec_id is not None}
@@ -135,6 +136,30 @@ def test_caps_recall_and_precision(spark, monkeypatch, piece):
     assert caps.near_duplicates(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n", [3000, 40_000])
+def test_caps_recall_of_links_at_the_threshold(spark, n):
+    """Pairs just above the least cosine amid single precision vectors, at two sizes; a vector goes to few tiles."""
+    x, y = caps.pairs_at(32, 0.953, n // 20, seed=5)
+    rng = np.random.default_rng(6)
+    z = rng.standard_normal((n - 2 * len(x), 32))
+    v = np.concatenate([x, y, z / np.linalg.norm(z, axis=1, keepdims=True)]).astype(np.float32)
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in caps.near_duplicates(df).collect()}
+    assert len(got) == n and sum(got[k].n_links >= 1 for k in range(2 * len(x))) >= 0.97 * 2 * len(x)
+    assert all(got[k].component_id <= k for k in got)
+    code = caps._code(32, n)
+    assert np.mean([len(np.unique(t)) for t in code.tiles(np.array(code.decode(z[:300] / np.linalg.norm(z[:300], axis=1, keepdims=True))))]) <= code.filters / 2
+
+
+def test_dense_links_are_joined_as_all_pairs_would():
+    rng = np.random.default_rng(2)
+    for share in (0.0, 0.02, 0.5, 1.0):
+        hit = rng.random((90, 120)) < share
+        left, right = rng.permutation(1000)[:90].astype(np.int64), rng.permutation(1000)[:120].astype(np.int64) + 1000
+        want, got = caps.forest(left[np.nonzero(hit)[0]], right[np.nonzero(hit)[1]]), caps.forest(*caps._joined(hit, left, right))
+        assert dict(zip(*want)) == dict(zip(*got))
+
+
 @pytest.mark.parametrize("dim,n", [(64, 1 << 10), (64, 1 << 16), (64, 1 << 17), (64, (1 << 17) + 1), (64, 1 << 20), (16, 1 << 20)])
 def test_caps_borderline_pairs_share_filters_at_every_size(dim, n):
     rng = np.random.default_rng(8)
