@@ -15,7 +15,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard):
     v = rng.standard_normal((700, 8)) * 0.4
     v[100:200] = v[0]
     rows = [(k, x) for k, x in enumerate(v.tolist())] + [(700, None), (750, [float("nan")] * 8), (751, [None] * 8), (800, [1.0, 2.0]), (801, [3.0, 1.0]), (850, []), (900, [1e200] * 8), (None, [1.0] * 8)]
-    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, rank int, part int")
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows + rows[50:51]], "vec_id long, embedding array<double>, rank int, part int")
     got = {}
     for r in kdtopk.top_k(df.where("vec_id is null or vec_id != 900"), F.col("vec_id") % 50 == 0).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -28,6 +28,43 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard):
     assert kdtopk.top_k(df.limit(0), F.col("vec_id") == 0).collect() == []
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e5])
+def test_top_k_of_clusters_visits_few_shards(spark, monkeypatch, scale):
+    """Exact in every width of integers; blocks of queries meet only shards whose boxes can beat their bounds."""
+    monkeypatch.setattr(kdtopk, "SHARD", 64)
+    monkeypatch.setattr(kdtopk, "BLOCK", 16)
+    seen = {}
+    write = kdtopk.scratch
+
+    def watched(df, name):
+        out = write(df, name)
+        seen.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(kdtopk, "scratch", watched)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((24, 6))
+    centres *= 10 / np.linalg.norm(centres, axis=1, keepdims=True)
+    v = np.concatenate([c + rng.standard_normal((100, 6)) * 0.05 for c in centres]) * scale
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    got = {}
+    for r in kdtopk.top_k(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    q = [[int(x) for x in np.floor(r * 256)] for r in v]
+    for i in range(0, len(v), 100):
+        want = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in range(len(v)) if j != i)[:5]
+        assert sorted(got[i]) == [(k + 1, j, -t) for k, (t, j) in enumerate(want)]
+    blocks, shards = seen["bounded"][0].count(), seen["shards"][0].count()
+    assert shards >= 24 and sum(x.count() for x in seen["pairs"]) < 0.4 * blocks * shards
+
+
+def test_top_k_refuses_what_longs_dont_hold(spark):
+    for v in ([1e200, 1.0], [1e12, 1.0]):
+        df = spark.createDataFrame([(k, v) for k in range(3)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception):
+            kdtopk.top_k(df, F.col("vec_id") == 0).collect()
+
+
 def test_rollup_is_idempotent(spark):
     path = scratch_path(spark, "test-rollup")
     changes = lambda rows: spark.createDataFrame(rows, "op string, source string, lang string, tokenizer string, old_tokens long, new_tokens long, documents int")
