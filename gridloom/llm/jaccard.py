@@ -341,7 +341,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("int")
     zone = F.floor(F.log2(F.col("pos") + 1.0)).cast("int")
     salt = F.pmod(F.xxhash64("node", F.lit("block")), F.greatest(F.lit(1), F.ceil(F.col("entries") / BLOCK)))
-    left = join_small(here, several, ["tok"], "inner", 16).select("tok", band.alias("band"), F.xxhash64("tok", band, zone, salt).alias("block"), "node", "component", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("pos")).cast("long").alias("rest"))
+    left = join_small(here, several, ["tok"], "inner", 48).select("tok", band.alias("band"), F.xxhash64("tok", band, zone, salt).alias("block"), "node", "component", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("pos")).cast("long").alias("rest"))
     entries = scratch(left, "entries")
     drop_scratch(here)
     block = entries.groupBy("tok", "band", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("rest").alias("t1"), F.min("component").alias("c0"), F.max("component").alias("c1"))
@@ -368,10 +368,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     across = scratch(across.withColumn("a", F.least("lu", "lv")).withColumn("b", F.greatest("lu", "lv")).drop("lu", "lv"), "across")
     if not across.isEmpty():
         bound = sets.bound(scratch(across.select("a", "b").distinct(), "led-pairs"), "led")
-        most = bound.groupBy("a", "b").agg(F.max("o").alias("o"))
-        left = scratch(across.join(most, ["a", "b"]).where(sets.linked("o + more", "nu", "nv")).drop("o"), "open")
-        known = sets.overlap(scratch(left.select("a", "b").distinct(), "open-pairs"), "open").groupBy("a", "b").agg(F.max("o").alias("o"), F.min("o").alias("p"))
-        done = scratch(left.join(known, ["a", "b"]).where(sets.linked("o + more", "nu", "nv")).withColumn("sure", sets.linked("p - less", "nu", "nv")), "derived")
+        most = scratch(bound.groupBy("a", "b").agg(F.max("o").alias("o")), "most")
+        left = scratch(join_small(across, most, ["a", "b"], "inner", 40).where(sets.linked("o + more", "nu", "nv")).drop("o"), "open")
+        known = sets.overlap(scratch(left.select("a", "b").distinct(), "open-pairs"), "open")
+        known = scratch(known.groupBy("a", "b").agg(F.max("o").alias("o"), F.min("o").alias("p")), "known")
+        done = scratch(join_small(left, known, ["a", "b"], "inner", 48).where(sets.linked("o + more", "nu", "nv")).withColumn("sure", sets.linked("p - less", "nu", "nv")), "derived")
         rest = scratch(done.where("not sure").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "rest")
         links = links.unionByName(done.where("sure").select(F.col("u").alias("a"), F.col("v").alias("b")))
         if not rest.isEmpty():
