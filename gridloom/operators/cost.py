@@ -1,8 +1,9 @@
 """Cost distance and least-cost paths over rasters of any size, tile by tile.
 
-A round lets every tile whose rim has changed run Dijkstra's algorithm inside itself and send its new edge to its
-neighbours. Rounds end when no edge improves. A task holds one tile and its rim; rounds are written to the shared
-folder, and only the number of changed tiles reaches the driver.
+A round lets every tile that gets new edges from its neighbours run Dijkstra's algorithm inside itself and send its own
+edges on where they have become cheaper. Rounds end when no edge improves. A task holds one tile and its rim. Frictions
+are written once; a round writes the costs of the tiles that it has touched as a layer over those before, and only the
+number of changed tiles reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from pyspark.sql import functions as F
 from .. import grid
 from ..grid import Bounds
 from ..raster import TILES, Raster
-from ..runtime import scratch, ship
+from ..runtime import drop_scratch, scratch, ship
 from .local import crop
 from .tiling import from_arrow, rimmed, to_arrow
 
 #: (rows down, columns right) and band of a directional friction.
 STEPS = [(-1, 0, 0), (-1, 1, 1), (0, 1, 2), (1, 1, 3), (1, 0, 4), (1, -1, 5), (0, -1, 6), (-1, -1, 7)]
 GAIN = 1e-7
-_STATE = "tile_id long, friction binary, cost binary, changed boolean"
+#: Layers of costs that are folded into one.
+LAYERS = 8
+_COST = "tile_id long, round int, cost binary, changed boolean"
 
 
 def _spread(friction: np.ndarray, cost: np.ndarray, start: list, size: float, most: float) -> np.ndarray:
@@ -92,8 +95,9 @@ def cost_distance(points: DataFrame, friction: Raster, most: float = -1.0, bound
             cost = _spread(f, cost, start, size, most)
         return pa.table({"tile_id": pa.array([key[0].as_py()], pa.int64()), "friction": pa.array([f.tobytes()], pa.binary()), "cost": pa.array([cost.tobytes()], pa.binary()), "changed": pa.array([bool(start)])})
 
-    state = r.tiles().select("tile_id", "band", "cells").join(seeds, "tile_id", "left").groupBy("tile_id").applyInArrow(begin, _STATE)
-    state = scratch(state, "cost")
+    begun = r.tiles().select("tile_id", "band", "cells").join(seeds, "tile_id", "left").groupBy("tile_id").applyInArrow(begin, "tile_id long, friction binary, cost binary, changed boolean")
+    begun = scratch(begun, "friction")
+    frictions = begun.select("tile_id", "friction")
     range_ = r.tile_range()
 
     def edges(batches):
@@ -115,32 +119,60 @@ def cost_distance(points: DataFrame, friction: Raster, most: float = -1.0, bound
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(cols, kinds)], ["tile_id", "x", "y", "w", "part", "frictions"])
 
-    def relax(key, own, sent):
-        if own.num_rows == 0:
-            return own.select(["tile_id", "friction", "cost", "changed"])
-        f = np.full((nb, ts + 2, ts + 2), np.nan)
-        c = np.full((ts + 2, ts + 2), np.nan)
-        f[:, 1:-1, 1:-1] = np.frombuffer(own.column("friction")[0].as_py()).reshape(nb, ts, ts)
-        before = np.frombuffer(own.column("cost")[0].as_py()).reshape(ts, ts)
-        c[1:-1, 1:-1] = before
-        start = []
-        for x, y, w, part, g in zip(*(sent.column(k).to_pylist() for k in ("x", "y", "w", "part", "frictions"))):
-            q = np.frombuffer(part).reshape(-1, w)
-            h = len(q)
-            c[y : y + h, x : x + w] = q
-            f[:, y : y + h, x : x + w] = np.frombuffer(g).reshape(nb, h, w)
-            start += [(float(q[j, i]), y + j, x + i) for j in range(h) for i in range(w) if not np.isnan(q[j, i])]
-        after = _spread(f, c, start, size, most)[1:-1, 1:-1] if start else before
-        a, b = np.nan_to_num(after, nan=np.inf), np.nan_to_num(before, nan=np.inf)
-        rim = np.ones((ts, ts), bool)
-        rim[1:-1, 1:-1] = False
-        with np.errstate(invalid="ignore"):
-            changed = bool(((a < b - GAIN) & rim).any())
-        return pa.table({"tile_id": own.column("tile_id"), "friction": own.column("friction"), "cost": pa.array([np.ascontiguousarray(after).tobytes()], pa.binary()), "changed": pa.array([changed])})
-
-    while state.where("changed").limit(1).count():
-        messages = state.where("changed").select("tile_id", "friction", "cost").mapInArrow(edges, "tile_id long, x int, y int, w int, part binary, frictions binary")
-        state = scratch(state.groupBy("tile_id").cogroup(messages.groupBy("tile_id")).applyInArrow(relax, _STATE), "cost")
+    def relax(number):
+        def go(key, own, sent):
+            if own.num_rows == 0:
+                return pa.table({"tile_id": pa.array([], pa.int64()), "round": pa.array([], pa.int32()), "cost": pa.array([], pa.binary()), "changed": pa.array([], pa.bool_())})
+            f = np.full((nb, ts + 2, ts + 2), np.nan)
+            c = np.full((ts + 2, ts + 2), np.nan)
+            f[:, 1:-1, 1:-1] = np.frombuffer(own.column("friction")[0].as_py()).reshape(nb, ts, ts)
+            before = np.frombuffer(own.column("cost")[0].as_py()).reshape(ts, ts)
+            c[1:-1, 1:-1] = before
+            start = []
+            for x, y, w, part, g in zip(*(sent.column(k).to_pylist() for k in ("x", "y", "w", "part", "frictions"))):
+                q = np.frombuffer(part).reshape(-1, w)
+                h = len(q)
+                c[y : y + h, x : x + w] = q
+                f[:, y : y + h, x : x + w] = np.frombuffer(g).reshape(nb, h, w)
+                start += [(float(q[j, i]), y + j, x + i) for j in range(h) for i in range(w) if not np.isnan(q[j, i])]
+            after = _spread(f, c, start, size, most)[1:-1, 1:-1] if start else before
+            a, b = np.nan_to_num(after, nan=np.inf), np.nan_to_num(before, nan=np.inf)
+            rim = np.ones((ts, ts), bool)
+            rim[1:-1, 1:-1] = False
+            with np.errstate(invalid="ignore"):
+                changed = bool(((a < b - GAIN) & rim).any())
+            return pa.table({"tile_id": own.column("tile_id"), "round": pa.array([number], pa.int32()), "cost": pa.array([np.ascontiguousarray(after).tobytes()], pa.binary()), "changed": pa.array([changed])})
+
+        return go
+
+    layers = [begun.select("tile_id", F.lit(0).alias("round"), "cost", "changed")]
+
+    def latest(of: DataFrame | None = None) -> DataFrame:
+        """The newest cost of every tile, or of those wanted."""
+        every = layers[0]
+        for x in layers[1:]:
+            every = every.unionByName(x)
+        if of is not None:
+            every = every.join(of, "tile_id", "left_semi")
+        return every.groupBy("tile_id").agg(F.max_by(F.struct("cost", "changed"), "round").alias("s"), F.max("round").alias("round")).select("tile_id", "round", "s.cost", "s.changed")
+
+    number = 0
+    while not layers[-1].where("changed").isEmpty():
+        number += 1
+        messages = layers[-1].where("changed").select("tile_id", "cost").join(frictions, "tile_id").select("tile_id", "friction", "cost")
+        messages = scratch(messages.mapInArrow(edges, "tile_id long, x int, y int, w int, part binary, frictions binary"), "messages")
+        reached = messages.select("tile_id").distinct()
+        own = latest(reached).select("tile_id", "cost").join(frictions, "tile_id")
+        layer = scratch(own.groupBy("tile_id").cogroup(messages.groupBy("tile_id")).applyInArrow(relax(number), _COST), "cost")
+        drop_scratch(messages)
+        layers.append(layer)
+        if len(layers) > LAYERS:
+            # the last layer stays by itself, as it says what has changed
+            last = layers.pop()
+            folded = scratch(latest(), "costs")
+            for x in layers[1:]:
+                drop_scratch(x)
+            layers = [folded, last]
 
     def finish(batches):
         for b in batches:
@@ -148,7 +180,7 @@ def cost_distance(points: DataFrame, friction: Raster, most: float = -1.0, bound
             rows = [np.frombuffer(c).astype(np.float32).astype(float) for c in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(tid % (1 << z)), pa.array(tid >> z), pa.array(np.zeros(len(tid), np.int32)), to_arrow(rows)], ["tile_id", "tx", "ty", "band", "cells"])
 
-    return Raster(r.meta.with_(bands=1, tile_type="float"), (state.select("tile_id", "cost").mapInArrow(finish, TILES),))
+    return Raster(r.meta.with_(bands=1, tile_type="float"), (latest().select("tile_id", "cost").mapInArrow(finish, TILES),))
 
 
 _PATH = "feature_id long, step int, gx long, gy long, cost double, open boolean"
@@ -204,7 +236,9 @@ def least_cost_path(cost: Raster, points: DataFrame) -> DataFrame:
     rows = None
     while True:
         placed = now.withColumn("tile_id", grid.tile_of_pixel(F.col("gx"), F.col("gy"), z, ts).cast("long"))
-        got = scratch(tiles.groupBy("tile_id").cogroup(placed.groupBy("tile_id")).applyInArrow(walk, _PATH), "walk")
+        # only tiles that hold a walker are read, and each once
+        here = tiles.join(placed.select("tile_id").distinct(), "tile_id", "left_semi")
+        got = scratch(here.groupBy("tile_id").cogroup(placed.groupBy("tile_id")).applyInArrow(walk, _PATH), "walk")
         done = got.where("not open")
         rows = done if rows is None else rows.unionByName(done)
         now = got.where("open").select("feature_id", "step", "gx", "gy")

@@ -61,15 +61,10 @@ def stats(r: Raster):
 
 
 def _with_range(r: Raster, f, kind: str, **meta) -> Raster:
-    """f(cell, least, greatest) with the band's own range: a row a band goes to the driver."""
-    got = {x.band: (x.min, x.max) for x in stats(r).collect()}
-    frames = r.tiles()
-    low = F.create_map(*[F.lit(y) for b, (m, _) in got.items() for y in (b, m)]) if got else F.lit(None)
-    high = F.create_map(*[F.lit(y) for b, (_, m) in got.items() for y in (b, m)]) if got else F.lit(None)
-    if not got:
-        return r.map(lambda v: F.lit(None).cast("double"), kind, **meta)
-    out = frames.withColumn("cells", F.transform("cells", lambda v: f(v, low[F.col("band")], high[F.col("band")])))
-    return Raster(r.meta.with_(tile_type=kind, **meta), (out,))
+    """f(cell, least, greatest) with the band's own range, a row a band that is joined where tiles are read."""
+    range_ = stats(r).select("band", F.col("min").alias("_low"), F.col("max").alias("_high"))
+    out = r.tiles().join(F.broadcast(range_), "band", "left").withColumn("cells", F.transform("cells", lambda v: f(v, F.col("_low"), F.col("_high"))))
+    return Raster(r.meta.with_(tile_type=kind, **meta), (out.select("tile_id", "tx", "ty", "band", "cells"),))
 
 
 def normalize(r: Raster, low: float | None = None, high: float | None = None) -> Raster:

@@ -126,7 +126,16 @@ _add(
     f", m AS (SELECT sum(exp(-0.5 * pow(k / {_S}, 2))) AS m FROM range(-4, 5) t(k)) SELECT c.gx, c.gy, round(CAST(sum(n.v * exp(-0.5 * pow((n.gx - c.gx) / {_S}, 2)) * exp(-0.5 * pow((n.gy - c.gy) / {_S}, 2))) / pow(any_value(m.m), 2) AS FLOAT)::DOUBLE, 2) AS v "
     + _NEAR.format(n="a", l=4, r=4) + " CROSS JOIN m GROUP BY 1, 2",
 )
-_add("raster_kernel_laplacian", lambda s, d: _cells(focal.kernel("laplacian", raster_a(s, d), 400_000), 2))
+_add(
+    "raster_kernel_laplacian",
+    lambda s, d: _cells(focal.kernel("laplacian", raster_a(s, d), 400_000), 2),
+    # smoothed values of all cells and of those around the raster, then the stencil
+    f", m AS (SELECT sum(exp(-0.5 * pow(k / {_S}, 2))) AS m FROM range(-4, 5) t(k)), e AS (SELECT x.x AS gx, y.y AS gy FROM range(-1, 65) x(x), range(-1, 65) y(y)),\n"
+    f"k AS (SELECT e.gx, e.gy, coalesce(sum(n.v * exp(-0.5 * pow((n.gx - e.gx) / {_S}, 2)) * exp(-0.5 * pow((n.gy - e.gy) / {_S}, 2))), 0) / pow(any_value(m.m), 2) AS v\n"
+    "  FROM e CROSS JOIN m LEFT JOIN a n ON n.gx BETWEEN e.gx - 4 AND e.gx + 4 AND n.gy BETWEEN e.gy - 4 AND e.gy + 4 GROUP BY 1, 2)\n"
+    "SELECT a.gx, a.gy, round(CAST(u.v + l.v + r.v + b.v - 4 * c.v AS FLOAT)::DOUBLE, 2) + 0.0 AS v FROM a JOIN k c ON c.gx = a.gx AND c.gy = a.gy JOIN k u ON u.gx = a.gx AND u.gy = a.gy - 1\n"
+    "  JOIN k b ON b.gx = a.gx AND b.gy = a.gy + 1 JOIN k l ON l.gx = a.gx - 1 AND l.gy = a.gy JOIN k r ON r.gx = a.gx + 1 AND r.gy = a.gy",
+)
 
 _P = ", p AS (SELECT gx // 2 AS gx, gy // 2 AS gy, v, (gy % 2) * 2 + gx % 2 AS k FROM a)\n"
 for _n, _s in {
@@ -182,11 +191,44 @@ def _cost(s: SparkSession, d: str, most: float = -1.0) -> Raster:
     return cost.cost_distance(_path_start(s), local.fill(_friction(s, d), 1).map(lambda v: F.coalesce(v, F.lit(4.0))), most)
 
 
-_add("raster_costdistance", lambda s, d: _cells(_cost(s, d), 0))
-_add("raster_costdistance_limit", lambda s, d: _cells(_cost(s, d, 4_000_000.0), 0))
-_add("raster_leastcostpath", lambda s, d: cost.least_cost_path(_cost(s, d), vector.points(s, [(-30.0, -60.0), (-170.0, 80.0), (-100.0, 12.0)])).select("feature_id", "wkt", F.col("attrs")["DISTANCE_M"].alias("distance")))
+# Bellman and Ford's relaxation, a step of all cells a round, until no cell gets cheaper
+_NEXT = ", s AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {y}, {x}, {'sqrt(2)' if x and y else '1.0'})" for k, (y, x, _) in enumerate(cost.STEPS)) + ") t(k, dy, dx, far))\n"
+_FIELD = _GRID + ", f AS (SELECT gx, gy, CASE WHEN a.v > 25 THEN CAST(a.v / 10 AS FLOAT)::DOUBLE ELSE 1.0 END AS f FROM g LEFT JOIN a USING (gx, gy))\n" + _NEXT
+_COST = (
+    ", w AS (SELECT p.gx AS x, p.gy AS y, q.gx, q.gy, (p.f + q.f) * 0.5 * s.far * {m} AS w FROM f p CROSS JOIN s JOIN f q ON q.gx = p.gx + s.dx AND q.gy = p.gy + s.dy)\n"
+    ", d(gx, gy, c) USING KEY (gx, gy) AS (SELECT gx, gy, 0.0::DOUBLE FROM f WHERE gx = 28 AND gy = 27\n"
+    "  UNION SELECT w.gx, w.gy, min(d.c + w.w) FROM d JOIN w ON w.x = d.gx AND w.y = d.gy LEFT JOIN recurring.d r ON r.gx = w.gx AND r.gy = w.gy WHERE d.c + w.w < coalesce(r.c, 'infinity'::DOUBLE) - 1e-7 {most} GROUP BY 1, 2)\n"
+)
+_RECURSIVE = "WITH RECURSIVE" + _WITH[4:]
+
+
+def _recursive(name: str, f, sql: str) -> None:
+    _add(name, f)
+    _SQL[name] = _RECURSIVE + sql
+
+
+_recursive("raster_costdistance", lambda s, d: _cells(_cost(s, d), 0), _FIELD + _COST.format(m=_M, most="") + "SELECT gx, gy, round(CAST(c AS FLOAT)::DOUBLE, 0) + 0.0 AS v FROM d")
+_recursive("raster_costdistance_limit", lambda s, d: _cells(_cost(s, d, 4_000_000.0), 0), _FIELD + _COST.format(m=_M, most="AND d.c + w.w <= 4000000.0 + 1e-8") + "SELECT gx, gy, round(CAST(c AS FLOAT)::DOUBLE, 0) + 0.0 AS v FROM d")
+_three = "rtrim(rtrim(({})::DECIMAL(38, 3)::VARCHAR, '0'), '.')"
+_recursive(
+    "raster_leastcostpath",
+    lambda s, d: cost.least_cost_path(_cost(s, d), vector.points(s, [(-30.0, -60.0), (-170.0, 80.0), (-100.0, 12.0)])).select("feature_id", "wkt", F.col("attrs")["DISTANCE_M"].alias("distance")),
+    _FIELD + _COST.format(m=_M, most="") + ", c AS (SELECT gx, gy, CAST(c AS FLOAT)::DOUBLE AS c FROM d)\n"
+    # the lowest neighbour, of equal ones the first by rows; none where no neighbour is lower
+    ", o AS (SELECT c.gx, c.gy, arg_min([n.gx, n.gy], [n.c, n.gy - c.gy, n.gx - c.gx]) AS to_, min(n.c) < any_value(c.c) AS go FROM c CROSS JOIN s JOIN c n ON n.gx = c.gx + s.dx AND n.gy = c.gy + s.dy GROUP BY 1, 2)\n"
+    ", t AS (SELECT * FROM (VALUES (0::BIGINT, 53::BIGINT, 53::BIGINT, 0::BIGINT), (1, 3, 3, 0), (2, 28, 27, 0)) t(feature_id, gx, gy, step) UNION ALL SELECT t.feature_id, o.to_[1], o.to_[2], t.step + 1 FROM t JOIN o USING (gx, gy) WHERE o.go)\n"
+    ", l AS (SELECT *, CASE WHEN lag(gx) OVER p IS NULL THEN 0.0 WHEN gx <> lag(gx) OVER p AND gy <> lag(gy) OVER p THEN sqrt(2) ELSE 1.0 END * CAST(" + _M + " AS FLOAT)::DOUBLE AS far FROM t WINDOW p AS (PARTITION BY feature_id ORDER BY step))\n"
+    "SELECT feature_id, 'LINESTRING (' || string_agg((gx * 2.8125 - 180.0)::DOUBLE::VARCHAR || ' ' || (90.0 - gy * 2.8125)::DOUBLE::VARCHAR, ', ' ORDER BY step) || ')' AS wkt, " + _three.format("round(sum(far), 3)") + " AS distance FROM l GROUP BY 1",
+)
 _add("raster_inlinecsv", lambda s, d: Engine(s).run("InlineCsv('name,x,y', \"'a, b',10,-5;c,20,30.5\")").select("wkt", F.col("attrs")["name"].alias("name")), "SELECT * FROM (VALUES ('POINT (10.0 -5.0)', 'a, b'), ('POINT (20.0 30.5)', 'c')) t(wkt, name)")
-_add("raster_geohash", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.length(geometry.geohash(((F.col("user_id") * 17) % 180 - 90).cast("double"), ((F.col("event_id") * 37) % 360 - 180).cast("double"), 8)).alias("n")), "SELECT event_id, 8 AS n FROM events")
+# the interval that holds the point is halved bit by bit; even bits are of the longitude
+_add(
+    "raster_geohash",
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", geometry.geohash(((F.col("user_id") * 17) % 180 - 90).cast("double"), ((F.col("event_id") * 37) % 360 - 180).cast("double"), 8).alias("hash")),
+    ", e AS (SELECT event_id, ((event_id * 37) % 360 - 180)::DOUBLE AS lon, ((user_id * 17) % 180 - 90)::DOUBLE AS lat FROM events)\n"
+    ", h AS (SELECT event_id, list_transform(range(40), lambda i: CASE WHEN i % 2 = 0 THEN floor((lon + 180.0) / (360.0 / pow(2, i // 2 + 1))) % 2 ELSE floor((lat + 90.0) / (180.0 / pow(2, i // 2 + 1))) % 2 END) AS b FROM e)\n"
+    "SELECT event_id, array_to_string(list_transform(range(8), lambda c: substr('0123456789bcdefghjkmnpqrstuvwxyz', (1 + 16 * b[5 * c + 1] + 8 * b[5 * c + 2] + 4 * b[5 * c + 3] + 2 * b[5 * c + 4] + b[5 * c + 5])::BIGINT, 1)), '') AS hash FROM h",
+)
 _add("raster_greatcircle", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.round(geometry.great_circle(((F.col("user_id") * 17) % 180 - 90).cast("double"), ((F.col("event_id") * 37) % 360 - 180).cast("double"), F.lit(0.0), F.lit(0.0)) / 1000, 3).alias("km")), "SELECT event_id, round(2 * 6378137.0 * asin(sqrt(least(1.0, pow(sin((0 - radians((user_id * 17) % 180 - 90)) / 2), 2) + cos(radians((user_id * 17) % 180 - 90)) * pow(sin(radians(0 - ((event_id * 37) % 360 - 180)) / 2), 2)))) / 1000, 3) AS km FROM events")
 _SCALE = ColorScale(((10.0, (0, 0, 0, 255)), (30.0, (200, 100, 50, 255)), (50.0, (255, 255, 255, 255))), "Absolute")
 
