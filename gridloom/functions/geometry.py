@@ -142,3 +142,121 @@ def size_string(s: str) -> int:
     if not m:
         raise ValueError(f"not a size: {s!r}")
     return int(float(m[1]) * 1024 ** "bkmgtpe".index(m[2] or "b"))
+
+
+def colinear(a: Point, b: Point, c: Point, tolerance: float = 1e-12) -> bool:
+    """Whether three points lie on a line: twice the triangle's area is no more than the tolerance."""
+    return abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) <= tolerance
+
+
+def distance(p: Point, a: Point, b: Point | None = None) -> float:
+    """From a point to another, or to a segment."""
+    if b is None:
+        return math.hypot(p[0] - a[0], p[1] - a[1])
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    length = dx * dx + dy * dy
+    t = min(1.0, max(0.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / length)) if length else 0.0
+    return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+
+
+def _clip_ring(ring: list[Point], box) -> list[Point]:
+    """A closed ring cut by the four sides of a box in turn."""
+    pts = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else list(ring)
+    for axis, at, keep in ((0, box.w, 1), (0, box.e, -1), (1, box.s, 1), (1, box.n, -1)):
+        out: list[Point] = []
+        for p, q in zip(pts[-1:] + pts[:-1], pts):
+            was, is_ = keep * (p[axis] - at) >= 0, keep * (q[axis] - at) >= 0
+            if was != is_:
+                t = (at - p[axis]) / (q[axis] - p[axis])
+                other = p[1 - axis] + t * (q[1 - axis] - p[1 - axis])
+                out.append((at, other) if axis == 0 else (other, at))
+            if is_:
+                out.append(q)
+        pts = out
+        if not pts:
+            return []
+    return [*pts, pts[0]]
+
+
+def _clip_line(line: list[Point], box) -> list[list[Point]]:
+    """The parts of a line inside a box."""
+    out: list[list[Point]] = []
+    for a, b in zip(line, line[1:]):
+        t0, t1, d = 0.0, 1.0, (b[0] - a[0], b[1] - a[1])
+        for axis, low, high in ((0, box.w, box.e), (1, box.s, box.n)):
+            if d[axis] == 0:
+                if not low <= a[axis] <= high:
+                    t0, t1 = 1.0, 0.0
+                continue
+            u, v = sorted(((low - a[axis]) / d[axis], (high - a[axis]) / d[axis]))
+            t0, t1 = max(t0, u), min(t1, v)
+        if t0 > t1:
+            continue
+        p = a if t0 == 0 else (a[0] + t0 * d[0], a[1] + t0 * d[1])
+        q = b if t1 == 1 else (a[0] + t1 * d[0], a[1] + t1 * d[1])
+        if out and out[-1][-1] == p:
+            out[-1].append(q)
+        else:
+            out.append([p, q])
+    return out
+
+
+def clip(kind: str, rings: list[list[Point]], box) -> tuple[str, list[list[Point]]]:
+    """A geometry's part inside a box, empty if there is none. Where a cut would part a polygon in two, the parts stay
+    joined along the box's side, which changes no point's inside."""
+    if "POLYGON" in kind:
+        return kind, [r for r in (_clip_ring(ring, box) for ring in rings) if len(r) > 3]
+    if "LINE" in kind:
+        parts = [p for line in rings for p in _clip_line(line, box)]
+        return ("MULTILINESTRING" if len(parts) > 1 else "LINESTRING"), parts
+    return kind, [p for p in ([q for q in ring if box.w <= q[0] <= box.e and box.s <= q[1] <= box.n] for ring in rings) if p]
+
+
+def _edges(kind: str, rings: list[list[Point]]) -> list[tuple[Point, Point]]:
+    close = lambda r: r + r[:1] if "POLYGON" in kind and r[0] != r[-1] else r
+    return [e for r in rings for e in zip(close(r), close(r)[1:])]
+
+
+def intersects(a: tuple[str, list[list[Point]]], b: tuple[str, list[list[Point]]]) -> bool:
+    """Whether two geometries (kind, rings) share a point."""
+    points = [[p for r in g[1] for p in r] for g in (a, b)]
+    if not all(points):
+        return False
+    box = [(min(p[k] for p in ps), max(p[k] for p in ps)) for ps in points for k in (0, 1)]
+    if box[0][0] > box[2][1] or box[2][0] > box[0][1] or box[1][0] > box[3][1] or box[3][0] > box[1][1]:
+        return False
+    for (kind, rings), other in ((a, points[1]), (b, points[0])):
+        if "POLYGON" in kind and any(point_in_rings(*p, rings) for p in other):
+            return True
+    ea, eb = _edges(*a), _edges(*b)
+    if not ea and not eb:
+        return bool(set(points[0]) & set(points[1]))
+    if not ea or not eb:
+        return any(distance(p, *e) == 0 for p in points[0 if not ea else 1] for e in (eb or ea))
+    return any(segments_cross(*x, *y) for x in ea for y in eb)
+
+
+def fix_wkt(wkt: str | None) -> str | None:
+    """A geometry's text put right where that is plain: upper case, missing closing brackets, repeated points, rings that
+    don't close. None if it is no geometry."""
+    if wkt is None:
+        return None
+    s = re.sub(r"\s+", " ", wkt).strip().upper()
+    s += ")" * (s.count("(") - s.count(")"))
+    try:
+        kind, rings = parse_wkt(s)
+    except ValueError:
+        return None
+    out = []
+    for r in rings:
+        r = [p for k, p in enumerate(r) if k == 0 or p != r[k - 1]]
+        if "POLYGON" in kind or kind == "LINEARRING":
+            r = r if r[0] == r[-1] else [*r, r[0]]
+            if len(r) < 4:
+                continue
+        out.append(r)
+    if rings and not out:
+        return None
+    if kind == "MULTIPOLYGON":
+        return f"{kind} (({'), ('.join('(' + ', '.join(f'{x!r} {y!r}' for x, y in r) + ')' for r in out)}))"
+    return to_wkt(kind, out)

@@ -1,7 +1,8 @@
-"""Images in and out: ESRI ASCII grids, PNG and uncompressed TIFF with a world position; export by tile, block or whole."""
+"""Images in and out: ESRI ASCII grids, PNG, JPEG and TIFF with a world position; export by tile, block, level or whole."""
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -11,26 +12,41 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import grid
+from ..functions import projections
+from ..functions.projections import DEGREES, Projection
 from ..grid import Bounds
 from ..meta import RasterMeta
-from ..raster import Raster, from_cells
+from ..raster import TILES, Raster
 from ..runtime import ship
 
 
+def _ascii_header(data: bytes) -> tuple[dict[str, float], int]:
+    """The header of an ESRI ASCII grid, and where its cells begin."""
+    head, at = {}, 0
+    while (m := _ASCII_LINE.match(data, at)) is not None:
+        head[m[1].decode().lower()] = float(m[2])
+        at = m.end()
+    return head, at
+
+
+_ASCII_LINE = re.compile(rb"\s*([A-Za-z_]+)\s+(\S+)")
+
+
+def _ascii_bounds(head: dict[str, float]) -> Bounds:
+    w, h, d = int(head["ncols"]), int(head["nrows"]), head["cellsize"]
+    x = head["xllcorner"] if "xllcorner" in head else head["xllcenter"] - d / 2
+    y = head["yllcorner"] if "yllcorner" in head else head["yllcenter"] - d / 2
+    return Bounds(x, y, x + w * d, y + h * d)
+
+
 def read_ascii(data: bytes) -> tuple[np.ndarray, Bounds]:
     """Cells (NaN for nodata) and bounds of an ESRI ASCII grid."""
-    head, words, at = {}, data.split(), 0
-    while words[at][:1].isalpha():
-        head[words[at].decode().lower()] = float(words[at + 1])
-        at += 2
+    head, at = _ascii_header(data)
     w, h = int(head["ncols"]), int(head["nrows"])
-    a = np.array(words[at : at + w * h], float).reshape(h, w)
+    a = np.array(data[at:].split()[: w * h], float).reshape(h, w)
     if "nodata_value" in head:
         a[a == head["nodata_value"]] = np.nan
-    d = head["cellsize"]
-    x = head["xllcorner"] if "xllcorner" in head else head["xllcenter"] - d / 2
-    y = head["yllcorner"] if "yllcorner" in head else head["yllcenter"] - d / 2
-    return a, Bounds(x, y, x + w * d, y + h * d)
+    return a, _ascii_bounds(head)
 
 
 def write_tiff(bands: list[np.ndarray], bounds: Bounds | None = None, nodata: float | None = None) -> bytes:
@@ -57,8 +73,8 @@ def write_tiff(bands: list[np.ndarray], bounds: Bounds | None = None, nodata: fl
     return b"II*\0" + struct.pack("<I", at) + a + struct.pack("<H", len(tags)) + rows + struct.pack("<I", 0) + extra
 
 
-def read_tiff(data: bytes) -> tuple[list[np.ndarray], Bounds | None, float | None]:
-    """Bands, bounds and nodata of an uncompressed or deflated TIFF in strips."""
+def _tags(data: bytes) -> tuple[str, dict]:
+    """Byte order and tags of a TIFF."""
     e = "<" if data[:2] == b"II" else ">"
     if data[2:4] not in (b"*\0", b"\0*"):
         raise ValueError("not a TIFF")
@@ -72,6 +88,28 @@ def read_tiff(data: bytes) -> tuple[list[np.ndarray], Bounds | None, float | Non
         where = p + 8 if size.get(kind, 1) * count <= 4 else struct.unpack(e + "I", data[p + 8 : p + 12])[0]
         body = data[where : where + size.get(kind, 1) * count]
         t[tag] = body if kind == 2 else struct.unpack(f"{e}{count}{code[kind]}", body) if kind in code else ()
+    return e, t
+
+
+def _tiff_place(t: dict) -> tuple[Bounds | None, float | None]:
+    nodata = float(t[42113].split(b"\0")[0]) if 42113 in t else None
+    if 33550 not in t or 33922 not in t:
+        return None, nodata
+    w, h, (sx, sy) = t[256][0], t[257][0], t[33550][:2]
+    x, y = t[33922][3] - t[33922][0] * sx, t[33922][4] + t[33922][1] * sy
+    return Bounds(x, y - h * sy, x + w * sx, y), nodata
+
+
+def _tiff_projection(t: dict) -> Projection:
+    """From the geographic keys: the code of a projected system, else degrees."""
+    keys = t.get(34735, ())
+    own = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}
+    return projections.of_code(own.get(3072, 0)) if own.get(1024) == 1 else DEGREES
+
+
+def read_tiff(data: bytes) -> tuple[list[np.ndarray], Bounds | None, float | None]:
+    """Bands, bounds (in the image's own coordinates) and nodata of an uncompressed or deflated TIFF in strips."""
+    e, t = _tags(data)
     w, h, per = t[256][0], t[257][0], t.get(277, (1,))[0]
     if t.get(259, (1,))[0] not in (1, 8, 32946) or 322 in t or t.get(284, (1,))[0] != 1 or t.get(317, (1,))[0] != 1:
         raise ValueError("only strips of plain or deflated pixels are read")
@@ -80,12 +118,7 @@ def read_tiff(data: bytes) -> tuple[list[np.ndarray], Bounds | None, float | Non
     if t.get(259, (1,))[0] != 1:
         strips = [zlib.decompress(s) for s in strips]
     a = np.frombuffer(b"".join(strips), kind)[: w * h * per].reshape(h, w, per).astype(float)
-    nodata = float(t[42113].split(b"\0")[0]) if 42113 in t else None
-    bounds = None
-    if 33550 in t and 33922 in t:
-        sx, sy = t[33550][:2]
-        x, y = t[33922][3] - t[33922][0] * sx, t[33922][4] + t[33922][1] * sy
-        bounds = Bounds(x, y - h * sy, x + w * sx, y)
+    bounds, nodata = _tiff_place(t)
     return [np.where(a[..., k] == nodata, np.nan, a[..., k]) if nodata is not None else a[..., k] for k in range(per)], bounds, nodata
 
 
@@ -99,75 +132,221 @@ def write_png(bands: list[np.ndarray]) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[n], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def _zigzag() -> np.ndarray:
+    """The places of an 8 x 8 block along its diagonals, to and fro."""
+    return np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
+
+
+def write_jpeg(bands: list[np.ndarray], coarse: int = 2) -> bytes:
+    """Baseline JPEG of one band (grey) or three and more (colour; opacity is left out), 0 to 255; nodata as 0.
+
+    coarse: how fast quantisation steps grow with frequency. Codes have fixed lengths: 4 bits for the sizes of means, 8 for
+    the runs of other coefficients, so that the tables follow from a rule.
+    """
+    a = [np.clip(np.nan_to_num(np.asarray(x, float)), 0, 255) for x in bands[: 3 if len(bands) >= 3 else 1]]
+    h, w = a[0].shape
+    if len(a) == 3:
+        r, g, b = a
+        a = [0.299 * r + 0.587 * g + 0.114 * b, 128 - 0.168736 * r - 0.331264 * g + 0.5 * b, 128 + 0.5 * r - 0.418688 * g - 0.081312 * b]
+    k = np.arange(8)
+    turn = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16) / 2
+    turn[0] /= np.sqrt(2)
+    steps = 1 + coarse * (k[:, None] + k[None, :])
+    order = _zigzag()
+    runs = [0x00, 0xF0, *((run << 4) | size for run in range(16) for size in range(1, 11))]
+    code = {x: f"{i:08b}" for i, x in enumerate(runs)}
+    parts = []
+    for x in a:
+        x = np.pad(x, ((0, -h % 8), (0, -w % 8)), "edge") - 128
+        x = x.reshape(x.shape[0] // 8, 8, -1, 8).swapaxes(1, 2)
+        parts.append(np.rint(turn @ x @ turn.T / steps).astype(int).reshape(-1, 64)[:, order])
+    bits: list[str] = []
+
+    def number(v: int) -> tuple[int, str]:
+        size = abs(v).bit_length()
+        return size, f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else ""
+
+    last = [0] * len(parts)
+    for row in range(len(parts[0])):
+        for c, p in enumerate(parts):
+            block = p[row]
+            size, text = number(int(block[0]) - last[c])
+            last[c] = int(block[0])
+            bits.append(f"{size:04b}{text}")
+            before = 0
+            for at in np.flatnonzero(block[1:]).tolist():
+                run = at - before
+                bits.append(code[0xF0] * (run // 16))
+                size, text = number(int(block[at + 1]))
+                bits.append(code[(run % 16) << 4 | size] + text)
+                before = at + 1
+            if before < 63:
+                bits.append(code[0x00])
+    whole = "".join(bits)
+    whole += "1" * (-len(whole) % 8)
+    body = int(whole, 2).to_bytes(len(whole) // 8, "big").replace(b"\xff", b"\xff\0")
+    part = lambda mark, x: bytes([0xFF, mark]) + struct.pack(">H", len(x) + 2) + x
+    n = len(parts)
+    lengths = lambda at, many: bytes(many if i == at else 0 for i in range(1, 17))
+    return (
+        b"\xff\xd8" + part(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + part(0xDB, b"\0" + bytes(steps.ravel()[order].tolist()))
+        + part(0xC0, struct.pack(">BHHB", 8, h, w, n) + b"".join(bytes([c + 1, 0x11, 0]) for c in range(n)))
+        + part(0xC4, b"\0" + lengths(4, 12) + bytes(range(12))) + part(0xC4, b"\x10" + lengths(8, len(runs)) + bytes(runs))
+        + part(0xDA, bytes([n]) + b"".join(bytes([c + 1, 0]) for c in range(n)) + b"\0\x3f\0") + body + b"\xff\xd9"
+    )
+
+
+def _place(name: str, data: bytes) -> tuple[Bounds, Projection, int, int, int, float | None]:
+    """Bounds in the image's coordinates, projection, width, height, bands and nodata, without reading its cells."""
+    if name.lower().endswith((".tif", ".tiff")):
+        _, t = _tags(data)
+        b, nodata = _tiff_place(t)
+        if b is None:
+            raise ValueError(f"{name} has no position")
+        return b, _tiff_projection(t), t[256][0], t[257][0], t.get(277, (1,))[0], nodata
+    head, _ = _ascii_header(data)
+    return _ascii_bounds(head), DEGREES, int(head["ncols"]), int(head["nrows"]), 1, head.get("nodata_value")
+
+
+def _degrees(b: Bounds, p: Projection) -> Bounds:
+    return b if p is DEGREES else Bounds(*p.degree_bounds(b.w, b.s, b.e, b.n))
+
+
+def _categories(files) -> dict[int, set[tuple[str, ...]]]:
+    """Names of categories by band, from the .aux.xml files beside images; all that differ."""
+    import xml.etree.ElementTree as xml
+
+    def go(batches):
+        for b in batches:
+            path, band, names = [], [], []
+            for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for x in xml.fromstring(d).iter("PAMRasterBand"):
+                    path.append(p)
+                    band.append(int(x.get("band", "1")))
+                    names.append([c.text or "" for c in x.iter("Category")])
+            yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(band, pa.int32()), pa.array(names, pa.list_(pa.string()))], ["path", "band", "names"])
+
+    out: dict = {}
+    for r in files.mapInArrow(go, "path string, band int, names array<string>").where("size(names) > 0").select("band", "names").distinct().collect():
+        out.setdefault(r.band, set()).add(tuple(r.names))
+    return out
+
+
 def ingest(path: str, zoom: float | None = None, skip_preprocessing=False, nodata: float | None = None, categorical=False, skip_categories=False, protection: str = "", tilesize: int = 512, spark: SparkSession | None = None) -> Raster:
-    """Images in degrees (.asc, .tif; a glob or folder, too), resampled to the zoom's grid: bilinear, or nearest if
-    categorical. An image is read where it is; overlaps keep the value of the first path. The default zoom is the
-    finest that any image needs; only sizes reach the driver."""
+    """Images (.asc, .tif; a glob or folder, too) on the zoom's grid of degrees, reprojected where they say so: bilinear,
+    or nearest if categorical. An image is read where it is and leaves tiles; tiles of several images are merged tile
+    by tile, the first path's cells first. The default zoom is the finest that any image needs; only sizes reach the
+    driver. skip_preprocessing: no look at all images before, which needs a zoom; bounds are then the world. nodata:
+    instead of the images' own, which is kept as the raster's where all say the same. Of categorical images with names
+    of categories (in .aux.xml files beside them) all must have the same ones, unless skip_categories.
+    """
+    yes = lambda x: x in (True, "true", "True", "TRUE", 1.0)
     spark = spark or SparkSession.active()
     ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    files = found.where(F.lower("path").rlike(r"\.(asc|tif|tiff)$"))
+    nearest = yes(categorical)
 
     def load(name: str, data: bytes):
-        if name.lower().endswith((".tif", ".tiff")):
-            bands, b, _ = read_tiff(data)
-        else:
-            a, b = read_ascii(data)
-            bands = [a]
-        if b is None:
-            raise ValueError(f"{name} has no position")
-        return [np.where(x == nodata, np.nan, x) if nodata is not None else x for x in bands], b
+        b, p, w, h, n, own = _place(name, data)
+        bands = read_tiff(data)[0] if name.lower().endswith((".tif", ".tiff")) else [read_ascii(data)[0]]
+        return [np.where(x == nodata, np.nan, x) if nodata is not None else x for x in bands], b, p
 
     def sizes(batches):
         for t in batches:
             out = []
-            for p, d in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
-                bands, b = load(p, d)
-                out.append((b.w, b.s, b.e, b.n, (b.e - b.w) / bands[0].shape[1], len(bands)))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.float64()) for c in cols[:5]), pa.array(list(cols[5]), pa.int32())], ["w", "s", "e", "n", "d", "bands"])
+            for name, d in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
+                b, p, w, h, n, own = _place(name, d)
+                g = _degrees(b, p)
+                out.append((g.w, g.s, g.e, g.n, min((g.e - g.w) / w, (g.n - g.s) / h) if p is not DEGREES else (g.e - g.w) / w, n, own))
+            cols = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.float64()) for c in cols[:5]), pa.array(list(cols[5]), pa.int32()), pa.array(list(cols[6]), pa.float64())], ["w", "s", "e", "n", "d", "bands", "nodata"])
 
-    whole = files.mapInArrow(sizes, "w double, s double, e double, n double, d double, bands int").agg(F.min("w"), F.min("s"), F.max("e"), F.max("n"), F.min("d"), F.max("bands"), F.min("bands")).first()
+    kinds = "w double, s double, e double, n double, d double, bands int, nodata double"
+    if yes(skip_preprocessing):
+        if not zoom:
+            raise ValueError("without preprocessing a zoom must be given")
+        one = files.limit(1).mapInArrow(sizes, kinds).first()
+        whole = (-180.0, -90.0, 180.0, 90.0, None, one.bands, one.bands, one.nodata, one.nodata, 0) if one else (None,)
+    else:
+        whole = files.mapInArrow(sizes, kinds).agg(F.min("w"), F.min("s"), F.max("e"), F.max("n"), F.min("d"), F.max("bands"), F.min("bands"), F.min("nodata"), F.max("nodata"), F.count_if(F.col("nodata").isNull())).first()
     if whole[0] is None:
         raise FileNotFoundError(path)
     if whole[5] != whole[6]:
         raise ValueError("images have different numbers of bands")
+    nb = whole[5]
+    names: dict = {}
+    if nearest and not yes(skip_categories):
+        aux = found.where(F.lower("path").endswith(".aux.xml"))
+        names = _categories(aux)
+        if any(len(x) > 1 for x in names.values()):
+            raise ValueError("images have different categories: " + "; ".join(f"band {b}: {sorted(x)}" for b, x in sorted(names.items()) if len(x) > 1))
     z = int(zoom) if zoom else grid.zoom_for_pixel_size(whole[4], tilesize)
-    r, high = grid.resolution(z, tilesize), grid.tiles_high(z) * tilesize
-    nearest = categorical in (True, "true", 1.0)
+    r, ts = grid.resolution(z, tilesize), tilesize
+
+    def tiles(batches):
+        from ..operators.tiling import to_arrow
 
-    def cells(batches):
         for t in batches:
-            for p, d in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
-                bands, b = load(p, d)
-                x0, y0, x1, y1 = grid.bounds_to_pixels(b, z, tilesize)
+            for name, d in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
+                bands, b, p = load(name, d)
                 h, w = bands[0].shape
-                fx = ((np.arange(x0, x1 + 1) + 0.5) * r - 180 - b.w) / (b.e - b.w) * w
-                for top in range(y0, y1 + 1, 256):
-                    ys = np.arange(top, min(y1, top + 255) + 1)
-                    fy = (b.n - ((high - ys - 0.5) * r - 90)) / (b.n - b.s) * h
-                    ok = ((fx >= 0) & (fx < w))[None, :] & ((fy >= 0) & (fy < h))[:, None]
-                    for k, a in enumerate(bands):
-                        v = _sample(a, fy, fx, nearest)
-                        keep = ok & ~np.isnan(v)
-                        j, i = np.nonzero(keep)
-                        yield pa.RecordBatch.from_arrays([pa.array([p] * len(j), pa.string()), pa.array(np.full(len(j), k, np.int32)), pa.array(i + x0), pa.array(ys[j]), pa.array(v[j, i])], ["path", "band", "gx", "gy", "v"])
-
-    got = files.mapInArrow(cells, "path string, band int, gx long, gy long, v double").groupBy("band", "gx", "gy").agg(F.min_by("v", "path").alias("v"))
-    meta = RasterMeta(z, tilesize, whole[5], "float", (), Bounds(*whole[:4]), "Categorical" if nearest else "Continuous", "MODE" if nearest else "MEAN", protection=protection)
-    return from_cells(got, meta)
+                own = grid.bounds_to_tiles(_degrees(b, p), z, ts)
+                for ty in range(own.s, own.n + 1):
+                    for tx in range(own.w, own.e + 1):
+                        at = grid.tile_bounds(tx, ty, z, ts)
+                        lon, lat = at.w + (np.arange(ts) + 0.5) * r, at.n - (np.arange(ts) + 0.5) * r
+                        if p is DEGREES:
+                            x, y = np.broadcast_to(lon, (ts, ts)), np.broadcast_to(lat[:, None], (ts, ts))
+                        else:
+                            x, y = p.forward(*np.meshgrid(lon, lat))
+                        fx, fy = (x - b.w) / (b.e - b.w) * w, (b.n - y) / (b.n - b.s) * h
+                        ok = (fx >= 0) & (fx < w) & (fy >= 0) & (fy < h)
+                        if not ok.any():
+                            continue
+                        rows = [np.where(ok, _sample(a, np.where(ok, fy, 0), np.where(ok, fx, 0), nearest), np.nan) for a in bands]
+                        some = [k for k, v in enumerate(rows) if not np.isnan(v).all()]
+                        if some:
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array([(ty << z) + tx] * len(some), pa.int64()), pa.array(some, pa.int32()), to_arrow([rows[k] for k in some])], ["path", "tile_id", "band", "cells"])
+
+    def merge(key, table):
+        from ..operators.tiling import from_arrow, to_arrow
+
+        out = np.full(ts * ts, np.nan)
+        for k in np.argsort(np.array(table.column("path").to_pylist()), kind="stable"):
+            a = from_arrow(table.column("cells")[int(k)])
+            out = np.where(np.isnan(out), a, out)
+        tid, band = key[0].as_py(), key[1].as_py()
+        return pa.table({"tile_id": pa.array([tid], pa.int64()), "tx": pa.array([tid % (1 << z)], pa.int64()), "ty": pa.array([tid >> z], pa.int64()), "band": pa.array([band], pa.int32()), "cells": to_arrow([out])})
+
+    got = files.mapInArrow(tiles, "path string, tile_id long, band int, cells array<double>").groupBy("tile_id", "band").applyInArrow(merge, TILES)
+    value = float(nodata) if nodata is not None else whole[7] if whole[7] is not None and whole[7] == whole[8] and not whole[9] else None
+    meta = RasterMeta(z, ts, nb, "float", () if value is None else (value,) * nb, Bounds(*whole[:4]), "Categorical" if nearest else "Continuous", "MODE" if nearest else "MEAN", categories=tuple((b, next(iter(x))) for b, x in sorted(names.items())), protection=protection_level(protection))
+    return Raster(meta, (got,))
+
+
+def protection_level(label: str | None) -> str:
+    """A label that is stored with a raster: words of letters, digits and underscores joined by & | and brackets."""
+    s = (label or "").strip()
+    if s and not re.fullmatch(r"[\w&|()\s-]+", s):
+        raise ValueError(f"not a protection level: {s!r}")
+    if s.count("(") != s.count(")"):
+        raise ValueError(f"not a protection level: {s!r}")
+    return s
 
 
 def _sample(a: np.ndarray, fy: np.ndarray, fx: np.ndarray, nearest: bool) -> np.ndarray:
+    """Values at places inside an image, in its pixels; bilinear among those that are valid."""
     h, w = a.shape
     if nearest:
-        return a[np.clip(fy.astype(int), 0, h - 1)][:, np.clip(fx.astype(int), 0, w - 1)]
+        return a[np.clip(fy.astype(int), 0, h - 1), np.clip(fx.astype(int), 0, w - 1)]
     y, x = np.clip(fy - 0.5, 0, h - 1), np.clip(fx - 0.5, 0, w - 1)
     j, i = np.minimum(y.astype(int), max(0, h - 2)), np.minimum(x.astype(int), max(0, w - 2))
-    t, s = (y - j)[:, None], (x - i)[None, :]
-    total, weight = np.zeros((len(fy), len(fx))), np.zeros((len(fy), len(fx)))
+    t, s = y - j, x - i
+    total, weight = np.zeros(fy.shape), np.zeros(fy.shape)
     for dy in (0, 1):
         for dx in (0, 1):
-            v = a[np.minimum(j + dy, h - 1)][:, np.minimum(i + dx, w - 1)]
+            v = a[np.minimum(j + dy, h - 1), np.minimum(i + dx, w - 1)]
             f = (t if dy else 1 - t) * (s if dx else 1 - s) * ~np.isnan(v)
             total += f * np.nan_to_num(v)
             weight += f
@@ -188,28 +367,67 @@ def stitch(r: Raster) -> tuple[list[np.ndarray], Bounds]:
     return out, Bounds(a.w, a.s, b.e, b.n)
 
 
-def export(r: Raster, name: str, single=False, zoom=-1, count=-1, mosaic=-1, format: str = "tif", random=False, tms=False, colorscale=None, tileids: str = "", bounds=None, all_levels=False, max_size=-1, seed: int = 0):
+def _at_level(r: Raster, zoom: int) -> Raster:
+    from ..operators.aggregate import coarser
+
+    if zoom > r.meta.zoom:
+        raise ValueError(f"the raster ends at zoom {r.meta.zoom}; {zoom} is finer")
+    while r.meta.zoom > max(1, zoom):
+        r = coarser(r)
+    return r
+
+
+def export(r: Raster, name: str, single=False, zoom=-1, count=-1, mosaic=-1, format: str = "tif", random=False, tms=False, colorscale=None, tileids: str = "", bounds=None, all_levels=False, max_size=-1, nodata: float | None = None, seed: int = 0):
     """Write an image a tile, a block of mosaic x mosaic tiles, or one for all, into a folder that executors share.
 
     name: a path with $X $Y $ZOOM $ID $LAT $LON for tiles. Executors write their own tiles; only `single` gathers tiles
-    on the driver. count: so many tiles, random ones if asked for. tileids: ids split by commas. colorscale: a scale
-    that is applied before PNG. Returns the paths; "In-Memory" returns the bytes of a single image.
+    on the driver. zoom: a level, the raster's own or a coarser one. all_levels: that one and all below it; a name
+    without $ZOOM gets it. max_size: bytes of a single image's cells at most ("64m"), else a coarser level is taken.
+    count: so many tiles, random ones if asked for. tileids: ids split by commas. colorscale: a scale that is applied
+    before PNG or JPEG. nodata: the value that nodata gets in TIFF, NaN unless given. Returns the paths; "In-Memory"
+    returns the bytes of a single image.
     """
+    from ..functions.geometry import size_string
     from ..operators.local import crop
 
+    format = {"jpeg": "jpg", "tiff": "tif"}.get(format.lower(), format.lower())
+    if zoom is not None and float(zoom) >= 1:
+        r = _at_level(r, int(zoom))
+    most = size_string(str(max_size)) if isinstance(max_size, str) and max_size else int(max_size or -1)
+    if most > 0:
+        if not single and name != "In-Memory":
+            raise ValueError("max_size is for a single image")
+        while (t := r.tile_range()).count * r.meta.tilesize**2 * r.meta.bands * 4 > most and r.meta.zoom > 1:
+            r = _at_level(r, r.meta.zoom - 1)
+    if all_levels:
+        if name == "In-Memory":
+            raise ValueError("all levels don't go into one image in memory")
+        own = name if "$ZOOM" in name else f"{name}-$ZOOM"
+        rest = dict(single=single, count=count, mosaic=mosaic, format=format, random=random, tms=tms, colorscale=colorscale, tileids=tileids, bounds=bounds, nodata=nodata, seed=seed)
+        out = []
+        for z in range(r.meta.zoom, 0, -1):
+            r = _at_level(r, z)
+            out += export(r, own.replace("$ZOOM", str(z)) if single else own, **rest)
+        return out
     if bounds is not None:
         r = crop(r, bounds)
     if colorscale is not None:
         from ..functions.colors import colored
 
         r = colored(r, colorscale)
-    if format not in ("tif", "png"):
-        raise ValueError(f"images are written as tif or png, not {format!r}")
+    if format not in ("tif", "png", "jpg"):
+        raise ValueError(f"images are written as tif, png or jpg, not {format!r}")
     ts, z, nb = r.meta.tilesize, r.meta.zoom, r.meta.bands
-    draw = write_png if format == "png" else lambda b, at=None: write_tiff(b, at, float("nan"))
+    none = float("nan") if nodata is None else float(nodata)
+
+    def draw(b, at=None):
+        if format == "tif":
+            return write_tiff([np.where(np.isnan(x), none, x) for x in b], at, none)
+        return write_png(b) if format == "png" else write_jpeg(b)
+
     if single or name == "In-Memory":
         bands, at = stitch(r)
-        data = draw(bands) if format == "png" else draw(bands, at)
+        data = draw(bands, at)
         if name == "In-Memory":
             return data
         path = name if name.endswith(f".{format}") else f"{name}.{format}"
@@ -242,7 +460,7 @@ def export(r: Raster, name: str, single=False, zoom=-1, count=-1, mosaic=-1, for
             path = path.replace(k, str(v))
         path = path if path.endswith(f".{format}") else f"{path}.{format}"
         with open(path, "wb") as f:
-            f.write(draw(bands) if format == "png" else draw(bands, Bounds(a.w, a.s, b.e, b.n)))
+            f.write(draw(bands, Bounds(a.w, a.s, b.e, b.n)))
         return pa.table({"path": [path]})
 
     return sorted(x.path for x in t.select("tx", "ty", "band", "cells", "bx", "by").groupBy("bx", "by").applyInArrow(write, "path string").collect())

@@ -6,11 +6,14 @@ import csv
 import io
 import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import to_wkt
+from ..functions import projections
+from ..functions.geometry import parse_wkt, to_wkt
+from ..grid import Bounds
 from ..operators.vector import FEATURES
 from ..runtime import ship
 
@@ -44,14 +47,65 @@ def inline_csv(columns: str, rows: str, spark: SparkSession | None = None) -> Da
     return features(spark.createDataFrame(data, ", ".join(f"`{c}` string" for c in names)))
 
 
-def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str | None = None) -> DataFrame:
-    """CSV or TSV by ending; without column names the first line has them. A file split is a task."""
+def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str | None = None, least: int = 0) -> DataFrame:
+    """CSV or TSV by ending; without column names the first line has them. A file split is a task, or, with `least`,
+    so many features at least, dealt out anew."""
     sep = sep or ("," if path.endswith(".csv") else "\t")
     reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
     df = reader.schema(", ".join(f"`{c}` string" for c in columns)).csv(path) if columns else reader.option("header", True).csv(path)
+    if least > 0:
+        df = df.repartition(max(1, df.count() // least))
     return features(df)
 
 
+def feature_bounds(f: DataFrame) -> Bounds | None:
+    """The union of all geometries' bounds; one row a task leaves Python, and one reaches the driver."""
+    ship(f.sparkSession)
+
+    def go(batches):
+        out = [np.inf, np.inf, -np.inf, -np.inf]
+        for b in batches:
+            for wkt in b.column(0).to_pylist():
+                try:
+                    pts = [p for ring in parse_wkt(wkt)[1] for p in ring] if wkt else []
+                except ValueError:
+                    pts = []
+                for x, y in pts:
+                    out = [min(out[0], x), min(out[1], y), max(out[2], x), max(out[3], y)]
+        if out[0] <= out[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out], ["w", "s", "e", "n"])
+
+    got = f.select("wkt").mapInArrow(go, "w double, s double, e double, n double").agg(F.min("w"), F.min("s"), F.max("e"), F.max("n")).first()
+    return None if got[0] is None else Bounds(*got)
+
+
+def by_id(f: DataFrame, *ids: int) -> DataFrame:
+    return f.where(F.col("feature_id").isin(list(ids)))
+
+
+def by_bounds(f: DataFrame, bounds: Bounds) -> DataFrame:
+    """Features that share a point with the bounds."""
+    from ..functions.geometry import intersects
+
+    ship(f.sparkSession)
+    b = bounds
+    box = ("POLYGON", [[(b.w, b.s), (b.e, b.s), (b.e, b.n), (b.w, b.n), (b.w, b.s)]])
+
+    def meets(wkt) -> bool:
+        try:
+            kind, rings = parse_wkt(wkt or "")
+        except ValueError:
+            return False
+        # the box holds its own sides
+        return any(b.w <= x <= b.e and b.s <= y <= b.n for r in rings for x, y in r) or intersects((kind, rings), box)
+
+    def go(batches):
+        for t in batches:
+            yield t.filter(pa.array([meets(x) for x in t.column(t.schema.get_field_index("wkt")).to_pylist()], pa.bool_()))
+
+    return f.mapInArrow(go, f.schema)
+
+
 def write_delimited(f: DataFrame, path: str, names: list[str], sep: str = "\t") -> None:
     """One file a task; nothing is collected."""
     f.select(*(F.col("attrs")[n].alias(n) for n in names), F.col("wkt").alias("GEOMETRY")).write.mode("overwrite").option("sep", sep).option("header", True).csv(path)
@@ -112,26 +166,36 @@ def parse_dbf(data: bytes) -> list[dict[str, str]]:
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """.shp files (a glob, too) with their .dbf; a file is a task, as its records have no index of their own."""
+    """.shp files (a glob, too) with their .dbf, in degrees: coordinates are reprojected where a .prj says so. A file is
+    a task, as its records have no index of their own."""
     ship(spark)
+    side = lambda ending, name: spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ending}").load(_beside(path)).select(F.regexp_replace("path", r"(?i)\." + ending + "$", "").alias("base"), F.col("content").alias(name))
     shp = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", r"\.[sS][hH][pP]$", "").alias("base"), F.col("content").alias("shp"))
-    dbf = spark.read.format("binaryFile").load(path[:-4] + ".dbf").select(F.regexp_replace("path", r"\.[dD][bB][fF]$", "").alias("base"), F.col("content").alias("dbf"))
 
     def go(batches):
         for b in batches:
             wkt, attrs = [], []
-            for s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for s, d, j in zip(*(b.column(k).to_pylist() for k in range(3))):
                 rows = parse_dbf(d) if d else []
+                p = projections.of_wkt(j.decode("utf-8", "replace")) if j else projections.DEGREES
                 for k, g in enumerate(parse_shp(s)):
                     if g:
-                        wkt.append(to_wkt(*g))
+                        kind, rings = g
+                        if p is not projections.DEGREES:
+                            rings = [list(zip(*(v.tolist() for v in p.inverse(*np.array(r).T)))) for r in rings]
+                        wkt.append(to_wkt(kind, rings))
                         attrs.append(list((rows[k] if k < len(rows) else {}).items()))
             yield pa.RecordBatch.from_arrays([pa.array(wkt, pa.string()), pa.array(attrs, pa.map_(pa.string(), pa.string()))], ["wkt", "attrs"])
 
-    out = shp.join(dbf, "base", "left").select("shp", "dbf").mapInArrow(go, "wkt string, attrs map<string,string>")
+    out = shp.join(side("dbf", "dbf"), "base", "left").join(side("prj", "prj"), "base", "left").select("shp", "dbf", "prj").mapInArrow(go, "wkt string, attrs map<string,string>")
     return out.select(F.monotonically_increasing_id().alias("feature_id"), "wkt", "attrs").select(*[x.split()[0] for x in FEATURES.split(", ")])
 
 
+def _beside(path: str) -> str:
+    """The folder of a file or of a glob of files."""
+    return path.rsplit("/", 1)[0] if "/" in path else "."
+
+
 def read_vector_tiles(spark: SparkSession, path: str, layers: list[str] | None = None, zoom: int | None = None) -> DataFrame:
     """Features of an SQLite file of Mapbox vector tiles, by (layer, geometry in degrees); ranges of rowids are tasks."""
     import sqlite3
