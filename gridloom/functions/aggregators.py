@@ -58,3 +58,10 @@ def reduce(a: np.ndarray, rule: str, whole: bool = False) -> np.ndarray:
     if rule.upper() not in RULES:
         raise ValueError(f"unknown aggregator {rule!r}; known are {', '.join(RULES)}")
     return RULES[rule.upper()](_split(a), whole)
+
+
+def weighted_mean(samples, x: float, y: float) -> float:
+    """Of samples in the order 0 1 / 2 3 the value at (x, y) between them, 0 to 1 each; nodata (NaN) is left out."""
+    a = np.asarray(samples, float)
+    w = np.array([(1 - x) * (1 - y), x * (1 - y), (1 - x) * y, x * y]) * ~np.isnan(a)
+    return float((w * np.nan_to_num(a)).sum() / w.sum()) if w.sum() > 0 else float("nan")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,18 +21,34 @@ class ColorScale:
     interpolate: bool = True
     nodata: Color = (0, 0, 0, 0)
 
-    def columns(self, v: Column, low: float = 0.0, high: float = 1.0, quantiles: tuple[float, ...] = ()) -> list[Column]:
-        """Four columns of 0 to 255. Below the first stop its colour, above the last one's."""
-        stops, kind = list(self.stops), self.scaling.lower()
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @staticmethod
+    def from_json(s: str) -> ColorScale:
+        d = json.loads(s)
+        stops = tuple((float(v), tuple(map(int, c))) for v, c in d["stops"])
+        if not stops or any(len(c) != 4 for _, c in stops):
+            raise ValueError("a colour scale needs stops of a value and four numbers")
+        return ColorScale(tuple(sorted(stops)), d.get("scaling", "Absolute"), bool(d.get("interpolate", True)), tuple(d.get("nodata", (0, 0, 0, 0))))
+
+    def resolved(self, low: float, high: float, quantiles: tuple[float, ...] = ()) -> tuple[tuple[float, Color], ...]:
+        """Stops as values of a raster with this range and these quantiles."""
+        stops, kind = self.stops, self.scaling.lower()
         if kind == "minmax":
-            stops = [(low + s * (high - low), c) for s, c in stops]
-        elif kind == "modulo":
-            v = v % F.lit(float(stops[-1][0]))
-        elif kind == "quantile":
+            return tuple((low + s * (high - low), c) for s, c in stops)
+        if kind == "quantile":
             q = [low, *quantiles, high]
-            stops = [(q[round(k * (len(q) - 1) / max(1, len(stops) - 1))], c) for k, (_, c) in enumerate(stops)]
-        elif kind != "absolute":
+            return tuple((q[round(k * (len(q) - 1) / max(1, len(stops) - 1))], c) for k, (_, c) in enumerate(stops))
+        if kind not in ("absolute", "modulo"):
             raise ValueError(f"unknown scaling {self.scaling!r}")
+        return stops
+
+    def columns(self, v: Column, low: float = 0.0, high: float = 1.0, quantiles: tuple[float, ...] = ()) -> list[Column]:
+        """Four columns of 0 to 255. Below the first stop its colour, above the last one's."""
+        stops = self.resolved(low, high, quantiles)
+        if self.scaling.lower() == "modulo":
+            v = v % F.lit(float(stops[-1][0]))
         out = []
         for band in range(4):
             e = F.when(v.isNull() | F.isnan(v), F.lit(self.nodata[band])).when(v < stops[0][0], F.lit(stops[0][1][band]))

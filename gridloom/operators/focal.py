@@ -207,3 +207,20 @@ def kernel(method: str, r: Raster, sigma: float) -> Raster:
         return [_single(np.where(np.isnan(centre), np.nan, b))]
 
     return rimmed(r, rim, rim, rim, rim, f, r.meta.with_(tile_type="float"))
+
+
+def weighted(r: Raster, weights) -> Raster:
+    """Sums of neighbours by a matrix of weights with odd sides, over the sum of all weights; nodata counts as 0 with its
+    weight, and nodata cells stay nodata."""
+    k = np.asarray(weights, float)
+    if k.ndim != 2 or not (k.shape[0] % 2 and k.shape[1] % 2) or k.sum() == 0:
+        raise ValueError("weights are a matrix with odd sides and a sum")
+    up, left, ts = k.shape[0] // 2, k.shape[1] // 2, r.meta.tilesize
+
+    def f(a):
+        centre = a[up : up + ts, left : left + ts]
+        b = np.nan_to_num(a, nan=0.0)
+        out = sum(k[y, x] * b[y : y + ts, x : x + ts] for y in range(k.shape[0]) for x in range(k.shape[1]))
+        return [_single(np.where(np.isnan(centre), np.nan, out / k.sum()))]
+
+    return rimmed(r, left, up, left, up, f, r.meta.with_(tile_type="float"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import grid
-from ..functions.geometry import parse_wkt, to_wkt
+from ..functions.geometry import clip, parse_wkt, to_wkt
 from ..grid import Bounds
 from ..meta import RasterMeta
 from ..raster import Raster, from_cells
@@ -18,8 +18,8 @@ from ..runtime import ship
 
 FEATURES = "feature_id long, wkt string, attrs map<string,string>"
 AGGREGATES = ("MASK", "MASK2", "SUM", "MIN", "MAX", "AVERAGE", "COUNT")
-#: Tiles that a feature may touch before its parts are dealt out again; tiles of one part.
-SPLIT = 1000
+#: Tiles, and bytes of text, from which on a feature is cut into parts; tiles of a part in each direction.
+SPLIT, LONG, PART = 1000, 100_000, 16
 
 
 def points(spark, lon_lat: list[tuple[float, float]]) -> DataFrame:
@@ -103,9 +103,17 @@ def _paint(kind: str, rings: list, x0: int, y0: int, n: int, zoom: int, ts: int,
                 continue
         for a, b in zip(p[:-1] if len(p) > 1 else p, p[1:] if len(p) > 1 else p):
             if half == 0:
-                steps = max(1, int(math.ceil(4 * max(abs(b - a)))))
-                q = a + (b - a) * np.linspace(0, 1, steps + 1)[:, None]
-                q = np.floor(q).astype(int)
+                # between two crossings of the grid a segment is in one cell
+                d, t = b - a, [np.array([0.0, 1.0])]
+                for k in (0, 1):
+                    if d[k]:
+                        lines = np.arange(max(0, math.ceil(min(a[k], b[k]))), min(n, math.floor(max(a[k], b[k]))) + 1)
+                        t.append((lines - a[k]) / d[k])
+                t = np.sort(np.concatenate(t))
+                # a corner that is just touched is no cell passed
+                far = np.diff(t) * np.abs(d).max() > 1e-6
+                mid = ((t[:-1] + t[1:]) / 2)[far] if far.any() else t[:1]
+                q = np.floor(a + d * mid[:, None]).astype(int)
                 q = q[((q >= 0) & (q < n)).all(1)]
                 out[q[:, 1], q[:, 0]] = True
                 continue
@@ -117,6 +125,28 @@ def _paint(kind: str, rings: list, x0: int, y0: int, n: int, zoom: int, ts: int,
     return out
 
 
+def _whole_wkt(kind: str, rings: list) -> str:
+    """Rings of several polygons are painted by the even-odd rule, so one polygon may hold them all."""
+    return to_wkt("POLYGON" if kind == "MULTIPOLYGON" else "MULTIPOINT" if kind == "POINT" else kind, rings if kind not in ("POINT", "MULTIPOINT") else [[p for r in rings for p in r]])
+
+
+def paint_gaussian(features: DataFrame, sigma: float, size, column: str | None = None, tilesize: int = 512, reach: float = 3.0) -> Raster:
+    """Points painted as Gaussians of `sigma` degrees, added up: a point's weight falls with its distance from a cell's
+    centre, up to `reach` sigmas. The sums are made before the shuffle."""
+    zoom = cell_size(size, tilesize)
+    r, high = grid.resolution(zoom, tilesize), grid.tiles_high(zoom) * tilesize
+    number = r"([-+0-9.eE]+)"
+    at = r"(?i)POINT\s*Z?\s*\(\s*" + number + r"\s+" + number
+    p = features.select(F.regexp_extract("wkt", at, 1).alias("x"), F.regexp_extract("wkt", at, 2).alias("y"), _value(column).alias("value")).where("x != '' and value is not null")
+    p = p.select(((F.col("x").cast("double") + 180) / r).alias("x"), (high - (F.col("y").cast("double") + 90) / r).alias("y"), "value")
+    s, n = sigma / r, math.ceil(reach * sigma / r)
+    near = lambda c: F.sequence(F.floor(c).cast("long") - n, F.floor(c).cast("long") + n)
+    cells = p.withColumn("gx", F.explode(near(F.col("x")))).withColumn("gy", F.explode(near(F.col("y")))).where(f"gx >= 0 and gx < {grid.tiles_wide(zoom) * tilesize} and gy >= 0 and gy < {high}")
+    far = F.pow(F.col("gx") + 0.5 - F.col("x"), 2) + F.pow(F.col("gy") + 0.5 - F.col("y"), 2)
+    cells = cells.where(far <= (reach * s) ** 2).groupBy("gx", "gy").agg(F.sum(F.col("value") * F.exp(-far / (2 * s * s))).alias("v"))
+    return from_cells(cells, RasterMeta(zoom, tilesize, 1, "double", (), Bounds()))
+
+
 def rasterize_vector(features: DataFrame, how: str, size, column: str | None = None, width: str | None = None, bounds: Bounds | None = None, tilesize: int = 512) -> Raster:
     """Features painted into tiles: overlapping tiles are found from bounding boxes as rows, so that a feature that
     covers many tiles is painted by many tasks, tile by tile; cells are then aggregated."""
@@ -149,6 +179,27 @@ def rasterize_vector(features: DataFrame, how: str, size, column: str | None = N
     if column:
         f = f.where("value is not null")
     f = f.mapInArrow(boxes, "wkt string, value double, box array<bigint>").where("box is not null")
+
+    def parts(batches):
+        """Large features cut by blocks of PART x PART tiles and a rim as wide as their lines, so that a tile's row
+        carries the part around it and not the whole."""
+        d = ts * grid.resolution(zoom, ts)
+        rim = wide + 2 * grid.resolution(zoom, ts)
+        for b in batches:
+            out: list = [[], [], []]
+            for wkt, v, (w, s, e, n) in zip(*(c.to_pylist() for c in b.columns)):
+                kind, rings = parse_wkt(wkt)
+                for y in range(s, n + 1, PART):
+                    for x in range(w, e + 1, PART):
+                        z, u = min(e, x + PART - 1), min(n, y + PART - 1)
+                        own = clip(kind, rings, Bounds(x * d - 180 - rim, y * d - 90 - rim, (z + 1) * d - 180 + rim, (u + 1) * d - 90 + rim))
+                        if own[1]:
+                            for column, item in zip(out, (_whole_wkt(*own), v, [x, y, z, u])):
+                                column.append(item)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int64()))], b.schema.names)
+
+    large = (F.expr("(box[2] - box[0] + 1) * (box[3] - box[1] + 1)") > SPLIT) | (F.length("wkt") > LONG)
+    f = f.where(~large).unionByName(f.where(large).mapInArrow(parts, "wkt string, value double, box array<bigint>"))
     t = f.select("wkt", "value", F.explode(F.sequence(F.col("box")[1], F.col("box")[3])).alias("ty"), "box").select("wkt", "value", "ty", F.explode(F.sequence(F.col("box")[0], F.col("box")[2])).alias("tx"))
     high = grid.tiles_high(zoom)
 

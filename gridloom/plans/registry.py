@@ -71,6 +71,7 @@ def _builtin() -> None:
     mapop("focalstat")(focal.focal_stat)
     mapop("tpi")(focal.tpi)
     mapop("kernel")(focal.kernel)
+    mapop("weightedkernel")(focal.weighted)
     mapop("slope")(focal.slope)
     mapop("aspect")(focal.aspect)
     mapop("slope8", "directionalslope", "dirslope")(focal.slope8)

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .. import grid
 from ..functions.colors import GREY, ColorScale
 from ..grid import Bounds
+from ..meta import RasterMeta
+from ..operators.aggregate import coarser
 from ..raster import Raster
 from ..sources.catalog import Catalog
-from ..sources.images import stitch, write_png
+from ..sources.images import stitch, write_jpeg, write_png, write_tiff
 
 
 def pick_zoom(levels: list[int], bounds: Bounds, width: int, tilesize: int) -> int:
@@ -19,11 +21,9 @@ def pick_zoom(levels: list[int], bounds: Bounds, width: int, tilesize: int) -> i
     return next((z for z in sorted(levels) if z >= wanted > 0), max(levels))
 
 
-def _paint(a: np.ndarray, scale: ColorScale, low: float, high: float) -> list[np.ndarray]:
-    stops = scale.stops
-    if scale.scaling.lower() == "minmax":
-        stops = tuple((low + s * (high - low), c) for s, c in stops)
-    elif scale.scaling.lower() == "modulo":
+def _paint(a: np.ndarray, scale: ColorScale, low: float, high: float, quantiles: tuple[float, ...] = ()) -> list[np.ndarray]:
+    stops = scale.resolved(low, high, quantiles)
+    if scale.scaling.lower() == "modulo":
         a = np.fmod(a, stops[-1][0])
     x = np.array([s for s, _ in stops])
     out = []
@@ -34,19 +34,89 @@ def _paint(a: np.ndarray, scale: ColorScale, low: float, high: float) -> list[np
     return out
 
 
-def get_map(catalog: Catalog, name: str, bounds: Bounds, width: int, height: int, scale: ColorScale = GREY) -> bytes:
-    """A PNG of the bounds, nearest cells; reads the tiles of one level that meet the bounds."""
+def _level(catalog: Catalog, name: str, bounds: Bounds, width: int) -> Raster:
+    """The tiles that meet the bounds, of the coarsest level that is fine enough; if all that are stored are finer than
+    the request, they are shrunk by executors first, so that what is stitched follows the request's size."""
     metas = catalog.meta(name)
-    z = pick_zoom(list(metas), bounds, width, metas[max(metas)].tilesize)
+    ts = metas[max(metas)].tilesize
+    z = pick_zoom(list(metas), bounds, width, ts)
     r = catalog.raster(name, z, bounds)
-    bands, at = stitch(Raster(r.meta.with_(bounds=bounds, stats=r.meta.stats), r.sources, r.expr, r.strict))
+    r = Raster(r.meta.with_(bounds=bounds, stats=r.meta.stats, quantiles=r.meta.quantiles), r.sources, r.expr, r.strict)
+    wanted = max(1, grid.zoom_for_pixel_size((bounds.e - bounds.w) / width, ts))
+    while r.meta.zoom > wanted:
+        r = coarser(r)
+    return r
+
+
+def _view(r: Raster, bounds: Bounds, width: int, height: int) -> list[np.ndarray]:
+    """Nearest cells of each band in a window of the bounds."""
+    bands, at = stitch(r)
     h, w = bands[0].shape
     xs = ((bounds.w + (np.arange(width) + 0.5) * (bounds.e - bounds.w) / width) - at.w) / (at.e - at.w) * w
     ys = (at.n - (bounds.n - (np.arange(height) + 0.5) * (bounds.n - bounds.s) / height)) / (at.n - at.s) * h
-    view = bands[0][np.clip(ys.astype(int), 0, h - 1)][:, np.clip(xs.astype(int), 0, w - 1)]
-    s = metas[max(metas)].stats
-    low, high = (s[0][0], s[0][1]) if s and s[0] else (0.0, 1.0)
-    return write_png(_paint(view, scale, low, high))
+    return [b[np.clip(ys.astype(int), 0, h - 1)][:, np.clip(xs.astype(int), 0, w - 1)] for b in bands]
+
+
+def _range(m: RasterMeta) -> tuple[float, float, tuple[float, ...]]:
+    """Least and greatest value and quantiles of the first band."""
+    low, high = (m.stats[0][0], m.stats[0][1]) if m.stats and m.stats[0] else (0.0, 1.0)
+    return low, high, m.quantiles[0] if m.quantiles else ()
+
+
+def _image(bands: list[np.ndarray], bounds: Bounds, format: str) -> bytes:
+    if format == "tif":
+        return write_tiff(bands, bounds, float("nan"))
+    return write_jpeg(bands) if format in ("jpg", "jpeg") else write_png(bands)
+
+
+def get_map(catalog: Catalog, name: str, bounds: Bounds, width: int, height: int, scale: ColorScale = GREY, format: str = "png") -> bytes:
+    """An image of the bounds, nearest cells; reads the tiles of one level that meet the bounds."""
+    metas = catalog.meta(name)
+    view = _view(_level(catalog, name, bounds, width), bounds, width, height)[0]
+    return _image(_paint(view, scale, *_range(metas[max(metas)])), bounds, format)
+
+
+def get_mosaic(catalog: Catalog, names: list[str], bounds: Bounds, width: int, height: int, scale: ColorScale = GREY, format: str = "png") -> bytes:
+    """One map of several rasters; where they overlap the first that has a value is seen."""
+    views, low, high = [], np.inf, -np.inf
+    for name in names:
+        metas = catalog.meta(name)
+        a, b, _ = _range(metas[max(metas)])
+        low, high = min(low, a), max(high, b)
+        views.append(_view(_level(catalog, name, bounds, width), bounds, width, height)[0])
+    out = views[0]
+    for v in views[1:]:
+        out = np.where(np.isnan(out), v, out)
+    return _image(_paint(out, scale, low, high), bounds, format)
+
+
+def describe_tiles(catalog: Catalog, name: str, zoom: int | None = None, bounds: Bounds | None = None) -> list[tuple[int, Bounds]]:
+    """Stored tiles of a level that meet the bounds, with their own bounds."""
+    r = catalog.raster(name, zoom, bounds)
+    z, ts = r.meta.zoom, r.meta.tilesize
+    ids = sorted(x.tile_id for x in r.tiles().select("tile_id").distinct().collect())
+    return [(t, grid.tile_bounds(*grid.tile_xy(t, z), z, ts)) for t in ids]
+
+
+def coverages(catalog: Catalog) -> dict[str, Bounds]:
+    """All rasters that a coverage service offers, with their bounds."""
+    return {n: m[max(m)].bounds for n in catalog.rasters() for m in [catalog.meta(n)]}
+
+
+def describe_coverage(catalog: Catalog, name: str) -> dict:
+    """Bounds, size of a cell in degrees, type, bands, nodata and formats of a coverage at its finest level."""
+    metas = catalog.meta(name)
+    m = metas[max(metas)]
+    x0, y0, x1, y1 = grid.bounds_to_pixels(m.bounds, m.zoom, m.tilesize)
+    return {"bounds": m.bounds, "cell": grid.resolution(m.zoom, m.tilesize), "width": x1 - x0 + 1, "height": y1 - y0 + 1, "type": m.tile_type, "bands": m.bands, "nodata": [m.nodata_of(b) for b in range(m.bands)], "crs": "EPSG:4326", "formats": ["tif", "png", "jpg"]}
+
+
+def get_coverage(catalog: Catalog, name: str, bounds: Bounds, width: int, height: int, format: str = "tif") -> bytes:
+    """The values themselves (as TIFF), or an image of the first bands."""
+    view = _view(_level(catalog, name, bounds, width), bounds, width, height)
+    if format == "tif":
+        return _image(view, bounds, format)
+    return _image(view[: 3 if len(view) >= 3 else 1], bounds, format)
 
 
 def get_tile(catalog: Catalog, name: str, zoom: int, tx: int, ty: int, scale: ColorScale = GREY, mask: str | None = None, mask_max: float = float("inf")) -> bytes | None:
@@ -63,8 +133,7 @@ def get_tile(catalog: Catalog, name: str, zoom: int, tx: int, ty: int, scale: Co
     if row is None:
         return None
     a = np.array([np.nan if v is None else v for v in row.cells]).reshape(r.meta.tilesize, -1)
-    s = r.meta.stats
-    return write_png(_paint(a, scale, *(s[0][:2] if s and s[0] else (0.0, 1.0))))
+    return write_png(_paint(a, scale, *_range(r.meta)))
 
 
 def legend(scale: ColorScale, width: int = 16, height: int = 128) -> bytes:

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -47,6 +48,20 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean_scratch(spark: SparkSession, hours: float) -> list[str]:
+    """Delete scratch folders of other applications that are older than so many hours; their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    base = path(f"{shared_dir(spark)}/gridloom")
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for s in fs.listStatus(base) if fs.exists(base) else []:
+        name = s.getPath().getName()
+        if name != spark.sparkContext.applicationId and time.time() - s.getModificationTime() / 1000 >= hours * 3600:
+            fs.delete(s.getPath(), True)
+            out.append(name)
+    return sorted(out)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors once an application."""
     app = spark.sparkContext.applicationId

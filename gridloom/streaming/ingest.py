@@ -15,16 +15,19 @@ def merge_cells(stream: DataFrame, catalog: Catalog, name: str, meta: RasterMeta
     """Mosaic a stream of (gx, gy, v) into the raster `name`: what is stored wins, as in an ingest's overlaps.
 
     Each batch is written as a raster of its own version, and the pointer of the last version is moved after that, so
-    that a batch that is repeated after a failure gives the same raster.
+    that a batch that is repeated after a failure gives the same raster: of equal cells of one batch the least value
+    wins, whatever their order. The version before the last is kept for a repetition, older ones are deleted.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        new = from_cells(df.groupBy("gx", "gy").agg(F.first("v", ignorenulls=True).alias("v")), meta)
+        new = from_cells(df.groupBy("gx", "gy").agg(F.min("v").alias("v")), meta)
         older = [v for v in versions(catalog, name) if v < epoch]
         if older:
             old = catalog.raster(f"{name}@{older[-1]}")
             new = old.mosaic(Raster(old.meta.with_(stats=(), bounds=meta.bounds), new.sources, new.expr, new.strict))
         catalog.save(new, f"{name}@{epoch}")
+        for v in older[:-1]:
+            catalog.drop(f"{name}@{v}")
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(**trigger) if trigger else w).start()

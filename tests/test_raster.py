@@ -421,3 +421,253 @@ def test_geohashes_equal_bisection(spark):
         got = df.select("lat", "lon", geometry.geohash(F.col("lat"), F.col("lon"), length).alias("g")).collect()
         assert [r.g for r in got] == [bisected(r.lat, r.lon, length) for r in got]
     assert bisected(57.64911, 10.40744, 11) == "u4pruydqqvj"
+
+
+def test_projections_known_points_and_round_trips():
+    from gridloom.functions import projections as P
+
+    x, y = P.of_code(32631).forward(2.2945, 48.8582)
+    assert abs(x - 448251.8) < 0.2 and abs(y - 5411932.7) < 0.2
+    x, y = P.of_code(3857).forward(90.0, 85.05112877980659)
+    assert abs(x - 10018754.171395) < 1e-3 and abs(y - 20037508.342789) < 1e-3
+    text = 'PROJCS["RGF93",GEOGCS["g",DATUM["d",SPHEROID["GRS 1980",6378137.0,298.257222101]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Lambert_Conformal_Conic"],PARAMETER["False_Easting",700000.0],PARAMETER["False_Northing",6600000.0],PARAMETER["Central_Meridian",3.0],PARAMETER["Standard_Parallel_1",44.0],PARAMETER["Standard_Parallel_2",49.0],PARAMETER["Latitude_Of_Origin",46.5],UNIT["Meter",1.0]]'
+    lambert = P.of_wkt(text)
+    x, y = lambert.forward(2.3522, 48.8566)
+    assert abs(x - 652469.0) < 0.5 and abs(y - 6862035.3) < 0.5
+    feet = P.of_wkt(text.replace('UNIT["Meter",1.0]', 'UNIT["Foot_US",0.3048006096012192]'))
+    assert feet.unit == 0.3048006096012192 and np.allclose(feet.inverse(*feet.forward(2.0, 47.0)), (2.0, 47.0))
+    rng = np.random.default_rng(1)
+    for p, lon, lat in [(P.of_code(32733), (12, 18), (-70, -1)), (P.of_code(3857), (-179, 179), (-80, 80)), (lambert, (-4, 9), (41, 51)), (P.Projection("albers", lon0=-96, lat0=23, lat1=29.5, lat2=45.5), (-120, -70), (25, 48)), (P.Projection("albers", lon0=132, lat0=0, lat1=-18, lat2=-36), (115, 150), (-40, -12))]:
+        a, b = rng.uniform(*lon, 40), rng.uniform(*lat, 40)
+        c, d = p.inverse(*p.forward(a, b))
+        assert np.abs(c - a).max() < 1e-9 and np.abs(d - b).max() < 1e-9
+    assert P.of_wkt('GEOGCS["GCS_WGS_1984"]') is P.DEGREES
+    with pytest.raises(ValueError):
+        P.of_code(2056)
+
+
+def test_geometry_clips_meets_and_mends():
+    from gridloom.functions import geometry as G
+    from gridloom.grid import Bounds
+
+    box = Bounds(0, 0, 10, 10)
+    ring = [(-5.0, 2.0), (5.0, 2.0), (5.0, 8.0), (-5.0, 8.0), (-5.0, 2.0)]
+    kind, rings = G.clip("POLYGON", [ring], box)
+    rng = np.random.default_rng(2)
+    for x, y in rng.uniform(0, 10, (300, 2)):
+        assert G.point_in_rings(x, y, rings) == G.point_in_rings(x, y, [ring])
+    star = [(5 + (9 if k % 2 else 3) * math.cos(k), 5 + (9 if k % 2 else 3) * math.sin(k)) for k in range(0, 44)]
+    cut = G.clip("POLYGON", [star + star[:1]], box)[1]
+    assert all(G.point_in_rings(x, y, cut) == G.point_in_rings(x, y, [star]) for x, y in rng.uniform(0.01, 9.99, (500, 2)))
+    assert G.clip("LINESTRING", [[(-1.0, 5.0), (3.0, 5.0), (3.0, 20.0), (6.0, 20.0), (6.0, 9.0)]], box) == ("MULTILINESTRING", [[(0.0, 5.0), (3.0, 5.0), (3.0, 10.0)], [(6.0, 10.0), (6.0, 9.0)]])
+    assert G.clip("POLYGON", [[(20.0, 20.0), (30.0, 20.0), (30.0, 30.0), (20.0, 20.0)]], box)[1] == []
+    square = ("POLYGON", [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]])
+    for other, want in [(("POINT", [[(2.0, 2.0)]]), True), (("POINT", [[(9.0, 2.0)]]), False), (("LINESTRING", [[(-1.0, 2.0), (9.0, 3.0)]]), True), (("LINESTRING", [[(5.0, 0.0), (5.0, 9.0)]]), False), (("POLYGON", [[(-9.0, -9.0), (9.0, -9.0), (9.0, 9.0), (-9.0, 9.0), (-9.0, -9.0)]]), True)]:
+        assert G.intersects(square, other) == G.intersects(other, square) == want
+    assert G.intersects(("POINT", [[(1.0, 1.0)]]), ("LINESTRING", [[(0.0, 0.0), (2.0, 2.0)]])) and not G.intersects(("POINT", [[(1.0, 1.1)]]), ("LINESTRING", [[(0.0, 0.0), (2.0, 2.0)]]))
+    assert G.colinear((0, 0), (1, 1), (5, 5)) and not G.colinear((0, 0), (1, 1), (5, 5.1))
+    assert G.distance((0, 3), (-1, 0), (1, 0)) == 3 and G.distance((5, 0), (-1, 0), (1, 0)) == 4 and G.distance((0, 3), (4, 0)) == 5
+    assert G.fix_wkt("polygon((0 0, 4 0, 4 0, 4 4") == "POLYGON ((0.0 0.0, 4.0 0.0, 4.0 4.0, 0.0 0.0))"
+    assert G.fix_wkt("no geometry") is None and G.fix_wkt(None) is None and G.fix_wkt("POINT (1 2)") == "POINT (1.0 2.0)"
+
+
+def test_ingest_of_projected_images_and_categories(spark, tmp_path):
+    """A plane in UTM coordinates comes out as the plane at each cell's place; sides that disagree are refused."""
+    import struct as st
+
+    from gridloom import grid
+    from gridloom.functions import projections as P
+    from gridloom.grid import Bounds
+    from gridloom.sources import images
+
+    (tmp_path / "in").mkdir()
+    p = P.of_code(32633)
+    b = Bounds(300_000.0, 5_000_000.0, 500_000.0, 5_200_000.0)
+    n = 200
+    x, y = b.w + (np.arange(n) + 0.5) * 1000, b.n - (np.arange(n) + 0.5) * 1000
+    plane = x[None, :] / 1000 + y[:, None] / 10000
+    data = images.write_tiff([plane], b, -1.0)
+    degrees = st.pack("<16H", 1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, 4326)
+    assert degrees in data
+    data = data.replace(degrees, st.pack("<16H", 1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, 32633))
+    (tmp_path / "in" / "a.tif").write_bytes(data)
+    r = images.ingest(str(tmp_path / "in"), 8, tilesize=32, spark=spark)
+    rows = r.cells().collect()
+    size = grid.resolution(8, 32)
+    lon, lat = np.array([-180 + (v.gx + 0.5) * size for v in rows]), np.array([90 - (v.gy + 0.5) * size for v in rows])
+    ex, ny = p.forward(lon, lat)
+    inside = (ex > b.w + 1000) & (ex < b.e - 1000) & (ny > b.s + 1000) & (ny < b.n - 1000)
+    got = np.array([v.v for v in rows])
+    assert inside.sum() > 100 and np.abs(got - (ex / 1000 + ny / 10000))[inside].max() < 0.05
+    assert ((ex >= b.w) & (ex <= b.e) & (ny >= b.s) & (ny <= b.n)).all() and r.meta.nodata == (-1.0,)
+    with pytest.raises(ValueError):
+        images.ingest(str(tmp_path / "in"), skip_preprocessing=True, spark=spark)
+    assert images.ingest(str(tmp_path / "in"), 8, skip_preprocessing=True, tilesize=32, spark=spark).cells().count() == len(rows)
+    for k, names in enumerate((["a", "b"], ["a", "c"])):
+        (tmp_path / "in" / f"{k}.asc").write_text("ncols 2\nnrows 2\nxllcorner 0\nyllcorner 0\ncellsize 1\n1 2 3 4\n")
+        (tmp_path / "in" / f"{k}.asc.aux.xml").write_text('<PAMDataset><PAMRasterBand band="1"><CategoryNames>' + "".join(f"<Category>{x}</Category>" for x in names) + "</CategoryNames></PAMRasterBand></PAMDataset>")
+    (tmp_path / "in" / "a.tif").unlink()
+    with pytest.raises(ValueError, match="different categories"):
+        images.ingest(str(tmp_path / "in"), categorical=True, tilesize=32, spark=spark)
+    assert images.ingest(str(tmp_path / "in"), categorical=True, skip_categories=True, tilesize=32, spark=spark).meta.categories == ()
+    (tmp_path / "in" / "1.asc").unlink()
+    (tmp_path / "in" / "1.asc.aux.xml").unlink()
+    assert images.ingest(str(tmp_path / "in"), categorical=True, tilesize=32, protection="A&(B|C)", spark=spark).meta.categories == ((1, ("a", "b")),)
+    with pytest.raises(ValueError, match="protection"):
+        images.ingest(str(tmp_path / "in"), protection="A&(B;", tilesize=32, spark=spark)
+
+
+def test_jpeg_is_read_back(spark):
+    """Java's reader sees about what was written."""
+    from gridloom.sources import images
+
+    y, x = np.mgrid[0:45, 0:70]
+    red, green, blue = 120 + 100 * np.sin(x / 9), 3.0 * y, 255.0 - 3 * x
+    for bands in ([red], [red, green, blue], [red, green, blue, red * 0 + 255]):
+        data = images.write_jpeg(bands)
+        jvm = spark._jvm
+        image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+        assert (image.getWidth(), image.getHeight()) == (70, 45)
+        cells = image.getRaster()
+        for k, want in enumerate(bands[:3]):
+            got = np.array([[cells.getSample(i, j, k) for i in range(0, 70, 7)] for j in range(0, 45, 7)])
+            assert np.abs(got - np.clip(want, 0, 255)[::7, ::7]).max() < 14
+
+
+def test_export_levels_sizes_and_formats(spark, tmp_path):
+    from gridloom.sources import images
+
+    rng = np.random.default_rng(3)
+    r = from_array(spark, rng.uniform(0, 200, (64, 128)))
+    whole = images.read_tiff(images.export(r, "In-Memory", single=True))[0][0]
+    half = images.read_tiff(images.export(r, "In-Memory", single=True, zoom=r.meta.zoom - 1))[0][0]
+    assert half.shape == (whole.shape[0] // 2, whole.shape[1] // 2) and np.allclose(half, whole.reshape(half.shape[0], 2, half.shape[1], 2).mean((1, 3)), atol=1e-3)
+    assert images.read_tiff(images.export(r, "In-Memory", max_size=f"{whole.size * 4 - 1}b"))[0][0].shape == half.shape
+    paths = images.export(r, str(tmp_path / "l"), single=True, all_levels=True, format="jpg")
+    assert len(paths) == r.meta.zoom and all(open(p, "rb").read(2) == b"\xff\xd8" for p in paths)
+    with pytest.raises(ValueError):
+        images.export(r, str(tmp_path / "x"), zoom=r.meta.zoom + 1)
+    with pytest.raises(ValueError):
+        images.export(r, str(tmp_path / "x"), max_size="1m")
+    with pytest.raises(ValueError):
+        images.export(r, str(tmp_path / "x"), format="gif")
+
+
+def from_array(spark, a):
+    """A raster of the whole grid at zoom 3 with tiles of 16 cells."""
+    from gridloom.grid import Bounds
+    from gridloom.meta import RasterMeta
+    from gridloom.raster import from_cells
+
+    rows = [(int(x), int(y), float(a[y, x])) for y in range(a.shape[0]) for x in range(a.shape[1])]
+    return from_cells(spark.createDataFrame(rows, "gx long, gy long, v double"), RasterMeta(3, 16, 1, "float", (), Bounds()))
+
+
+def test_versions_statistics_and_commands(spark, tmp_path):
+    import json as js
+
+    from gridloom.__main__ import main
+    from gridloom.functions.colors import ColorScale
+    from gridloom.grid import Bounds
+    from gridloom.operators import aggregate, vector
+    from gridloom.plans import serve
+    from gridloom.sources import images
+    from gridloom.sources.catalog import Catalog
+
+    c = Catalog(spark, str(tmp_path / "cat"))
+    a = np.arange(64 * 128, dtype=float).reshape(64, 128)
+    r = from_array(spark, a)
+    first = c.save(r, "a")
+    again = c.save(r + 1, "a")
+    assert first.cells().agg({"v": "min"}).first()[0] == 0 and again.cells().agg({"v": "min"}).first()[0] == 1  # a reader of the version before goes on
+    c.save(r, "a")
+    assert len(c._versions("a")) == 2 and len(list((tmp_path / "cat/rasters/a/tiles/zoom=3").iterdir())) == 2
+    assert main(["quantiles", c.path, "a", "-n", "4"], spark) == [(0, k, float(-(-k * a.size // 4))) for k in (1, 2, 3)]
+    assert c.meta("a")[3].quantiles == ((2048.0, 4096.0, 6144.0),)
+    assert main(["calcstats", c.path, "a"], spark)[3][0][:2] == (0.0, 8191.0) and c.meta("a")[3].quantiles
+    assert sum(x[3] for x in main(["printsplits", c.path, "a"], spark)) == 32
+    assert "spark.master" in main(["showconf", c.path], spark) and main(["cleancache", c.path, "--older", "9999"], spark) == []
+    scale = ColorScale(((0.0, (0, 0, 0, 255)), (1.0, (100, 0, 0, 255)), (2.0, (200, 0, 0, 255))), "Quantile")
+    (tmp_path / "s.json").write_text(scale.to_json())
+    assert main(["colorscale", c.path, "mine", "-i", str(tmp_path / "s.json")], spark) == ["mine"] and c.color_scale("mine") == scale
+    c.save(vector.points(spark, [(1.0, 2.0), (-3.0, 7.5)]), "p")
+    assert main(["vectorinfo", c.path, "p"], spark)["bounds"] == [-3.0, 2.0, 1.0, 7.5]
+    c.save(aggregate.build_pyramid(c.raster("a"), "MEAN"), "a")
+    # services: values, images of several rasters, tiles
+    world = Bounds()
+    got = images.read_tiff(serve.get_coverage(c, "a", world, 128, 64))
+    assert np.array_equal(got[0][0], a) and got[1] == world and serve.describe_coverage(c, "a")["width"] == 128
+    c.save(r, "fine")
+    small = images.read_tiff(serve.get_coverage(c, "fine", world, 32, 16))[0][0]
+    assert np.allclose(small, a.reshape(16, 4, 32, 4).mean((1, 3)), rtol=1e-4)
+    assert serve.get_map(c, "a", world, 20, 10, scale)[:4] == b"\x89PNG" and serve.get_map(c, "a", world, 20, 10, format="jpg")[:2] == b"\xff\xd8"
+    half = local_crop(r, Bounds(-180, -90, 0, 90))
+    c.save(half, "west")
+    assert serve.get_mosaic(c, ["west", "a"], world, 64, 32)[:4] == b"\x89PNG"
+    assert len(serve.describe_tiles(c, "a", 3)) == 32 and set(serve.coverages(c)) == {"a", "fine", "west"}
+    assert js.loads(scale.to_json())["scaling"] == "Quantile"
+
+
+def local_crop(r, b):
+    from gridloom.operators import local
+
+    return local.crop(r, b)
+
+
+def test_large_features_are_cut_and_painted_the_same(spark, monkeypatch):
+    from gridloom.operators import vector
+
+    rows = [(1, "POLYGON ((-170 -80, 170 -70, 100 80, -160 60, -170 -80), (-50 -30, 60 -20, 10 40, -50 -30))", {"v": "3"}), (2, "LINESTRING (-179 -89, 0 0, 100 70, 179 -60)", {"v": "5"}), (3, "MULTIPOLYGON (((0 0, 60 0, 60 60, 0 60, 0 0)), ((-90 10, -30 10, -30 70, -90 10)))", {"v": "7"}), (4, "POINT (10 20)", {"v": "1"})]
+    f = spark.createDataFrame(rows, vector.FEATURES)
+    out = []
+    for split, part in ((1000, 16), (1, 3), (1, 1)):
+        monkeypatch.setattr(vector, "SPLIT", split)
+        monkeypatch.setattr(vector, "PART", part)
+        for width in (None, "300000m"):
+            got = vector.rasterize_vector(f, "SUM", "4z", "v", width=width, tilesize=16).cells().select("gx", "gy", "v").collect()
+            out.append(sorted(map(tuple, got)))
+    assert out[0] and out[0] == out[2] == out[4] and out[1] and out[1] == out[3] == out[5]
+
+
+def test_readers_of_features_and_weights(spark, tmp_path):
+    from gridloom.functions.aggregators import weighted_mean
+    from gridloom.grid import Bounds
+    from gridloom.operators import focal, vector
+    from gridloom.sources import vectors
+
+    (tmp_path / "f.tsv").write_text("GEOMETRY\tname\n" + "".join(f"POINT ({k} {k})\tn{k}\n" for k in range(50)))
+    f = vectors.read_delimited(spark, str(tmp_path / "f.tsv"), least=10).cache()
+    assert f.rdd.getNumPartitions() == 5 and f.count() == 50 and vectors.feature_bounds(f) == Bounds(0, 0, 49, 49)
+    assert vectors.by_bounds(f, Bounds(9.5, 0, 20, 20)).count() == 11 and vectors.feature_bounds(f.limit(0)) is None
+    one = f.select("feature_id").first()[0]
+    assert vectors.by_id(f, one).count() == 1
+    a = np.random.default_rng(4).uniform(0, 9, (64, 128))
+    k = np.array([[0, 1, 0], [2, 3, 4], [0, 5, 0]])
+    got = np.full((64, 128), np.nan)
+    for r in focal.weighted(from_array(spark, a), k).cells().collect():
+        got[r.gy, r.gx] = r.v
+    p = np.pad(a, 1)
+    want = sum(k[y, x] * p[y : y + 64, x : x + 128] for y in range(3) for x in range(3)) / k.sum()
+    assert np.allclose(got, want, rtol=1e-5)
+    assert weighted_mean([0, 10, 20, 30], 0.25, 0.5) == 12.5 and weighted_mean([0, float("nan"), 20, 30], 1.0, 0.5) == 30
+    g = {(r.gx, r.gy): r.v for r in vector.paint_gaussian(vector.points(spark, [(0.0, 0.0), (0.0, 0.0)]), 5.0, 2.8125, tilesize=16).cells().collect()}
+    assert abs(g[64, 32] - 2 * math.exp(-2 * (2.8125 / 2) ** 2 / 50)) < 1e-9 and (70, 32) not in g
+
+
+def test_shapefiles_with_a_projection(spark, tmp_path):
+    import struct as st
+
+    from gridloom.functions import projections as P
+    from gridloom.sources import vectors
+
+    p = P.of_code(32633)
+    x, y = (float(v) for v in p.forward(15.5, 47.0))
+    record = st.pack("<i2d", 1, x, y)
+    body = st.pack(">2i", 1, len(record) // 2) + record
+    (tmp_path / "a.shp").write_bytes(b"\0" * 100 + body)
+    assert not vectors.read_shapefile(spark, str(tmp_path / "a.shp")).first().wkt.startswith("POINT (15.")
+    (tmp_path / "a.prj").write_text('PROJCS["WGS 84 / UTM zone 33N",GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],UNIT["degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],PARAMETER["central_meridian",15],PARAMETER["scale_factor",0.9996],PARAMETER["false_easting",500000],PARAMETER["false_northing",0],UNIT["metre",1]]')
+    from gridloom.functions.geometry import parse_wkt
+
+    (lon, lat) = parse_wkt(vectors.read_shapefile(spark, str(tmp_path / "a.shp")).first().wkt)[1][0][0]
+    assert abs(lon - 15.5) < 1e-9 and abs(lat - 47.0) < 1e-9
