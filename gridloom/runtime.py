@@ -14,38 +14,56 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 _shipped: set[str] = set()
+_used: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only in local mode and where that is unset, a temporary folder."""
     global _own
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own is None:
-        _own = tempfile.mkdtemp(prefix="gridloom-raster-")
+        _own = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, _own, True)
     return _own
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder of this application's; all of them go when the driver ends."""
+    base = f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}"
+    if base not in _used:
+        _used.add(base)
+        atexit.register(_forget, spark, base)
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _forget(spark: SparkSession, base: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has been stopped, and cleancache finds the folder
+        delete(spark, base)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """df written and read again: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a scratch table that nothing reads any more."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if files and "/gridloom/" in files[0]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
 def clean_scratch(spark: SparkSession, hours: float) -> list[str]:
@@ -69,7 +87,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     if os.path.isdir(root):
-        at = os.path.join(tempfile.mkdtemp(prefix="gridloom-code-"), "gridloom_raster.zip")
+        at = os.path.join(tempfile.mkdtemp(prefix="gridloom-code-"), "gridloom_code.zip")
         with zipfile.ZipFile(at, "w") as z:
             for d, _, names in os.walk(root):
                 for x in names:
