@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, ship, text_column
 
-_LOW = 8  # bits of a lower bitmap's index
-
-
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """A rank file's content: a base64 token and its rank on each line."""
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
@@ -46,91 +43,99 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-class RankQueue:
-    """Positions by rank, least rank first and leftmost first."""
-
-    def __init__(self) -> None:
-        self.upper, self.lower, self.buckets = 0, {}, {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        hi = rank >> _LOW
-        self.lower[hi] = self.lower.get(hi, 0) | 1 << (rank & (1 << _LOW) - 1)
-        self.upper |= 1 << hi
-
-    def pop(self) -> tuple[int, int] | None:
-        upper = self.upper
-        if not upper:
-            return None
-        hi = (upper & -upper).bit_length() - 1
-        low = self.lower[hi]
-        rank = hi << _LOW | (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            low &= low - 1
-            self.lower[hi] = low
-            if not low:
-                self.upper = upper & upper - 1
-        return rank, at
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    end = list(range(1, n + 1))  # of the part that starts here; 0: merged away
-    before = list(range(-1, n - 1))
-    queue = RankQueue()
-    get = ranks.get
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            queue.push(r, i)
-    while (top := queue.pop()) is not None:
-        r, i = top
-        mid = end[i]
-        if not mid or mid >= n or get(piece[i : end[mid]]) != r:
-            continue
-        last = end[mid]
-        end[i], end[mid] = last, 0
-        if last < n:
-            before[last] = i
-            s = get(piece[i : end[last]])
-            if s is not None:
-                queue.push(s, i)
-        p = before[i]
-        if p >= 0:
-            s = get(piece[p:last])
-            if s is not None:
-                queue.push(s, p)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return out
+class Merges:
+    """The ranks of a vocabulary by pairs of ids: any two tokens that make a token together.
+
+    The rank queue is written out in ids(), as calls would cost as much as its steps: buckets of positions by rank, each
+    a heap; `lower` has a bitmap of the buckets in use for every 256 ranks, `upper` one of the lower bitmaps in use.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.pairs: dict[int, int] = {}
+        for token, r in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    self.pairs[a << 32 | b] = r
+        self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.lower = [0] * ((max(ranks.values(), default=0) >> 8) + 1)  # all 0 between pre-tokens
+
+    def ids(self, piece: bytes) -> list[int]:
+        """The ids of one pre-token."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        get, lower, byte = self.pairs.get, self.lower, self.byte
+        n = len(piece)
+        token = [byte[b] for b in piece]  # of the part that starts here; -1: merged away
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        upper, buckets = 0, {}
+        for i in range(n - 1):
+            r = get(token[i] << 32 | token[i + 1])
+            if r is None:
+                continue
+            if r in buckets:
+                buckets[r].append(i)  # in order, so it stays a heap
+            else:
+                buckets[r] = [i]
+                lower[r >> 8] |= 1 << (r & 255)
+                upper |= 1 << (r >> 8)
+        while upper:
+            # find-first-set on the upper bitmap, then on the lower one
+            hi = (upper & -upper).bit_length() - 1
+            low = lower[hi]
+            r = hi << 8 | (low & -low).bit_length() - 1
+            bucket = buckets[r]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[r]
+                low &= low - 1
+                lower[hi] = low
+                if not low:
+                    upper &= upper - 1
+            mid = after[i]
+            if mid >= n or token[i] < 0 or get(token[i] << 32 | token[mid]) != r:
+                continue  # stale
+            token[i], token[mid] = r, -1
+            last = after[i] = after[mid]
+            if last < n:
+                before[last] = i
+                s = get(r << 32 | token[last])
+                if s is not None:
+                    if s in buckets:
+                        heappush(buckets[s], i)
+                    else:
+                        buckets[s] = [i]
+                        lower[s >> 8] |= 1 << (s & 255)
+                        upper |= 1 << (s >> 8)
+            i = before[i]
+            if i >= 0:
+                s = get(token[i] << 32 | r)
+                if s is not None:
+                    if s in buckets:
+                        heappush(buckets[s], i)
+                    else:
+                        buckets[s] = [i]
+                        lower[s >> 8] |= 1 << (s & 255)
+                        upper |= 1 << (s >> 8)
+        return [x for x in token if x >= 0]
 
 
 class _Memory(dict):
     """Ids by piece of text; a young and an old generation, so that it stays bounded and common pieces stay in it."""
 
-    MOST, LONGEST = 100_000, 48
+    LONGEST = 64
 
-    def __init__(self, make) -> None:
-        self.make, self.old = make, {}
+    def __init__(self, make, most: int) -> None:
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece: str):
         got = self.old.get(piece)
         if got is None:
             got = self.make(piece)
         if len(piece) <= self.LONGEST:
-            if len(self) >= self.MOST:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[piece] = got
@@ -147,14 +152,20 @@ class Codec:
         for k, v in ranks.items():
             self.token[v] = k
         self.number = [str(k).encode() for k in range(len(self.token))]
-        self.words = _Memory(lambda w: tuple(merge(w.encode(), ranks)))
-        # between two blanks without other white space beside them the pattern can't reach across the first blank
-        self.pieces = _Memory(lambda p: None if not p or p[0].isspace() or p[-1].isspace() else self._ids(" " + p))
+        self.merges = Merges(ranks)
+        self.words = _Memory(lambda w: tuple(self.merges.ids(w.encode())), 300_000)
+        self.pieces = _Memory(self._piece, 100_000)
         self.by_blank = pattern == _BY_BLANK
 
     def _ids(self, text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.words.__getitem__, self.find(text))))
 
+    def _piece(self, p: str) -> tuple[int, ...] | None:
+        """Ids of what stands between two blanks, with the first of them; None where the blanks aren't alone."""
+        if p.isascii() and p.isalpha():
+            return self.words[" " + p]  # one pre-token
+        return None if not p or p[0].isspace() or p[-1].isspace() else self._ids(" " + p)
+
     def encode(self, text: str) -> list[int]:
         if self.by_blank and " " in text:
             head, *rest = text.split(" ")
