@@ -218,7 +218,7 @@ def _to_tiles(codes, cut):
                     take = pa.array(rows[k])
                     col = lambda name: b.column(b.schema.get_field_index(name)).take(take)
                     p, q = np.minimum(own[k], o), np.maximum(own[k], o)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), dim, np.int32)), pa.array(tile[k]), pa.array(p), pa.array(q), pa.array(own[k]), col("node"), col("mult"), col("x"), col("own")], ["dim", "tile", "p", "q", "piece", "node", "mult", "x", "own"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), dim, np.int32)), pa.array(tile[k]), pa.array(p), pa.array(q), pa.array(own[k]), col("cid"), col("node"), col("mult"), col("x"), col("own")], ["dim", "tile", "p", "q", "piece", "cid", "node", "mult", "x", "own"])
 
     return go
 
@@ -249,13 +249,13 @@ def _joined(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nd
 
 
 def _verify(least: float, codes, kind: str):
-    """Of a tile, or of a pair of its pieces: links of each vector, and edges that join what links join."""
+    """Of a tile, or of a pair of its pieces: links of each class (a, n), and edges that join what links join (a, b)."""
 
     def go(key, table):
         dim, tile, p, q = (k.as_py() for k in key)
         code = codes.value[dim]
         x = _unit(_matrix(table.column("x"), dim, kind))
-        node, mult, piece = (table.column(k).to_numpy() for k in ("node", "mult", "piece"))
+        cid, node, mult, piece = (table.column(k).to_numpy() for k in ("cid", "node", "mult", "piece"))
         own = _matrix(table.column("own"), code.filters, "int64")
         links = np.zeros(len(node), np.int64)
         edges = [(node[:0], node[:0])]
@@ -283,7 +283,7 @@ def _verify(least: float, codes, kind: str):
         a, b = forest(*(np.concatenate(e) for e in zip(*edges, strict=True)))
         some = np.flatnonzero(links)
         n, m = len(some), len(a)
-        return pa.table({"a": np.concatenate([node[some], a]), "b": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(b)]), "n": pa.concat_arrays([pa.array(links[some]), pa.nulls(m, pa.int64())])})
+        return pa.table({"a": np.concatenate([cid[some], a]), "b": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(b)]), "n": pa.concat_arrays([pa.array(links[some]), pa.nulls(m, pa.int64())])})
 
     return go
 
@@ -293,8 +293,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing, nor do vectors of
     different lengths or those with a null id (whose component is null). Equal directions are one class with a count.
-    Rows that repeat an id with other vectors share its component; n_links is each row's own and counts rows, as
-    long as an id's vectors are equal. Every link found is verified; a link is missed where two vectors share no
+    Rows that repeat an id with other vectors share its component; n_links is each row's own and counts rows. Every link found is verified; a link is missed where two vectors share no
     filter, at most about 1 - RECALL of random ones at cosine `least` and fewer above it. No rows: no rows. Other columns are left alone.
     """
     spark = vectors.sparkSession
@@ -311,15 +310,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     codes = spark.sparkContext.broadcast(made)
     classes = keyed.where("dim is not null and vec_id is not null").groupBy("dim", "k1", "k2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("mult"), F.first("x").alias("x"))
     kinds = "dim int, k1 long, k2 long, node long, mult long, x binary, own binary"
-    classes = scratch(classes.mapInArrow(_decode(codes, kind), kinds), "classes")
+    # classes have numbers of their own, as an id may stand in several
+    classes = scratch(classes.mapInArrow(_decode(codes, kind), kinds).withColumn("cid", F.monotonically_increasing_id()), "classes")
     # a row for each TILE vectors at most
     large = classes.select("dim", "own").mapInArrow(_tile_counts(codes), "dim int, tile long, n long").groupBy("dim", "tile").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * TILE)
     cut = spark.sparkContext.broadcast({(r.dim, r.tile): -(-r.n // TILE) for r in large.collect()})
-    tiles = classes.select("dim", "node", "mult", "x", "own").mapInArrow(_to_tiles(codes, cut), "dim int, tile long, p long, q long, piece long, node long, mult long, x binary, own binary")
+    tiles = classes.select("dim", "cid", "node", "mult", "x", "own").mapInArrow(_to_tiles(codes, cut), "dim int, tile long, p long, q long, piece long, cid long, node long, mult long, x binary, own binary")
     done = scratch(tiles.groupBy("dim", "tile", "p", "q").applyInArrow(_verify(least, codes, kind), "a long, b long, n long"), "verified")
-    links = done.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    links = done.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
     key = ["dim", "k1", "k2"]
-    named = scratch(classes.select(*key, "node", (F.col("mult") - 1).alias("same")).join(links, "node", "left").select(*key, "node", (F.col("same") + F.coalesce("n", F.lit(0))).alias("n")), "links")
+    named = scratch(classes.select(*key, "cid", "node", (F.col("mult") - 1).alias("same")).join(links, "cid", "left").select(*key, "node", (F.col("same") + F.coalesce("n", F.lit(0))).alias("n")), "links")
     copies = rows.where("dim is not null").join(named.select(*key, "node"), key).where("vec_id != node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
     reached = scratch(components(done.where("b is not null").select("a", "b").unionByName(copies)), "reached")
     out = rows.join(named.select(*key, "n"), key, "left").join(reached.withColumnRenamed("id", "vec_id"), "vec_id", "left")
