@@ -162,6 +162,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
         _grow(x, cuts, binned, p - y, p * (1 - p), np.arange(n), (), 0, paths, step)
         z += RATE * step
     rules = list(dict.fromkeys(_simple(p) for p in paths))
+    if not rules:  # too few rows to split
+        return Model(base, (), ())
     held = np.stack([r.holds(x) for r in rules], 1)
     share = held.mean(0)
     rules = [r for r, s in zip(rules, share, strict=True) if LEAF / n / 2 <= s <= 1 - LEAF / n / 2]
