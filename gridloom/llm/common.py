@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import os
-import shutil
-import tempfile
 import time
-import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
+from ..runtime import drop_scratch, scratch_path, shared_dir
+
+__all__ = ["drop_scratch", "scratch_path", "shared_dir"]
+
 #: Bytes up to which a side is broadcast; beyond it both sides are shuffled.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of a batch of rows that goes to Python, where the session doesn't say otherwise: very long texts come few at a time.
@@ -25,36 +24,14 @@ BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: `[^\x20\x09-\x0D]+`, the words that all operators count and compare.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: str | None = None
-_shipped: set[str] = set()
 _released = 0.0
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
-    global _own
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="gridloom-")
-        atexit.register(shutil.rmtree, _own, True)
-    return _own
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = runtime.scratch(df, name)
+    release(df.sparkSession)
+    return out
 
 
 def release(spark: SparkSession, every: float = 4.0) -> None:
@@ -66,34 +43,12 @@ def release(spark: SparkSession, every: float = 4.0) -> None:
         _released = time.monotonic()
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files of a scratch table that nothing reads any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files and "/gridloom/" in files[0]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once an application, and bound the batches that they get."""
+    """Give the executors this package, once an application, and bound the batches that they get, unless the application
+    says how large they may be: plans are made when results are read, so the session keeps the bound."""
     if spark.sparkContext.getConf().get(BATCH_KEY) is None:
         spark.conf.set(BATCH_KEY, BATCH_BYTES)
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(root):
-        at = os.path.join(tempfile.mkdtemp(prefix="gridloom-code-"), "gridloom_code.zip")
-        with zipfile.ZipFile(at, "w") as z:
-            for d, _, names in os.walk(root):
-                for x in names:
-                    if x.endswith(".py"):
-                        full = os.path.join(d, x)
-                        z.write(full, os.path.join("gridloom", os.path.relpath(full, root)))
-        spark.sparkContext.addPyFile(at)
-        atexit.register(shutil.rmtree, os.path.dirname(at), True)
-    _shipped.add(app)
+    runtime.ship(spark)
 
 
 def join_small(big: DataFrame, side: DataFrame, keys: list[str], how: str, row_bytes: int = 48, sized: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -136,6 +136,13 @@ def test_caps_recall_and_precision(spark, monkeypatch, tile, rows_at_once):
     assert caps.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_caps_of_repeated_ids(spark):
+    """An id with two vectors joins both their components; equal rows are links of one another."""
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.999, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 0.999, 0.01]), (9, [1.0, 0.01, 0.0]), (9, [0.01, 1.0, 0.0]), (5, [0.0, 0.0, 1.0]), (5, [0.0, 0.0, 1.0]), (None, [1.0, 0.0, 0.0])]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 1, False), (9, 2, 1, False), (9, 2, 1, False), (5, 1, 5, True), (5, 1, 5, True), (None, 0, None, False)], key=str)
+
+
 @pytest.mark.parametrize("n", [3000, 40_000])
 def test_caps_recall_of_links_at_the_threshold(spark, n):
     """Pairs just above the least cosine amid single precision vectors, at two sizes; a vector goes to few tiles."""

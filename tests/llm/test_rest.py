@@ -171,6 +171,11 @@ def test_pipeline_stages(spark, tmp_path):
     n = [x.count() for x in seen]
     assert n[1] < n[0] and n[2] == n[1] and n[3] <= n[2] and n[5] == n[4]
     # what a stage keeps is what its brute-force version keeps
+    from gridloom.llm import quality
+
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    hand = lambda t: 1 / (1 + np.exp(-(model.intercept + sum(w for r, w in zip(model.rules, model.weights) if all((t[k] > x) == above for k, above, x in r.parts)))))
+    assert sorted(r.doc_id for r in seen[1].collect()) == sorted(r.doc_id for r in docs.collect() if hand(quality.statistics(r.text)) >= 0.3)
     from test_pairs import expected
     from test_texts import line_oracle
 
@@ -181,6 +186,29 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(r.doc_id for r in seen[5].collect())
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows and ids, columns that clash with the operators' own, and an empty table."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    good = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    rows = [(k, t, "en", f"s{k % 3}") for k, t in enumerate(good)] + [(None, good[0], None, None), (None, None, "en", "s1"), (5, good[5], "en", "s2"), (5, good[7], "en", "s2"), (900, "", "en", "s0"), (901, "w " * 40_000, "en", "s0")]
+    names = ["row", "marks", "times", "stats", "node", "h", "_s", "size", "spans", "id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in names)
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *range(len(names))) for r in rows], schema)
+    for df in (docs, docs.limit(0)):
+        at, last = df, None
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, at, sf)
+            path = f"{tmp_path}/{k}-{df is docs}"
+            out.write.parquet(path)
+            last = spark.read.schema(out.schema).parquet(path)
+            if k < 4:
+                assert out.columns == docs.columns and all(r[c] == i for r in last.collect() for i, c in enumerate(names))
+                at = last
+        assert (last.count() == at.count()) and (last.count() > 40) == (df is docs)
+
+
 def test_pipeline_mixes_and_encodes_as_brute_force(spark):
     import collections
     import hashlib

@@ -100,6 +100,23 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.encode_documents(df.limit(0)).collect() == []
 
 
+def test_merges_of_long_pre_tokens_equal_tiktoken():
+    """Pre-tokens of many thousand bytes, with a vocabulary of few letters, so that ranks tie and merges go stale."""
+    import tiktoken
+
+    rng = random.Random(6)
+    ranks = {bytes([b]): b for b in range(256)}
+    while len(ranks) < 700:
+        a, b = rng.choice([t for t in ranks if t < b"e" and t >= b"a"]), rng.choice([t for t in ranks if t < b"e" and t >= b"a"])
+        ranks.setdefault(a + b, len(ranks))
+    enc = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    merges = bpe.Merges(ranks)
+    for n in [*range(1, 40), 500, 20_000]:
+        for letters in ("ab", "abcd", "a"):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            assert merges.ids(text.encode()) == enc.encode_ordinary(text)
+
+
 def test_bpe_of_null_and_repeated_ids_and_two_files_of_one_name(spark, tmp_path):
     import base64
 
@@ -121,14 +138,6 @@ def test_bpe_of_null_and_repeated_ids_and_two_files_of_one_name(spark, tmp_path)
             assert sorted(((r.doc_id, r.ids) for r in got), key=str) == sorted(want, key=str)
 
 
-def test_rank_queue_pops_least_rank_then_leftmost():
-    q = bpe.RankQueue()
-    items = [(random.Random(k).randrange(70000), k * 7 % 101) for k in range(500)]
-    for r, p in items:
-        q.push(r, p)
-    assert [q.pop() for _ in items] == sorted(items) and q.pop() is None
-
-
 def line_chunks(lines):
     """(first, number) of chunks, a line at a time."""
     h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) % 1_000_003 for x in lines]
