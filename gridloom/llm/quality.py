@@ -203,10 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label_col).cast("double").alias("y"))
     known = known.where(~held_out(F.col("doc_id"), 5, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # at most `sample` rows of 16 bytes are broadcast
-    rows = rows.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
-    got = sorted((r.doc_id, r.y, *r.stats) for r in rows.mapInArrow(_collect, "doc_id long, y double, stats array<double>").collect())
-    x = np.array([r[1:] for r in got], float).reshape(-1, 1 + len(STATS))
+    # at most `sample` rows of 16 bytes are broadcast; texts become statistics where they are
+    rows = rows.join(F.broadcast(known), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), "text").mapInArrow(_collect, "doc_id long, y double, h long, stats array<double>")
+    got = sorted((r.doc_id, r.h, r.y, *r.stats) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample).collect())
+    x = np.array([r[2:] for r in got], float).reshape(-1, 1 + len(STATS))
     return fit(x[:, 1:], x[:, 0])
 
 
