@@ -123,19 +123,19 @@ class Merges:
 
 
 class _Memory(dict):
-    """Ids by piece of text; a young and an old generation, so that it stays bounded and common pieces stay in it."""
+    """Ids by pre-token; a young and an old generation, so that it stays bounded and common pre-tokens stay in it."""
 
-    LONGEST = 64
+    MOST, LONGEST = 300_000, 64
 
-    def __init__(self, make, most: int) -> None:
-        self.make, self.most, self.old = make, most, {}
+    def __init__(self, make) -> None:
+        self.make, self.old = make, {}
 
     def __missing__(self, piece: str):
         got = self.old.get(piece)
         if got is None:
             got = self.make(piece)
         if len(piece) <= self.LONGEST:
-            if len(self) >= self.most:
+            if len(self) >= self.MOST:
                 self.old = dict(self)
                 self.clear()
             self[piece] = got
@@ -146,35 +146,16 @@ class Codec:
     """Encodes as a rank file and a pattern say, without special tokens; decodes ids to bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.token: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             self.token[v] = k
         self.number = [str(k).encode() for k in range(len(self.token))]
         self.merges = Merges(ranks)
-        self.words = _Memory(lambda w: tuple(self.merges.ids(w.encode())), 300_000)
-        self.pieces = _Memory(self._piece, 100_000)
-        self.by_blank = pattern == _BY_BLANK
-
-    def _ids(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.words.__getitem__, self.find(text))))
-
-    def _piece(self, p: str) -> tuple[int, ...] | None:
-        """Ids of what stands between two blanks, with the first of them; None where the blanks aren't alone."""
-        if p.isascii() and p.isalpha():
-            return self.words[" " + p]  # one pre-token
-        return None if not p or p[0].isspace() or p[-1].isspace() else self._ids(" " + p)
+        self.words = _Memory(lambda w: tuple(self.merges.ids(w.encode())))
 
     def encode(self, text: str) -> list[int]:
-        if self.by_blank and " " in text:
-            head, *rest = text.split(" ")
-            parts = list(map(self.pieces.__getitem__, rest))
-            if head and not head[-1].isspace() and None not in parts:
-                out = list(self._ids(head))
-                out.extend(chain.from_iterable(parts))
-                return out
-        return list(self._ids(text))
+        return list(chain.from_iterable(map(self.words.__getitem__, self.find(text))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -183,10 +164,6 @@ class Codec:
         return hashlib.sha256(b",".join(map(self.number.__getitem__, ids))).hexdigest()
 
 
-#: The one pattern known to part texts at single blanks, so that what stands between them can be remembered whole
-#: (fixed value); any other pattern is matched against whole texts.
-_BY_BLANK = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
