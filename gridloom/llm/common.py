@@ -54,10 +54,11 @@ def ship(spark: SparkSession) -> None:
 def join_small(big: DataFrame, side: DataFrame, keys: list[str], how: str, row_bytes: int = 48, sized: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join with a materialised side: broadcast if its measured size is within the limit, else shuffled.
 
-    row_bytes: fixed bytes of a row of side; sized: its binary column, whose length counts too.
+    row_bytes: fixed bytes of a row of side, to which a hash table adds about 40; sized: its binary column, whose length
+    counts too.
     """
     n, extra = side.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(sized)), F.lit(0)) if sized else F.lit(0)).first()
-    return big.join(F.broadcast(side) if n * row_bytes + extra <= limit else side, keys, how)
+    return big.join(F.broadcast(side) if n * (row_bytes + 40) + extra <= limit else side, keys, how)
 
 
 def _packed(batches):

@@ -265,7 +265,7 @@ class _Sets:
         return F.expr(f"({self.num + self.den}) * ({o}) >= {self.num} * ({na} + {nb})")
 
     def bound(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, na, nb, o), written: o is the greatest overlap that sketches allow. pairs must be written."""
+        """(a, b, na, nb, o), written: o is the greatest overlap that sketches allow. pairs: cheap to read again."""
         own = scratch(join_small(self.sketches, self._ends(pairs), ["node"], "inner", 32).dropDuplicates(), f"{name}-sketches")
         side = lambda k: own.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         out = scratch(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bounded, _PAIR), f"{name}-bounds")
@@ -273,7 +273,7 @@ class _Sets:
         return out
 
     def overlap(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, na, nb, o), written: o is the overlap. pairs must be written; only the texts of their ends are hashed."""
+        """(a, b, na, nb, o), written: o is the overlap. pairs: cheap to read again; only the texts of their ends are hashed."""
         own = join_small(self.texts, self._ends(pairs), ["node"], "inner", 32).mapInArrow(_sets(self.width, "text"), "node long, whole binary").dropDuplicates()
         own = scratch(own.where("length(whole) > 0"), f"{name}-sets")
         side = lambda k: own.select(F.col("node").alias(k), F.col("whole").alias(f"w{k}"))
@@ -323,13 +323,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = count.groupBy("sid").agg(F.max_by("partner", F.shiftleft("c", 48) + F.shiftrightunsigned(F.xxhash64("partner"), 17)).alias("partner"))
     name = lambda sid, node: nodes.select(F.col("sid").alias(sid), F.col("node").alias(node))
     pairs = scratch(best.join(name("sid", "a"), "sid").join(name("partner", "b"), "partner").where("a != b").select("a", "b").distinct(), "leaders")
-    near = scratch(sets.bound(pairs, "leaders").where(sets.linked()).select("a", "b").distinct(), "near-leaders")
+    near = sets.bound(pairs, "leaders").where(sets.linked()).select("a", "b").distinct()
     answers = sets.overlap(near, "leaders").where(sets.linked())
     links = copies.unionByName(answers.select("a", "b"))
-    reached = scratch(components(links), "reached")
+    reached = components(links)
     # a node that stands for several sets, as rows repeat its id, leads but is not led
-    twice = scratch(nodes.groupBy("node").count().where("count > 1").select("node"), "twice")
-    leaders = join_small(answers, twice.withColumnRenamed("node", "a"), ["a"], "left_anti", 16)
+    twice = nodes.groupBy("node").count().where("count > 1").select(F.col("node").alias("a"))
+    leaders = answers.join(twice, "a", "left_anti")
     leaders = leaders.select(F.col("a").alias("node"), F.struct((F.col("na") - F.col("o")).alias("x"), (F.col("nb") - F.col("o")).alias("y"), F.col("b").alias("leader")).alias("l"))
     leaders = scratch(leaders.groupBy("node").agg(F.min("l").alias("l")).select("node", "l.leader", "l.x", "l.y"), "led")
 
@@ -367,18 +367,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     across = across.select("u", "v", "nu", "nv", F.coalesce("lu", "u").alias("lu"), F.coalesce("lv", "v").alias("lv"), (F.coalesce("xu", F.lit(0)) + F.coalesce("xv", F.lit(0))).alias("more"), (F.coalesce("yu", F.lit(0)) + F.coalesce("yv", F.lit(0))).alias("less"))
     across = scratch(across.withColumn("a", F.least("lu", "lv")).withColumn("b", F.greatest("lu", "lv")).drop("lu", "lv"), "across")
     if not across.isEmpty():
-        bound = sets.bound(scratch(across.select("a", "b").distinct(), "led-pairs"), "led")
-        most = scratch(bound.groupBy("a", "b").agg(F.max("o").alias("o")), "most")
+        bound = sets.bound(across.select("a", "b").distinct(), "led")
+        most = bound.groupBy("a", "b").agg(F.max("o").alias("o"))
         left = scratch(join_small(across, most, ["a", "b"], "inner", 40).where(sets.linked("o + more", "nu", "nv")).drop("o"), "open")
-        known = sets.overlap(scratch(left.select("a", "b").distinct(), "open-pairs"), "open")
-        known = scratch(known.groupBy("a", "b").agg(F.max("o").alias("o"), F.min("o").alias("p")), "known")
+        known = sets.overlap(left.select("a", "b").distinct(), "open").groupBy("a", "b").agg(F.max("o").alias("o"), F.min("o").alias("p"))
         done = scratch(join_small(left, known, ["a", "b"], "inner", 48).where(sets.linked("o + more", "nu", "nv")).withColumn("sure", sets.linked("p - less", "nu", "nv")), "derived")
-        rest = scratch(done.where("not sure").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "rest")
+        rest = done.where("not sure").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
         links = links.unionByName(done.where("sure").select(F.col("u").alias("a"), F.col("v").alias("b")))
         if not rest.isEmpty():
-            again = scratch(sets.bound(rest, "rest").where(sets.linked()).select("a", "b").distinct(), "near-rest")
+            again = sets.bound(rest, "rest").where(sets.linked()).select("a", "b").distinct()
             links = links.unionByName(sets.overlap(again, "rest").where(sets.linked()).select("a", "b"))
-        reached = scratch(components(links), "reached")
+        reached = components(links)
     named = summary.select("doc_id", "n").join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
