@@ -88,7 +88,11 @@ _add("raster_bandextract", lambda s, d: _cells(local.band_extract(local.band_com
 _add("raster_convert_truncate", lambda s, d: _cells(local.convert(raster_b(s, d) * 1.5, "byte")), "SELECT gx, gy, floor(least(greatest(v * 1.5, 0), 254)) AS v FROM b")
 _add("raster_convert_mod", lambda s, d: _cells(local.convert(raster_b(s, d), "byte", "mod")), "SELECT gx, gy, v % 254 AS v FROM b")
 _add("raster_convert_fit", lambda s, d: _cells(local.convert(raster_b(s, d), "byte", "fit")), ", m AS (SELECT min(v) AS x, max(v) AS y FROM b) SELECT gx, gy, floor(0.0 + v / (y - x) * (254.0 - 0.0))::DOUBLE AS v FROM b, m")
-_add("raster_changeclassification", lambda s, d: _cells(local.change_classification(raster_a(s, d), "categorical")), "SELECT gx, gy, v FROM a")
+_add(
+    "raster_changeclassification",
+    lambda s, d: (lambda r: _cells(r).withColumn("classification", F.lit(r.meta.classification)).withColumn("resampling", F.lit(r.meta.resampling)))(local.change_classification(raster_a(s, d), "categorical")),
+    "SELECT gx, gy, v, 'Categorical' AS classification, 'MODE' AS resampling FROM a",
+)
 _add("raster_normalize", lambda s, d: _cells(local.normalize(raster_a(s, d))), ", m AS (SELECT min(v) AS x, max(v) AS y FROM a) SELECT gx, gy, CAST((v - x) / (y - x) AS FLOAT)::DOUBLE AS v FROM a, m")
 _add("raster_normalize_range", lambda s, d: _cells(local.normalize(raster_a(s, d), 0, 100)), "SELECT gx, gy, CAST(v / 100 AS FLOAT)::DOUBLE AS v FROM a")
 _add("raster_crop", lambda s, d: _cells(local.crop(raster_a(s, d), WINDOW)), f"SELECT * FROM a WHERE {_WIN}")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+from itertools import groupby
+from xml.sax.saxutils import escape
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -142,6 +147,44 @@ def legend(scale: ColorScale, width: int = 16, height: int = 128) -> bytes:
     return write_png(_paint(x, flat, 0.0, 1.0))
 
 
+class TileReader:
+    """Random access to the tiles of a stored level: those read last stay in memory, up to `most` of them."""
+
+    def __init__(self, catalog: Catalog, name: str, zoom: int | None = None, most: int = 64) -> None:
+        self.raster, self.most = catalog.raster(name, zoom), most
+        self.meta = self.raster.meta
+        self._held: OrderedDict[int, list[np.ndarray] | None] = OrderedDict()
+
+    def _bands(self, rows) -> list[np.ndarray] | None:
+        out = [np.full((self.meta.tilesize,) * 2, np.nan) for _ in range(self.meta.bands)]
+        for r in rows:
+            out[r.band] = np.array([np.nan if v is None else v for v in r.cells]).reshape(self.meta.tilesize, -1)
+        return out if rows else None
+
+    def get(self, tx: int, ty: int) -> list[np.ndarray] | None:
+        """A tile's bands, NaN for nodata; None if it isn't stored. The scan is pruned to the files that may hold it."""
+        t = grid.tile_id(tx, ty, self.meta.zoom)
+        if t not in self._held:
+            self._held[t] = self._bands(self.raster.tiles().where((F.col("tile_id") == t) & (F.col("tx") == tx) & (F.col("ty") == ty)).select("band", "cells").collect())
+            if len(self._held) > self.most:
+                self._held.popitem(last=False)
+        self._held.move_to_end(t)
+        return self._held[t]
+
+    def scan(self, first: int, last: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Tiles by id from the first to the last one, a partition at a time."""
+        rows = self.raster.tiles().where(F.col("tile_id").between(first, last)).select("tile_id", "band", "cells").orderBy("tile_id", "band").toLocalIterator()
+        for t, own in groupby(rows, key=lambda r: r.tile_id):
+            yield t, self._bands(list(own))
+
+
+def kml(name: str, bounds: Bounds, href: str) -> str:
+    """A map's image as an overlay of the ground."""
+    text = lambda x: escape(str(x))
+    box = "".join(f"<{k}>{v}</{k}>" for k, v in (("north", bounds.n), ("south", bounds.s), ("east", bounds.e), ("west", bounds.w)))
+    return f'<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><GroundOverlay><name>{text(name)}</name><Icon><href>{text(href)}</href></Icon><LatLonBox>{box}</LatLonBox></GroundOverlay></Document></kml>'
+
+
 def describe(catalog: Catalog, name: str) -> dict:
     """Levels with their tile ranges, type, bands and statistics."""
     return {z: {"tiles": grid.bounds_to_tiles(m.bounds, z, m.tilesize), "type": m.tile_type, "bands": m.bands, "stats": m.stats, "bounds": m.bounds} for z, m in catalog.meta(name).items()}

@@ -606,6 +606,11 @@ def test_versions_statistics_and_commands(spark, tmp_path):
     assert serve.get_mosaic(c, ["west", "a"], world, 64, 32)[:4] == b"\x89PNG"
     assert len(serve.describe_tiles(c, "a", 3)) == 32 and set(serve.coverages(c)) == {"a", "fine", "west"}
     assert js.loads(scale.to_json())["scaling"] == "Quantile"
+    reader = serve.TileReader(c, "a", 3, most=2)
+    for tx, ty in ((0, 3), (7, 0), (0, 3), (3, 2)):
+        assert np.array_equal(reader.get(tx, ty)[0], a[(3 - ty) * 16 : (4 - ty) * 16, tx * 16 : (tx + 1) * 16])
+    assert serve.TileReader(c, "west", 3).get(7, 0) is None and len(reader._held) == 2
+    assert [t for t, _ in reader.scan(5, 9)] == [5, 6, 7, 8, 9] and "<north>90.0</north>" in serve.kml("a & b", world, "x.png")
 
 
 def local_crop(r, b):
