@@ -160,11 +160,10 @@ def cost_distance(points: DataFrame, friction: Raster, most: float = -1.0, bound
     while not layers[-1].where("changed").isEmpty():
         number += 1
         messages = layers[-1].where("changed").select("tile_id", "cost").join(frictions, "tile_id").select("tile_id", "friction", "cost")
-        messages = scratch(messages.mapInArrow(edges, "tile_id long, x int, y int, w int, part binary, frictions binary"), "messages")
+        messages = messages.mapInArrow(edges, "tile_id long, x int, y int, w int, part binary, frictions binary")
         reached = messages.select("tile_id").distinct()
         own = latest(reached).select("tile_id", "cost").join(frictions, "tile_id")
         layer = scratch(own.groupBy("tile_id").cogroup(messages.groupBy("tile_id")).applyInArrow(relax(number), _COST), "cost")
-        drop_scratch(messages)
         layers.append(layer)
         if len(layers) > LAYERS:
             # the last layer stays by itself, as it says what has changed
