@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, ship, text_column
+from .common import BROADCAST_BYTES, ship, text_column, trimmed
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """A rank file's content: a base64 token and its rank on each line."""
@@ -130,6 +130,10 @@ class _Memory(dict):
     def __init__(self, make) -> None:
         self.make, self.old = make, {}
 
+    def forget(self) -> None:
+        """Between tasks: what has not been met lately."""
+        self.old = {}
+
     def __missing__(self, piece: str):
         got = self.old.get(piece)
         if got is None:
@@ -200,8 +204,9 @@ def _encode(digest: str, shared, pattern: str, id_col: str, with_ids: bool):
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(cols, names)
                     n, a, z, ids, kept, from_ = [], [], [], [], 0, k + 1
+        codec.words.forget()
 
-    return go
+    return trimmed(go)
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:

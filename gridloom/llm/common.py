@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import time
 from collections.abc import Iterator
@@ -51,6 +53,18 @@ def ship(spark: SparkSession) -> None:
     runtime.ship(spark)
 
 
+def trimmed(go):
+    """A function of batches that leaves its worker's memory as it found it, as Spark keeps workers for other tasks."""
+
+    def run(batches):
+        yield from go(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def join_small(big: DataFrame, side: DataFrame, keys: list[str], how: str, row_bytes: int = 48, sized: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join with a materialised side: broadcast if its measured size is within the limit, else shuffled.
 

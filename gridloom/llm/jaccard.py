@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, collect_longs, drop_scratch, join_small, mix, partitions, scratch, ship, text_column
+from .common import binary_array, collect_longs, drop_scratch, join_small, mix, partitions, scratch, ship, text_column, trimmed
 from .components import components
 from .shingles import sets_of
 
@@ -268,16 +268,16 @@ class _Sets:
         """(a, b, na, nb, o), written: o is the greatest overlap that sketches allow. pairs: cheap to read again."""
         own = scratch(join_small(self.sketches, self._ends(pairs), ["node"], "inner", 32).dropDuplicates(), f"{name}-sketches")
         side = lambda k: own.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-        out = scratch(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bounded, _PAIR), f"{name}-bounds")
+        out = scratch(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(trimmed(_bounded), _PAIR), f"{name}-bounds")
         drop_scratch(own)
         return out
 
     def overlap(self, pairs: DataFrame, name: str) -> DataFrame:
         """(a, b, na, nb, o), written: o is the overlap. pairs: cheap to read again; only the texts of their ends are hashed."""
-        own = join_small(self.texts, self._ends(pairs), ["node"], "inner", 32).mapInArrow(_sets(self.width, "text"), "node long, whole binary").dropDuplicates()
+        own = join_small(self.texts, self._ends(pairs), ["node"], "inner", 32).mapInArrow(trimmed(_sets(self.width, "text")), "node long, whole binary").dropDuplicates()
         own = scratch(own.where("length(whole) > 0"), f"{name}-sets")
         side = lambda k: own.select(F.col("node").alias(k), F.col("whole").alias(f"w{k}"))
-        out = scratch(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(_overlaps, _PAIR), f"{name}-overlaps")
+        out = scratch(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(trimmed(_overlaps), _PAIR), f"{name}-overlaps")
         drop_scratch(own)
         return out
 
@@ -298,7 +298,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size = (d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5
     bits = max(20, size.bit_length() + 1)
     top = max(4, min(bits - 8, max((4 * partitions(spark) - 1).bit_length(), (size // BUCKET).bit_length()), 22))
-    first = scratch(d.mapInArrow(_first(width, "doc_id", "text", bits, top), _FIRST), "first")
+    first = scratch(d.mapInArrow(trimmed(_first(width, "doc_id", "text", bits, top)), _FIRST), "first")
     summary = first.where("n is not null").select("doc_id", "n", "s1", "s2")
     known = summary.where("n > 0 and doc_id is not null")
     nodes = scratch(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")).withColumn("sid", F.col("s1").bitwiseXOR(F.col("n"))), "nodes")
@@ -311,7 +311,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     h, many = collect_longs(often)
     order = np.argsort(h)
     frequent = spark.sparkContext.broadcast((h[order], np.minimum(many[order], 2**31 - 1).astype(np.int32)))
-    packed = d.mapInArrow(_postings(width, "doc_id", "text", num, den, bits, 1 << top, frequent), "bucket int, often boolean, tok binary, sid binary, n binary, pos binary, typical binary, counts binary")
+    packed = d.mapInArrow(trimmed(_postings(width, "doc_id", "text", num, den, bits, 1 << top, frequent)), "bucket int, often boolean, tok binary, sid binary, n binary, pos binary, typical binary, counts binary")
     index = scratch(packed.groupBy("bucket").applyInArrow(_lists(num, den), "tok long, sid long, n int, pos int, entries int, vote boolean, rank long"), "lists")
 
     # 3

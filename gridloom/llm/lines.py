@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, drop_scratch, join_small, scratch, ship, text_column
+from .common import BROADCAST_BYTES, drop_scratch, join_small, scratch, ship, text_column, trimmed
 
 #: Lines of a chunk at most; the modulus of the rolling hash (fixed values, SQL uses them too).
 LONGEST, MODULUS = 16, 1_000_003
@@ -154,12 +154,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("k2"), F.col(text_col).cast("string").alias("text"))
     slim = keyed.select("k1", "k2", "text")
     wide = lambda side: F.broadcast(side[0]) if side[1] else side[0]
-    occ = scratch(slim.where("text is not null").mapInArrow(_found, "k1 long, k2 long, at long, h1 long, h2 long").distinct(), "chunks")
+    occ = scratch(slim.where("text is not null").mapInArrow(trimmed(_found), "k1 long, k2 long, at long, h1 long, h2 long").distinct(), "chunks")
     first = F.min(F.struct("k1", "k2", "at")).alias("first")
     again = scratch(occ.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("h1", "h2", "first"), "again")
     marks = join_small(occ, again, ["h1", "h2"], "inner", 64).select("k1", "k2", "at", "h1", "h2", (F.struct("k1", "k2", "at") == F.col("first")).alias("stays"))
     marked = _by_text(marks, "marked", 48)
-    sides = slim.join(wide(marked), ["k1", "k2"]).select("k1", "k2", "text", "marks").mapInArrow(_sides, "k1 long, k2 long, at long, n long, h1 long, h2 long, stays boolean, before array<bigint>, after array<bigint>")
+    sides = slim.join(wide(marked), ["k1", "k2"]).select("k1", "k2", "text", "marks").mapInArrow(trimmed(_sides), "k1 long, k2 long, at long, n long, h1 long, h2 long, stays boolean, before array<bigint>, after array<bigint>")
     sides = scratch(sides, "sides")
     drop_scratch(occ)
     kept = sides.where("stays").groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2", "at", F.col("before").alias("b"), F.col("after").alias("a"))).alias("f"))
@@ -167,12 +167,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = gone.select("k1", "k2", "at", "n", "h1", "h2", _alike("before", "f.b").alias("eb"), _alike("after", "f.a").alias("ea"), F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"), F.col("f.at").alias("fat"))
     gone = scratch(gone.distinct(), "gone")
     ends = gone.select("k1", "k2", "at", "n", "h1", "h2", "eb", "ea").unionByName(gone.select(F.col("f1").alias("k1"), F.col("f2").alias("k2"), F.col("fat").alias("at"), "n", "h1", "h2", "eb", "ea").distinct())
-    texts = slim.join(wide(_by_text(ends, "ends", 64)), ["k1", "k2"]).select("text", "marks").mapInArrow(_bytes, "h1 long, h2 long, eb int, ea int, body binary")
+    texts = slim.join(wide(_by_text(ends, "ends", 64)), ["k1", "k2"]).select("text", "marks").mapInArrow(trimmed(_bytes), "h1 long, h2 long, eb int, ea int, body binary")
     differ = scratch(texts.groupBy("h1", "h2", "eb", "ea").agg(F.min("body").alias("x"), F.max("body").alias("y")).where("x != y").select("h1", "h2", "eb", "ea"), "differ")
     cut = _by_text(join_small(gone, differ, ["h1", "h2", "eb", "ea"], "left_anti", 40).select("k1", "k2", "at", "n", "eb", "ea"), "cut", 40)
     for x in (marked[0], sides, gone):
         drop_scratch(x)
     done = keyed.join(wide(cut), ["k1", "k2"], "left").select("row", "text", "marks")
     schema = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    out = done.mapInArrow(_cut, f"row {schema}, text string, chunks long, lines long")
+    out = done.mapInArrow(trimmed(_cut), f"row {schema}, text string, chunks long, lines long")
     return out.select(*(F.col("text").alias(text_col) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns), *((F.col("chunks").alias("_chunks"), F.col("lines").alias("_lines")) if report else ()))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_column
+from .common import ship, text_column, trimmed
 
 STATS = [
     "log_chars", "log_words", "word_length", "word_length_sd", "distinct_words", "top_word", "top_three_words", "repeat_next",
@@ -239,5 +239,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model = train(docs, labels, id_col, text_col)
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(_collect, f"row {kind}, stats array<double>")
+    scored = rows.mapInArrow(trimmed(_collect), f"row {kind}, stats array<double>")
     return scored.where(model.score(F.col("stats")) >= threshold).select("row.*")

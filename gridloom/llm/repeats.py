@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, binary_array, blocks, collect_longs, drop_scratch, mix, partitions, raw, scratch, ship, text_column
+from .common import BROADCAST_BYTES, binary_array, blocks, collect_longs, drop_scratch, mix, partitions, raw, scratch, ship, text_column, trimmed
 
 #: Distinct repeated leads up to which their hashes are broadcast (8 bytes each); beyond it they are joined.
 BROADCAST_GRAMS = 6_000_000
@@ -379,7 +379,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = d.select(F.coalesce("doc_id", F.lit(0)).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"), "text")
 
     # 1
-    again = scratch(d.select("text").mapInArrow(_lead_counts(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "leads")
+    again = scratch(d.select("text").mapInArrow(trimmed(_lead_counts(length)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "leads")
     if again.count() <= broadcast_grams:
         known = spark.sparkContext.broadcast(np.sort(collect_longs(again)[0]))
         source = keyed
@@ -389,7 +389,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         source = keyed.join(own, ["k1", "k2"])
 
     # 2
-    table = scratch(source.mapInArrow(_contexts(length, known, salt), _FOUND), "contexts")
+    table = scratch(source.mapInArrow(trimmed(_contexts(length, known, salt)), _FOUND), "contexts")
     drop_scratch(again)
     distinct = scratch(table.where("ctx is not null").groupBy("back", "ctx").agg(F.sum("n").alias("n"), F.min("h1").alias("h1"), F.min("h2").alias("h2")), "distinct")
     m = distinct.count()
@@ -399,7 +399,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # 3
     suffix, ahead = F.expr("substring(ctx, back + 1)"), F.expr("substring(ctx, 1, back)")
     buckets = distinct.select("h1", "h2", "back", "ctx", "n").repartitionByRange(max(1, partitions(spark), -(-m // BUCKET)), suffix, ahead)
-    done = scratch(buckets.mapInArrow(_bucket(length), _SORTED), "sorted")
+    done = scratch(buckets.mapInArrow(trimmed(_bucket(length)), _SORTED), "sorted")
 
     # 4
     edges = done.where("w is not null")
