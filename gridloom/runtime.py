@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -10,6 +11,7 @@ import time
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
@@ -42,8 +44,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def _forget(spark: SparkSession, base: str) -> None:
-    if spark.sparkContext._jsc is not None:  # else the session has been stopped, and cleancache finds the folder
-        delete(spark, base)
+    # where the session has been stopped or Spark is gone already, cleancache finds the folder
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Py4JError, OSError):
+            delete(spark, base)
 
 
 def delete(spark: SparkSession, path: str) -> None:
