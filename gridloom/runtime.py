@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import os
 import shutil
 import tempfile
@@ -11,7 +10,6 @@ import time
 import uuid
 import zipfile
 
-from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
@@ -35,21 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder of this application's; all of them go when the driver ends."""
+    """A new folder of this application's; all of them go when the driver's JVM ends."""
     base = f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}"
     if base not in _used:
         _used.add(base)
-        atexit.register(_forget, spark, base)
+        at = spark._jvm.org.apache.hadoop.fs.Path(base)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _forget(spark: SparkSession, base: str) -> None:
-    # where the session has been stopped or Spark is gone already, cleancache finds the folder
-    if spark.sparkContext._jsc is not None:
-        with contextlib.suppress(Py4JError, OSError):
-            delete(spark, base)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
