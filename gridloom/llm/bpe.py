@@ -52,27 +52,35 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.pairs: dict[int, int] = {}
+        most = max(ranks.values(), default=0)
+        none: dict[int, int] = {}
+        self.pairs: list[dict[int, int]] = [none] * (most + 2)  # by the left id, then the right one; the last for -1
         for token, r in ranks.items():
             for k in range(1, len(token)):
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
-                    self.pairs[a << 32 | b] = r
+                    if self.pairs[a] is none:
+                        self.pairs[a] = {}
+                    self.pairs[a][b] = r
         self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
-        self.lower = [0] * ((max(ranks.values(), default=0) >> 8) + 1)  # all 0 between pre-tokens
+        self.lower = [0] * ((most >> 8) + 1)  # all 0 between pre-tokens
 
     def ids(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        get, lower, byte = self.pairs.get, self.lower, self.byte
+        pairs, lower, byte = self.pairs, self.lower, self.byte
         n = len(piece)
-        token = [byte[b] for b in piece]  # of the part that starts here; -1: merged away
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        token = [byte[b] for b in piece]  # of the part that starts here; -1: merged away, and behind the end
+        token.append(-1)
+        after, before = list(range(1, n + 2)), list(range(-1, n))
         upper, buckets = 0, {}
+        a = token[0]
         for i in range(n - 1):
-            r = get(token[i] << 32 | token[i + 1])
+            b = token[i + 1]
+            r = pairs[a].get(b)
+            a = b
             if r is None:
                 continue
             if r in buckets:
@@ -95,23 +103,22 @@ class Merges:
                 if not low:
                     upper &= upper - 1
             mid = after[i]
-            if mid >= n or token[i] < 0 or get(token[i] << 32 | token[mid]) != r:
+            if pairs[token[i]].get(token[mid]) != r:
                 continue  # stale
             token[i], token[mid] = r, -1
             last = after[i] = after[mid]
-            if last < n:
-                before[last] = i
-                s = get(r << 32 | token[last])
-                if s is not None:
-                    if s in buckets:
-                        heappush(buckets[s], i)
-                    else:
-                        buckets[s] = [i]
-                        lower[s >> 8] |= 1 << (s & 255)
-                        upper |= 1 << (s >> 8)
+            before[last] = i
+            s = pairs[r].get(token[last])
+            if s is not None:
+                if s in buckets:
+                    heappush(buckets[s], i)
+                else:
+                    buckets[s] = [i]
+                    lower[s >> 8] |= 1 << (s & 255)
+                    upper |= 1 << (s >> 8)
             i = before[i]
             if i >= 0:
-                s = get(token[i] << 32 | r)
+                s = pairs[token[i]].get(r)
                 if s is not None:
                     if s in buckets:
                         heappush(buckets[s], i)
