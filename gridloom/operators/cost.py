@@ -27,6 +27,8 @@ STEPS = [(-1, 0, 0), (-1, 1, 1), (0, 1, 2), (1, 1, 3), (1, 0, 4), (1, -1, 5), (0
 GAIN = 1e-7
 #: Layers of costs that are folded into one.
 LAYERS = 8
+#: Changed tiles up to which the ids of their neighbours are broadcast: eight each, 64 MB of a hash table at most.
+FEW = 100_000
 _COST = "tile_id long, round int, cost binary, changed boolean"
 
 
@@ -154,14 +156,18 @@ def cost_distance(points: DataFrame, friction: Raster, most: float = -1.0, bound
             every = every.unionByName(x)
         if of is not None:
             every = every.join(of, "tile_id", "left_semi")
+        if len(layers) == 1:
+            return every
         return every.groupBy("tile_id").agg(F.max_by(F.struct("cost", "changed"), "round").alias("s"), F.max("round").alias("round")).select("tile_id", "round", "s.cost", "s.changed")
 
     number = 0
-    while not layers[-1].where("changed").isEmpty():
+    while (moved := layers[-1].where("changed").count()) > 0:
         number += 1
         messages = layers[-1].where("changed").select("tile_id", "cost").join(frictions, "tile_id").select("tile_id", "friction", "cost")
         messages = messages.mapInArrow(edges, "tile_id long, x int, y int, w int, part binary, frictions binary")
         reached = messages.select("tile_id").distinct()
+        if moved <= FEW:
+            reached = F.broadcast(reached)  # a tile has eight neighbours at most
         own = latest(reached).select("tile_id", "cost").join(frictions, "tile_id")
         layer = scratch(own.groupBy("tile_id").cogroup(messages.groupBy("tile_id")).applyInArrow(relax(number), _COST), "cost")
         layers.append(layer)
