@@ -1,17 +1,20 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes are a linked list. Each adjacent pair that is in the vocabulary waits in the bucket of its rank;
-a bucket is a heap of positions, so that equal ranks merge from the left. Two levels of bitmaps mark the buckets in
-use: find-first-set on the upper, then on the lower, gives the least rank without a search. Entries whose pair has
-changed since are skipped when they surface. A pre-token of n bytes takes O(n log n), however long it is.
+equal ranks merge from the left. Two levels of bitmaps mark the buckets in use: find-first-set on the upper, then on the
+lower, gives the least rank without a search. Entries whose pair has changed since are skipped when they surface.
+Pre-tokens don't touch each other, so many short ones share a queue, and numpy works off a large bucket, one merge a
+pre-token at a time. A long one has its own, where a bucket is a heap of positions: n bytes take O(n log n), however many.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
+from collections.abc import Iterable
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, ship, text_column, trimmed
+from .common import BROADCAST_BYTES, blocks, raw, ship, text_column, trimmed
+
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """A rank file's content: a base64 token and its rank on each line."""
@@ -46,10 +50,13 @@ def default_pattern() -> str:
 class Merges:
     """The ranks of a vocabulary by pairs of ids: any two tokens that make a token together.
 
-    The rank queue is written out in ids(), as calls would cost as much as its steps: buckets of positions by rank, each
-    a heap; `lower` has a bitmap of the buckets in use for every 256 ranks, `upper` one of the lower bitmaps in use.
+    The rank queue is written out where it is used, as calls would cost as much as its steps: buckets of positions by
+    rank; `lower` has a bitmap of the buckets in use for every 256 ranks, `upper` one of the lower bitmaps in use.
     """
 
+    #: Bytes of a pre-token that shares a queue with others, and of all that share one; entries of a bucket for numpy.
+    SHORT, TOGETHER, MANY = 64, 1 << 19, 24
+
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         most = max(ranks.values(), default=0)
@@ -63,6 +70,13 @@ class Merges:
                         self.pairs[a] = {}
                     self.pairs[a][b] = r
         self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.bytes = np.array(self.byte, np.int32)
+        self.two = np.array([self.pairs[a].get(b, -1) for a in self.byte for b in self.byte], np.int32)  # by two bytes
+        left, right, to = np.array([(a, b, r) for a, x in enumerate(self.pairs) for b, r in x.items()], np.int64).reshape(-1, 3).T.copy()
+        order, ids = np.argsort(right, kind="stable"), np.arange(most + 2)
+        # the ids right of an id and left of it, with the ranks; where each id's begin
+        self.right, self.right_rank, self.right_at = right, to, np.searchsorted(left, ids).tolist()
+        self.left, self.left_rank, self.left_at = left[order], to[order], np.searchsorted(right[order], ids).tolist()
         self.lower = [0] * ((most >> 8) + 1)  # all 0 between pre-tokens
 
     def ids(self, piece: bytes) -> list[int]:
@@ -128,29 +142,171 @@ class Merges:
                         upper |= 1 << (s >> 8)
         return [x for x in token if x >= 0]
 
+    def many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens one after the other, and how many each has."""
+        out: list = [None] * len(pieces)
+        short = []
+        for k, p in enumerate(pieces):
+            if len(p) > self.SHORT or p in self.ranks:
+                out[k] = self.ids(p)
+            else:
+                short.append(k)
+        n = np.zeros(len(pieces), np.int64)
+        own = [k for k, x in enumerate(out) if x is not None]
+        n[own] = [len(out[k]) for k in own]
+        parts = [np.fromiter((x for k in own for x in out[k]), np.int32)]
+        for i, j in blocks(np.cumsum([0, *(len(pieces[k]) for k in short)]), self.TOGETHER):
+            ids, n[short[i:j]] = self._together([pieces[k] for k in short[i:j]])
+            parts.append(ids)
+        order = np.array([*own, *short], np.int64)  # of the parts
+        starts = np.empty(len(pieces), np.int64)
+        starts[order] = np.cumsum(n[order]) - n[order]
+        return _runs(np.concatenate(parts), starts, n), n
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"\0".join([b"", *pieces, b""]), np.uint8)
+        marks = np.cumsum([0, *(len(p) + 1 for p in pieces)])  # a mark before each, and one behind all
+        token = self.bytes[data]  # of the part that starts here; -1: merged away, or a mark
+        token[marks] = -1
+        rank = np.append(self.two[data[:-1].astype(np.int64) << 8 | data[1:]], np.int32(-1))  # of the pair that starts here
+        rank[marks] = -1
+        rank[marks[1:] - 1] = -1
+        piece = np.repeat(np.arange(len(marks), dtype=np.int32), np.diff(marks, append=len(data)))
+        after, before = np.arange(1, len(data) + 1, dtype=np.int32), np.arange(-1, len(data) - 1, dtype=np.int32)
+        follows, leads = np.full((2, len(self.pairs)), -1, np.int32)  # ranks by the other id of a pair, for one id at a time
+        token_at, rank_at, after_at, before_at = map(memoryview, (token, rank, after, before))  # quicker one by one
+        pairs, lower, upper, buckets = self.pairs, self.lower, 0, {}
+        p = np.flatnonzero(rank >= 0)
+        q = rank[p]
+        while True:
+            if len(q):
+                order = np.argsort(q, kind="stable")
+                p, q = p[order].tolist(), q[order]
+                cuts = [0, *(np.flatnonzero(q[1:] != q[:-1]) + 1).tolist()]
+                for s, i, j in zip(q[cuts].tolist(), cuts, [*cuts[1:], len(p)], strict=True):
+                    if s in buckets:
+                        buckets[s] += p[i:j]
+                    else:
+                        buckets[s] = p[i:j]
+                        lower[s >> 8] |= 1 << (s & 255)
+                        upper |= 1 << (s >> 8)
+            p = q = ()
+            if not upper:
+                break
+            # find-first-set on the upper bitmap, then on the lower one
+            hi = (upper & -upper).bit_length() - 1
+            low = lower[hi]
+            r = hi << 8 | (low & -low).bit_length() - 1
+            bucket = buckets[r]
+            if len(bucket) < self.MANY:
+                bucket.sort(reverse=True)
+                while bucket:
+                    i = bucket.pop()
+                    if rank_at[i] != r:
+                        continue  # stale
+                    mid, j = after_at[i], before_at[i]
+                    last = after_at[mid]
+                    token_at[i], token_at[mid], rank_at[mid] = r, -1, -1
+                    after_at[i], before_at[last] = last, i
+                    s = rank_at[i] = pairs[r].get(token_at[last], -1)
+                    t = rank_at[j] = pairs[token_at[j]].get(r, -1)
+                    for k, x in ((s, i), (t, j)):
+                        if k < 0:
+                            continue
+                        if k in buckets:
+                            buckets[k].append(x)
+                        else:
+                            buckets[k] = [x]
+                            lower[k >> 8] |= 1 << (k & 255)
+                            upper |= 1 << (k >> 8)
+                    if 0 <= s < r or 0 <= t < r:
+                        break  # that one first
+            else:
+                i = np.array(bucket, np.int32)
+                i = i[rank[i] == r]
+                i.sort()
+                # the leftmost of each pre-token; what it leads to may come before the next one
+                own = piece[i]
+                again = np.flatnonzero(own[1:] == own[:-1]) + 1
+                buckets[r] = bucket = i[again].tolist()
+                if len(again):
+                    i = np.delete(i, again)
+                mid, j = after[i], before[i]
+                last = after[mid]
+                token[i], token[mid], rank[mid] = r, -1, -1
+                after[i], before[last] = last, i
+                a, b = self.right_at[r], self.right_at[r + 1]
+                follows[self.right[a:b]] = self.right_rank[a:b]
+                rank[i] = s = follows[token[last]]
+                follows[self.right[a:b]] = -1
+                a, b = self.left_at[r], self.left_at[r + 1]
+                leads[self.left[a:b]] = self.left_rank[a:b]
+                rank[j] = t = leads[token[j]]
+                leads[self.left[a:b]] = -1
+                p, q = np.concatenate([i, j]), np.concatenate([s, t])
+                kept = q >= 0
+                p, q = p[kept], q[kept]
+            if not bucket:
+                del buckets[r]
+                lower[hi] ^= 1 << (r & 255)
+                if not lower[hi]:
+                    upper ^= 1 << hi
+        return token[token >= 0], np.diff(np.cumsum(token >= 0)[marks])
+
+
+def _runs(flat: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[starts[k] : starts[k] + n[k]] for every k, one after the other."""
+    ends = np.cumsum(n)
+    at = np.repeat(starts - ends + n, n)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+class _Generation:
+    """Pre-tokens numbered as they are met; by number, where their ids start and how many they are."""
 
-class _Memory(dict):
+    def __init__(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.starts, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, n: np.ndarray) -> None:
+        """The ids of the next numbers."""
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
+        self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
+
+
+class _Memory:
     """Ids by pre-token; a young and an old generation, so that it stays bounded and common pre-tokens stay in it."""
 
-    MOST, LONGEST = 300_000, 64
+    MOST, LONGEST = 200_000, 64
 
-    def __init__(self, make) -> None:
-        self.make, self.old = make, {}
+    def __init__(self, merges: Merges) -> None:
+        self.merges, self.young, self.old = merges, _Generation(), _Generation()
 
     def forget(self) -> None:
         """Between tasks: what has not been met lately."""
-        self.old = {}
-
-    def __missing__(self, piece: str):
-        got = self.old.get(piece)
-        if got is None:
-            got = self.make(piece)
-        if len(piece) <= self.LONGEST:
-            if len(self) >= self.MOST:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = got
-        return got
+        self.old = _Generation()
+
+    def encode(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, given as lists of pre-tokens, one after the other, and n + 1 offsets into them."""
+        if len(self.young.n) >= self.MOST or len(self.young.ids) >= 16 * self.MOST:
+            self.young, self.old = _Generation(), self.young
+        young, old = self.young, self.old
+        had, number = len(young.number), young.number.__getitem__
+        found = [np.fromiter(map(number, words), np.int32, len(words)) for words in texts]
+        new = list(islice(young.number, had, None))
+        known = np.array([old.number.get(w, -1) for w in new], np.int64)
+        ids, n = self.merges.many([w.encode() for w, k in zip(new, known.tolist(), strict=True) if k < 0])
+        starts, count = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        starts[known < 0], count[known < 0] = len(old.ids) + np.cumsum(n) - n, n
+        starts[known >= 0], count[known >= 0] = old.starts[known[known >= 0]], old.n[known[known >= 0]]
+        young.add(_runs(np.concatenate([old.ids, ids]), starts, count), count)
+        for w in new:
+            if len(w) > self.LONGEST:
+                del young.number[w]
+        words = np.concatenate([np.zeros(0, np.int32), *found])
+        n = young.n[words]
+        return _runs(young.ids, young.starts[words], n), np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, found)])]
 
 
 class Codec:
@@ -158,21 +314,31 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.find = regex.compile(pattern).findall
-        self.token: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        token = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
-            self.token[v] = k
-        self.number = [str(k).encode() for k in range(len(self.token))]
-        self.merges = Merges(ranks)
-        self.words = _Memory(lambda w: tuple(self.merges.ids(w.encode())))
+            token[v] = k
+        self.token = pa.array(token, pa.large_binary())
+        self.number = pa.array([b"%d," % k for k in range(len(token))], pa.large_binary())
+        self.words = _Memory(Merges(ranks))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, and n + 1 offsets into them."""
+        return self.words.encode(map(self.find, texts))
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
+        """The bytes of each text."""
+        return _taken(self.token, ids, offsets)
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.words.__getitem__, self.find(text))))
+    def listed(self, ids: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
+        """The decimal ids of each text, joined by commas."""
+        return [x[:-1] for x in _taken(self.number, ids, offsets)]
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
 
-    def digest(self, ids) -> str:
-        return hashlib.sha256(b",".join(map(self.number.__getitem__, ids))).hexdigest()
+def _taken(values: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
+    """The values of each text's ids, concatenated."""
+    data, at = raw(values.take(pa.array(ids)))
+    data, at = memoryview(data), at[offsets].tolist()
+    return [data[i:j] for i, j in zip(at, at[1:])]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -190,27 +356,18 @@ def _encode(digest: str, shared, pattern: str, id_col: str, with_ids: bool):
     def go(batches):
         codec = _codec(digest, shared, pattern)
         for b in batches:
-            n, a, z, ids = [], [], [], []
-            kept = 0
-            from_ = 0
-            texts = text_column(b, "text").to_pylist()
-            for k, t in enumerate(texts):
-                x = codec.encode(t)
-                n.append(len(x))
-                a.append(codec.digest(x))
-                z.append(hashlib.sha256(codec.decode(x)).hexdigest())
-                if with_ids:
-                    ids.append(np.array(x, np.int32))
-                    kept += len(x)
-                if kept > 1_000_000 or k == len(texts) - 1:
-                    cols = [b.column(0).slice(from_, k + 1 - from_), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(z, pa.string())]
+            texts = text_column(b, "text")
+            for i, j in blocks(raw(texts)[1]):
+                ids, ends = codec.encode(texts.slice(i, j - i).to_pylist())
+                for k, m in blocks(ends, 1 << 20):
+                    own, off = ids[ends[k] : ends[m]], ends[k : m + 1] - ends[k]
+                    digests = [[hashlib.sha256(x).hexdigest() for x in f(own, off)] for f in (codec.listed, codec.decode)]
+                    cols = [b.column(0).slice(i + k, m - k), pa.array(np.diff(off), pa.int64()), *(pa.array(x, pa.string()) for x in digests)]
                     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                     if with_ids:
-                        off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                        cols.append(pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids))))
+                        cols.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(own)))
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(cols, names)
-                    n, a, z, ids, kept, from_ = [], [], [], [], 0, k + 1
         codec.words.forget()
 
     return trimmed(go)

@@ -117,6 +117,66 @@ def test_merges_of_long_pre_tokens_equal_tiktoken():
             assert merges.ids(text.encode()) == enc.encode_ordinary(text)
 
 
+def test_many_pre_tokens_in_one_queue_equal_tiktoken():
+    """Few letters and ranks in any order, so that merges overlap, go stale and lead to lower ranks, in large and in small buckets."""
+    import tiktoken
+
+    rng = random.Random(7)
+    for shuffled in (False, True):
+        tokens = [bytes([b]) for b in range(256)]
+        while len(tokens) < 600:
+            token = rng.choice(tokens[97:101] + tokens[256:]) + rng.choice(tokens[97:101] + tokens[256:])
+            if token not in tokens and len(token) < 10:
+                tokens.append(token)
+        if shuffled:
+            rng.shuffle(tokens)
+        ranks = {t: r for r, t in enumerate(tokens)}
+        enc = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        merges = bpe.Merges(ranks)
+        for n in (0, 1, 30, 3000):
+            pieces = ["".join(rng.choice(rng.choice(["a", "ab", "abcde", "z"])) for _ in range(rng.randrange(1, 90))) for _ in range(n)]
+            ids, counts = merges.many([p.encode() for p in pieces])
+            want = [enc.encode_ordinary(p) for p in pieces]
+            assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+
+
+def test_many_pre_tokens_cost_less_together():
+    """New pre-tokens are most of the operator's cost."""
+    import time
+
+    rng = random.Random(8)
+    merges = bpe.Merges(bpe.load_ranks(bpe.default_path()))
+    pieces = [("".join(rng.choice(["tion", "der", "sch", "la", "ous", "em", "re", "al"]) for _ in range(4)) + str(k)).encode() for k in range(20_000)]
+    began = time.process_time()
+    ids, _ = merges.many(pieces)
+    together = time.process_time() - began
+    assert ids.tolist() == [x for p in pieces for x in merges.ids(p)]
+    assert together < 0.7 * (time.process_time() - began - together)
+
+
+def test_bpe_memory_of_few_pre_tokens_equals_tiktoken(monkeypatch):
+    """Generations turn again and again; pre-tokens come back from the old one, or are too long to stay."""
+    import public_tokenizers
+    import tiktoken
+
+    monkeypatch.setattr(bpe._Memory, "MOST", 40)
+    monkeypatch.setattr(bpe._Memory, "LONGEST", 8)
+    rng = random.Random(9)
+    ranks = bpe.load_ranks(bpe.default_path())
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(ranks, bpe.default_pattern())
+    words = ["".join(rng.choice("aeiouäß漢🙂") for _ in range(rng.randrange(1, 14))) for _ in range(150)]
+    for _ in range(60):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(6))]
+        ids, ends = codec.encode(texts)
+        want = [enc.encode_ordinary(t) for t in texts]
+        assert [ids[i:j].tolist() for i, j in zip(ends, ends[1:])] == want
+        assert [bytes(x).decode() for x in codec.decode(ids, ends)] == texts
+        assert [bytes(x).decode() for x in codec.listed(ids, ends)] == [",".join(map(str, x)) for x in want]
+        assert len(codec.words.young.number) < 150 and max(map(len, codec.words.young.number), default=0) <= 8
+        rng.random() < 0.1 and codec.words.forget()
+
+
 def test_bpe_of_null_and_repeated_ids_and_two_files_of_one_name(spark, tmp_path):
     import base64
 
