@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, blocks, raw, ship, text_column, trimmed
 
+#: Bytes of texts whose new pre-tokens are merged together, and ids gathered at once: what a worker needs beside its
+#: vocabulary grows with them, and executors keep little for Python.
+TEXTS, IDS = 4 << 20, 1 << 18
+
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """A rank file's content: a base64 token and its rank on each line."""
@@ -55,7 +59,7 @@ class Merges:
     """
 
     #: Bytes of a pre-token that shares a queue with others, and of all that share one; entries of a bucket for numpy.
-    SHORT, TOGETHER, MANY = 64, 1 << 19, 24
+    SHORT, TOGETHER, MANY = 64, 1 << 18, 24
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
@@ -72,11 +76,11 @@ class Merges:
         self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.bytes = np.array(self.byte, np.int32)
         self.two = np.array([self.pairs[a].get(b, -1) for a in self.byte for b in self.byte], np.int32)  # by two bytes
-        left, right, to = np.array([(a, b, r) for a, x in enumerate(self.pairs) for b, r in x.items()], np.int64).reshape(-1, 3).T.copy()
+        left, right, to = np.array([(a, b, r) for a, x in enumerate(self.pairs) for b, r in x.items()], np.int32).reshape(-1, 3).T.copy()
         order, ids = np.argsort(right, kind="stable"), np.arange(most + 2)
         # the ids right of an id and left of it, with the ranks; where each id's begin
-        self.right, self.right_rank, self.right_at = right, to, np.searchsorted(left, ids).tolist()
-        self.left, self.left_rank, self.left_at = left[order], to[order], np.searchsorted(right[order], ids).tolist()
+        self.right, self.right_rank, self.right_at = right, to, np.searchsorted(left, ids)
+        self.left, self.left_rank, self.left_at = left[order], to[order], np.searchsorted(right[order], ids)
         self.lower = [0] * ((most >> 8) + 1)  # all 0 between pre-tokens
 
     def ids(self, piece: bytes) -> list[int]:
@@ -278,7 +282,7 @@ class _Generation:
 class _Memory:
     """Ids by pre-token; a young and an old generation, so that it stays bounded and common pre-tokens stay in it."""
 
-    MOST, LONGEST = 200_000, 64
+    MOST, LONGEST = 60_000, 64
 
     def __init__(self, merges: Merges) -> None:
         self.merges, self.young, self.old = merges, _Generation(), _Generation()
@@ -287,8 +291,8 @@ class _Memory:
         """Between tasks: what has not been met lately."""
         self.old = _Generation()
 
-    def encode(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts, given as lists of pre-tokens, one after the other, and n + 1 offsets into them."""
+    def encode(self, texts: Iterable[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The numbers of texts' pre-tokens, good until the next call, and n + 1 offsets into the texts' ids."""
         if len(self.young.n) >= self.MOST or len(self.young.ids) >= 16 * self.MOST:
             self.young, self.old = _Generation(), self.young
         young, old = self.young, self.old
@@ -304,9 +308,12 @@ class _Memory:
         for w in new:
             if len(w) > self.LONGEST:
                 del young.number[w]
+        return found, np.cumsum([0, *(int(young.n[x].sum()) for x in found)])
+
+    def ids(self, found: list[np.ndarray]) -> np.ndarray:
+        """The ids of texts one after the other."""
         words = np.concatenate([np.zeros(0, np.int32), *found])
-        n = young.n[words]
-        return _runs(young.ids, young.starts[words], n), np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, found)])]
+        return _runs(self.young.ids, self.young.starts[words], self.young.n[words])
 
 
 class Codec:
@@ -323,6 +330,11 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after the other, and n + 1 offsets into them."""
+        words, ends = self.words_of(texts)
+        return self.words.ids(words), ends
+
+    def words_of(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The numbers of each text's pre-tokens, for words.ids, and n + 1 offsets into the texts' ids."""
         return self.words.encode(map(self.find, texts))
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
@@ -357,10 +369,10 @@ def _encode(digest: str, shared, pattern: str, id_col: str, with_ids: bool):
         codec = _codec(digest, shared, pattern)
         for b in batches:
             texts = text_column(b, "text")
-            for i, j in blocks(raw(texts)[1]):
-                ids, ends = codec.encode(texts.slice(i, j - i).to_pylist())
-                for k, m in blocks(ends, 1 << 20):
-                    own, off = ids[ends[k] : ends[m]], ends[k : m + 1] - ends[k]
+            for i, j in blocks(raw(texts)[1], TEXTS):
+                words, ends = codec.words_of(texts.slice(i, j - i).to_pylist())
+                for k, m in blocks(ends, IDS):
+                    own, off = codec.words.ids(words[k:m]), ends[k : m + 1] - ends[k]
                     digests = [[hashlib.sha256(x).hexdigest() for x in f(own, off)] for f in (codec.listed, codec.decode)]
                     cols = [b.column(0).slice(i + k, m - k), pa.array(np.diff(off), pa.int64()), *(pa.array(x, pa.string()) for x in digests)]
                     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]

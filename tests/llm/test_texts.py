@@ -177,6 +177,33 @@ def test_bpe_memory_of_few_pre_tokens_equals_tiktoken(monkeypatch):
         rng.random() < 0.1 and codec.words.forget()
 
 
+def test_bpe_worker_needs_little_memory_beside_its_vocabulary():
+    """Large batches, many new pre-tokens: an executor's heap leaves little for its Python workers."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    with open(bpe.default_path(), "rb") as f:
+        shared = SimpleNamespace(value=f.read())
+    rng = random.Random(10)
+    common = ["".join(rng.choice("aeioustrnl") for _ in range(6)) for _ in range(500)]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.85 else f"{rng.choice(common)}{rng.choice(common)}" for _ in range(1400)) for _ in range(400)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400), pa.int64()), "text": texts})
+    assert batch.nbytes > 4e6
+    go = bpe._encode("memory", shared, bpe.default_pattern(), "doc_id", True)
+    before = len(list(go([batch.slice(0, 0)])))  # makes the vocabulary
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in go([batch, batch]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        bpe._codecs.pop(("memory", bpe.default_pattern()))
+    assert (before, rows) == (0, 800)
+    assert most < 56e6, most
+
+
 def test_bpe_of_null_and_repeated_ids_and_two_files_of_one_name(spark, tmp_path):
     import base64
 
